@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
-from .guards import bounded_broadcast, cut_lineage, small
+from .guards import BROADCAST_MAX_ROWS, bounded_broadcast, cut_lineage, small
 
 THRESHOLD = 2_000_000  # max rows (before value collapsing) in a final bracket
 GRID = 1000  # grid points per refinement round
@@ -146,31 +146,34 @@ def _lerp(v0: Column, v1: Column, frac: Column) -> Column:
     return F.when(frac >= 0.5, v1 - diff * (1 - frac)).otherwise(v0 + diff * frac)
 
 
-def _direct(long: DataFrame, probs: Sequence[float], keys: Sequence[str], value: str) -> DataFrame:
-    """Every key fits one bracket: value runs, running counts and rank matching in one job."""
-    runs = long.groupBy(*keys, value).count()
-    by_key = Window.partitionBy(*keys)
-    w = by_key.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    runs = (
-        runs.withColumn("end", F.sum("count").over(w))
-        .withColumn("n", F.sum("count").over(by_key))
-        .withColumn("start", F.col("end") - F.col("count"))
-    )
+def _direct(long: DataFrame, probs: Sequence[float], keys: Sequence[str], value: str, n_keys: int) -> DataFrame:
+    """Every key fits one bracket: value runs with running counts, matched to the target ranks.
+
+    The target table has keys x probs rows; it is broadcast when that product is
+    within the broadcast bound, so the range match is a hash probe per run."""
+    stats = long.groupBy(*keys).agg(F.count(F.col(value)).alias("n"))
     grid = F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
-    t = runs.select(*keys, "n", "start", "end", value, F.inline(grid))
-    t = (
-        t.withColumn("h", (F.col("n") - 1) * F.col("p"))
+    targets = (
+        stats.select(*keys, "n", F.inline(grid))
+        .withColumn("h", (F.col("n") - 1) * F.col("p"))
         .withColumn("r0", F.floor("h").cast("long"))
         .withColumn("r1", F.least(F.col("r0") + 1, F.col("n") - 1))
     )
-    hit0 = (F.col("start") <= F.col("r0")) & (F.col("r0") < F.col("end"))
-    hit1 = (F.col("start") <= F.col("r1")) & (F.col("r1") < F.col("end"))
-    t = t.where(hit0 | hit1)
-    out = t.groupBy(*keys, "pi", "p", "n").agg(
-        F.max(F.when(hit0, F.col(value))).alias("v0"),
-        F.max(F.when(hit1, F.col(value))).alias("v1"),
-        F.first("h").alias("h"),
+    ranks = targets.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "pi",
+                           F.posexplode(F.array("r0", "r1")).alias("side", "rank"))
+    if n_keys * len(probs) * 2 <= BROADCAST_MAX_ROWS:
+        ranks = F.broadcast(ranks)
+    runs = long.groupBy(*keys, value).count()
+    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = runs.withColumn("end", F.sum("count").over(w)).withColumn("start", F.col("end") - F.col("count"))
+    cond = _keys_match(runs, ranks, keys, "_t_") & (runs["start"] <= ranks["rank"]) & (ranks["rank"] < runs["end"])
+    hits = runs.join(ranks, cond).select(*keys, "pi", "side", F.col(value).alias("val"))
+    picked = hits.groupBy(*keys, "pi").agg(
+        F.max(F.when(F.col("side") == 0, F.col("val"))).alias("v0"),
+        F.max(F.when(F.col("side") == 1, F.col("val"))).alias("v1"),
     )
+    t = targets.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col("pi").alias("_t_pi"), "p", "n", "h")
+    out = picked.join(t, _keys_match(picked, t, keys, "_t_") & (picked["pi"] == t["_t_pi"]))
     frac = F.col("h") - F.floor("h")
     return out.select(*keys, "pi", "p", "n", _lerp(F.col("v0"), F.col("v1"), frac).alias("q"))
 
@@ -186,13 +189,14 @@ def exact_quantiles(
     keys = list(keys)
     v = F.col(value)
     long = long.where(v.isNotNull())
-    biggest = long.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    top = long.groupBy(*keys).count().agg(F.max("count"), F.count(F.lit(1))).first()
+    biggest, n_keys = top[0], top[1]
     if biggest is None:
         spark = long.sparkSession
         schema = long.select(*keys).schema.simpleString()[7:-1]
         return spark.createDataFrame([], f"{schema}, pi int, p double, n long, q double")
     if biggest <= threshold:
-        return _direct(long, probs, keys, value)
+        return _direct(long, probs, keys, value, n_keys)
     stats = long.groupBy(*keys).agg(F.count(v).alias("n"))
     grid = F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
     targets = (
