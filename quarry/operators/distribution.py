@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, q
 from ..plans.fitted import Fitted, step
+from ..plans.guards import fused_agg
 from ..plans.quantiles import column_quantiles
 
 GRID = 33
@@ -108,7 +109,7 @@ def _grid_fit(df: DataFrame, exprs: dict, kind: str) -> dict:
     for _ in range(ROUNDS + 4):
         grids = {c: [lo + (hi - lo) * j / (GRID - 1) for j in range(GRID)] for c, (lo, hi) in brackets.items()}
         aggs = [F.var_pop(tf(exprs[c], lam)).alias(f"v{i}_{j}") for i, c in enumerate(names) for j, lam in enumerate(grids[c])]
-        r = df.agg(*aggs).first()
+        r = fused_agg(df, aggs, max_exprs=GRID)
         done = True
         for i, c in enumerate(names):
             g = grids[c]
@@ -300,13 +301,16 @@ def fit_quantile_transform(df: DataFrame, cols, output_distribution: str = "norm
             y = F.when(x == left_u, tie).otherwise(lin)
             y = F.when(x - BOUNDS_THRESHOLD < F.lit(float(u[0])), F.lit(0.0)).when(
                 x + BOUNDS_THRESHOLD > F.lit(float(u[-1])), F.lit(1.0)).otherwise(y)
-            if output_distribution == "normal":
-                eps = BOUNDS_THRESHOLD - 2.220446049250313e-16
-                y = F.greatest(F.least(y, F.lit(1 - eps)), F.lit(eps))
-                y = probit(y)
             res[c] = F.when(x.isNotNull(), y)
-        out = out.withColumns(res)
-        return out.drop(*cols_in, *cols_out)
+        out = out.withColumns({f"_qt_y{i}": res[c] for i, c in enumerate(fits)}).drop(*cols_in, *cols_out)
+        if output_distribution == "normal":
+            # probit reads its input several times: keep it a column so the interpolation is computed once
+            eps = BOUNDS_THRESHOLD - 2.220446049250313e-16
+            out = out.withColumns({c: probit(F.greatest(F.least(F.col(f"_qt_y{i}"), F.lit(1 - eps)), F.lit(eps)))
+                                   for i, c in enumerate(fits)})
+        else:
+            out = out.withColumns({c: F.col(f"_qt_y{i}") for i, c in enumerate(fits)})
+        return out.drop(*[f"_qt_y{i}" for i in range(len(fits))])
 
     return Fitted("quantile_transform", num, apply, [c for c in cols if c not in num], values={c: len(f[0]) for c, f in fits.items()})
 

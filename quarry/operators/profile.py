@@ -26,6 +26,7 @@ from ..functions.columns import (
     q,
 )
 from ..functions.exprs import pct, rnd, safe_div
+from ..plans.guards import fused_agg, small
 from ..plans.quantiles import long_format, quantiles
 from .values import value_counts
 
@@ -155,22 +156,20 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 
 def _scalar_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One fused aggregate for all numeric columns, unpivoted to one row per column."""
+    """Fused aggregates for all numeric columns (chunked for codegen), one row per column."""
+    fields = [("n", "n", F.count), ("mn", "min", F.min), ("mx", "max", F.max), ("av", "mean", F.avg),
+              ("sd", "std", F.stddev_samp), ("va", "variance", F.var_samp), ("sk", "skewness", F.skewness),
+              ("ku", "kurtosis", F.kurtosis)]
     aggs = []
     for i, c in enumerate(cols):
         x = q(c).cast("double")
-        aggs += [
-            F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
-            F.avg(x).alias(f"av{i}"), F.stddev_samp(x).alias(f"sd{i}"), F.var_samp(x).alias(f"va{i}"),
-            F.skewness(x).alias(f"sk{i}"), F.kurtosis(x).alias(f"ku{i}"),
-            F.sum((x == 0).cast("long")).alias(f"z{i}"), F.sum((x < 0).cast("long")).alias(f"ng{i}"),
-        ]
-    row = df.agg(*aggs)
-    fields = [("n", "n"), ("mn", "min"), ("mx", "max"), ("av", "mean"), ("sd", "std"), ("va", "variance"),
-              ("sk", "skewness"), ("ku", "kurtosis"), ("z", "zeros_count"), ("ng", "negative_count")]
-    structs = [F.struct(F.lit(c).alias("col_name"), *[F.col(f"{a}{i}").alias(b) for a, b in fields])
-               for i, c in enumerate(cols)]
-    return row.select(F.inline(F.array(*structs)))
+        aggs += [fn(x).alias(f"{a}{i}") for a, _, fn in fields]
+        aggs += [F.sum((x == 0).cast("long")).alias(f"z{i}"), F.sum((x < 0).cast("long")).alias(f"ng{i}")]
+    r = fused_agg(df, aggs)
+    rows = [(c, *[r[f"{a}{i}"] for a, _, _ in fields], r[f"z{i}"], r[f"ng{i}"]) for i, c in enumerate(cols)]
+    schema = ("col_name string, n long, min double, max double, mean double, std double, variance double, "
+              "skewness double, kurtosis double, zeros_count long, negative_count long")
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def _quantile_wide(df: DataFrame, cols: Sequence[str], probs, names, method: str) -> DataFrame:
@@ -201,9 +200,9 @@ def numeric_profile(df: DataFrame, quantile_method: str = "exact", k: float = 1.
     if not cols:
         return df.sparkSession.createDataFrame([], "col_name string")
     sc = _scalar_numeric(df, cols)
-    qs = _quantile_wide(df, cols, PROFILE_PROBS, PROBE_NAMES, quantile_method)
+    qs = small(_quantile_wide(df, cols, PROFILE_PROBS, PROBE_NAMES, quantile_method))  # one row per column
     base = sc.join(qs, "col_name", "left")
-    outl = iqr_outlier_counts(df, k, quantile_method, quartiles=base.select("col_name", "p25", "p75"))
+    outl = iqr_outlier_counts(df, k, quantile_method, quartiles=qs.select("col_name", "p25", "p75"))
     out = base.join(outl.select("col_name", "outliers_count"), "col_name", "left")
     n = F.col("n")
     return out.select(
@@ -248,17 +247,16 @@ def iqr_outlier_counts(df: DataFrame, k: float = 1.5, quantile_method: str = "ex
     for i, c in enumerate(cols):
         q1, q3 = bounds.get(c, (None, None))
         x = q(c).cast("double")
+        aggs.append(F.count(x).alias(f"n{i}"))
         if q1 is None:
-            aggs += [F.lit(0).alias(f"o{i}"), F.count(x).alias(f"n{i}")]
+            aggs.append(F.lit(0).alias(f"o{i}"))
             continue
         iqr = q3 - q1
-        aggs += [F.sum(((x < q1 - k * iqr) | (x > q3 + k * iqr)).cast("long")).alias(f"o{i}"), F.count(x).alias(f"n{i}")]
-    row = df.agg(*aggs)
-    structs = [F.struct(F.lit(c).alias("col_name"), F.coalesce(F.col(f"o{i}"), F.lit(0)).cast("long").alias("outliers_count"),
-                        F.col(f"n{i}").alias("n")) for i, c in enumerate(cols)]
-    return row.select(F.inline(F.array(*structs))).select(
-        "col_name", "outliers_count", pct(F.col("outliers_count"), F.col("n")).alias("outliers_pct")
-    )
+        aggs.append(F.sum(((x < q1 - k * iqr) | (x > q3 + k * iqr)).cast("long")).alias(f"o{i}"))
+    r = fused_agg(df, aggs)
+    rows = [(c, int(r[f"o{i}"] or 0), r[f"n{i}"]) for i, c in enumerate(cols)]
+    out = df.sparkSession.createDataFrame(rows, "col_name string, outliers_count long, n long")
+    return out.select("col_name", "outliers_count", pct(F.col("outliers_count"), F.col("n")).alias("outliers_pct"))
 
 
 def zero_heavy_columns(df: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -293,7 +291,7 @@ def table_bytes(df: DataFrame) -> DataFrame:
     return row.select(F.inline(F.array(*structs)))
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, chunk: int = 200) -> DataFrame:
+def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, chunk: int = 40) -> DataFrame:
     """Pearson r for every ordered pair (pairwise-complete), rounded to 3; diagonal 1.0 when defined.
 
     ``corr`` skips rows with a NULL on either side, like pandas.  Pairs i<j are
