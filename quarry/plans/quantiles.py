@@ -74,35 +74,35 @@ def _refine(long: DataFrame, br: DataFrame, keys: Sequence[str], value: str, thr
     old = need.select(*keys, "lo", "hi", "bid").distinct()
     rows = _join_brackets(long, old, keys, value)
     grid = rows.groupBy("bid").agg(
-        F.percentile_approx(v, [j / GRID for j in range(GRID + 1)], ACCURACY).alias("g")
+        F.percentile_approx(v, [j / GRID for j in range(GRID + 1)], ACCURACY).alias("_grid")
     )
     t = (F.col("rank") - F.col("below")) / F.greatest(F.col("inside") - 1, F.lit(1))
     jlo = F.floor(t * GRID).cast("int") - 2
     jhi = F.ceil(t * GRID).cast("int") + 2
     cand = (
         need.join(grid, "bid")
-        .withColumn("nlo", F.when(jlo >= 0, F.get(F.col("g"), jlo)).otherwise(F.col("lo")))
-        .withColumn("nhi", F.when(jhi <= GRID, F.get(F.col("g"), jhi)).otherwise(F.col("hi")))
-        .drop("g")
+        .withColumn("nlo", F.when(jlo >= 0, F.get(F.col("_grid"), jlo)).otherwise(F.col("lo")))
+        .withColumn("nhi", F.when(jhi <= GRID, F.get(F.col("_grid"), jhi)).otherwise(F.col("hi")))
+        .drop("_grid")
     )
     cand = small(cand)
     # Exact counts below/inside each candidate bracket: one conditional-count pass per key
     # over a sorted array of the key's candidate bounds (<= 4 bounds per rank).
     bounds = cand.groupBy(*keys).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.array("nlo", "nhi")))))).alias("b")
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.array("nlo", "nhi")))))).alias("_bounds")
     )
     width = max(1, cand.select(F.max(F.size(F.array_compact(F.array("nlo", "nhi"))))).first()[0] or 1)
     per_key = cand.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
     slots = width * per_key
-    bj = bounded_broadcast(bounds.select(*[F.col(k).alias(f"_b_{k}") for k in keys], "b"))
+    bj = bounded_broadcast(bounds.select(*[F.col(k).alias(f"_b_{k}") for k in keys], "_bounds"))
     counted = long.join(bj, _keys_match(long, bj, keys, "_b_")).groupBy(*[F.col(f"_b_{k}").alias(k) for k in keys]).agg(
-        F.array(*[F.sum(F.when(v < F.get(F.col("b"), j), 1).otherwise(0)) for j in range(slots)]).alias("lt"),
-        F.array(*[F.sum(F.when(v <= F.get(F.col("b"), j), 1).otherwise(0)) for j in range(slots)]).alias("le"),
+        F.array(*[F.sum(F.when(v < F.get(F.col("_bounds"), j), 1).otherwise(0)) for j in range(slots)]).alias("lt"),
+        F.array(*[F.sum(F.when(v <= F.get(F.col("_bounds"), j), 1).otherwise(0)) for j in range(slots)]).alias("le"),
         F.count(v).alias("cnt"),
     )
     joined = cand.join(bounds, list(keys)).join(counted, list(keys))
-    pos_lo = F.array_position(F.col("b"), F.col("nlo")).cast("int") - 1
-    pos_hi = F.array_position(F.col("b"), F.col("nhi")).cast("int") - 1
+    pos_lo = F.array_position(F.col("_bounds"), F.col("nlo")).cast("int") - 1
+    pos_hi = F.array_position(F.col("_bounds"), F.col("nhi")).cast("int") - 1
     nbelow = F.when(F.col("nlo").isNull(), F.lit(0)).otherwise(F.get(F.col("lt"), pos_lo)).cast("long")
     nle = F.when(F.col("nhi").isNull(), F.col("cnt")).otherwise(F.get(F.col("le"), pos_hi)).cast("long")
     upd = joined.select(
