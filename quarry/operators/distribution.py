@@ -127,7 +127,7 @@ def _grid_fit(df: DataFrame, exprs: dict, kind: str) -> dict:
                 done = False
             else:
                 brackets[c] = (g[k - 1], g[k + 1])
-                if step_w > 1e-7:
+                if step_w > 1e-5:  # the parabolic polish below resolves far finer than the grid step
                     done = False
                 elif all(math.isfinite(x) for x in llf[k - 1:k + 2]):  # parabolic polish
                     a, b, cc = llf[k - 1], llf[k], llf[k + 1]
@@ -287,22 +287,26 @@ def fit_quantile_transform(df: DataFrame, cols, output_distribution: str = "norm
             out = out.withColumn(f"_qt_in{i}", F.coalesce(_d(c), F.lit(float("nan"))))
         out = Bucketizer(splitsArray=splits, inputCols=cols_in, outputCols=cols_out, handleInvalid="keep").transform(out)
         res = {}
+        spark = d.sparkSession
         for i, (c, (knots, refs)) in enumerate(fits.items()):
             u, r_lo, r_hi = _knot_tables(knots, refs)
+            # segment table: bucket b covers [u[b-1], u[b]); at most n_quantiles + 1 rows, broadcast
+            seg = [(b, u[b - 1] if b >= 1 else None, r_lo[b - 1] if b >= 1 else None, r_hi[b - 1] if b >= 1 else None,
+                    u[b] if b < len(u) else None, r_lo[b] if b < len(u) else None) for b in range(len(u) + 1)]
+            seg_df = F.broadcast(spark.createDataFrame(
+                seg, f"_qs_b{i} int, _qs_lu{i} double, _qs_llo{i} double, _qs_lhi{i} double, _qs_ru{i} double, _qs_rlo{i} double"))
+            out = out.join(seg_df, F.col(f"_qt_b{i}").cast("int") == F.col(f"_qs_b{i}"), "left")
             x = _d(c)
-            b = F.col(f"_qt_b{i}").cast("int")  # b: u[b-1] <= x < u[b]
-            arr_u = F.array(*[F.lit(float(v)) for v in u])
-            arr_lo = F.array(*[F.lit(float(v)) for v in r_lo])
-            arr_hi = F.array(*[F.lit(float(v)) for v in r_hi])
-            left_u, left_lo, left_hi = F.get(arr_u, b - 1), F.get(arr_lo, b - 1), F.get(arr_hi, b - 1)
-            right_u, right_lo = F.get(arr_u, b), F.get(arr_lo, b)
-            tie = (left_lo + left_hi) / 2
-            lin = left_hi + (x - left_u) * (right_lo - left_hi) / (right_u - left_u)
-            y = F.when(x == left_u, tie).otherwise(lin)
+            lu, llo, lhi = F.col(f"_qs_lu{i}"), F.col(f"_qs_llo{i}"), F.col(f"_qs_lhi{i}")
+            ru, rlo = F.col(f"_qs_ru{i}"), F.col(f"_qs_rlo{i}")
+            tie = (llo + lhi) / 2
+            lin = lhi + (x - lu) * (rlo - lhi) / (ru - lu)
+            y = F.when(x == lu, tie).otherwise(lin)
             y = F.when(x - BOUNDS_THRESHOLD < F.lit(float(u[0])), F.lit(0.0)).when(
                 x + BOUNDS_THRESHOLD > F.lit(float(u[-1])), F.lit(1.0)).otherwise(y)
             res[c] = F.when(x.isNotNull(), y)
-        out = out.withColumns({f"_qt_y{i}": res[c] for i, c in enumerate(fits)}).drop(*cols_in, *cols_out)
+        seg_cols = [f"_qs_{k}{i}" for i in range(len(fits)) for k in ("b", "lu", "llo", "lhi", "ru", "rlo")]
+        out = out.withColumns({f"_qt_y{i}": res[c] for i, c in enumerate(fits)}).drop(*cols_in, *cols_out, *seg_cols)
         if output_distribution == "normal":
             # probit reads its input several times: keep it a column so the interpolation is computed once
             eps = BOUNDS_THRESHOLD - 2.220446049250313e-16

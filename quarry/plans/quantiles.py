@@ -34,6 +34,7 @@ THRESHOLD = 2_000_000  # max rows (before value collapsing) in a final bracket
 GRID = 1000  # grid points per refinement round
 ACCURACY = 20_000  # percentile_approx accuracy (rank error <= n / ACCURACY < n / GRID)
 MAX_ROUNDS = 8
+MATCH_BY_JOIN = 64  # ranks per key up to which the range match is a join
 
 
 def long_format(df: DataFrame, cols: Sequence[str], key: str = "key", value: str = "v") -> DataFrame:
@@ -146,13 +147,23 @@ def _lerp(v0: Column, v1: Column, frac: Column) -> Column:
     return F.when(frac >= 0.5, v1 - diff * (1 - frac)).otherwise(v0 + diff * frac)
 
 
+def _prob_grid(probs: Sequence[float]) -> Column:
+    """Array of (pi, p) structs.  An evenly spaced grid j / (m - 1) is generated from a sequence
+    (same IEEE division as Python), so a 1000-knot fit does not put 1000 literals in the plan."""
+    m = len(probs)
+    if m > 16 and all(p == j / (m - 1) for j, p in enumerate(probs)):
+        return F.transform(F.sequence(F.lit(0), F.lit(m - 1)),
+                           lambda j: F.struct(j.alias("pi"), (j.cast("double") / F.lit(float(m - 1))).alias("p")))
+    return F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+
+
 def _direct(long: DataFrame, probs: Sequence[float], keys: Sequence[str], value: str, n_keys: int) -> DataFrame:
     """Every key fits one bracket: value runs with running counts, matched to the target ranks.
 
     The target table has keys x probs rows; it is broadcast when that product is
     within the broadcast bound, so the range match is a hash probe per run."""
     stats = long.groupBy(*keys).agg(F.count(F.col(value)).alias("n"))
-    grid = F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    grid = _prob_grid(probs)
     targets = (
         stats.select(*keys, "n", F.inline(grid))
         .withColumn("h", (F.col("n") - 1) * F.col("p"))
@@ -166,8 +177,19 @@ def _direct(long: DataFrame, probs: Sequence[float], keys: Sequence[str], value:
     runs = long.groupBy(*keys, value).count()
     w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     runs = runs.withColumn("end", F.sum("count").over(w)).withColumn("start", F.col("end") - F.col("count"))
-    cond = _keys_match(runs, ranks, keys, "_t_") & (runs["start"] <= ranks["rank"]) & (ranks["rank"] < runs["end"])
-    hits = runs.join(ranks, cond).select(*keys, "pi", "side", F.col(value).alias("val"))
+    if len(probs) * 2 <= MATCH_BY_JOIN:
+        # few ranks per key: hash probe on the key, range test against each of its ranks
+        cond = _keys_match(runs, ranks, keys, "_t_") & (runs["start"] <= ranks["rank"]) & (ranks["rank"] < runs["end"])
+        hits = runs.join(ranks, cond).select(*keys, "pi", "side", F.col(value).alias("val"))
+    else:
+        # many ranks per key: merge ranks into the run sequence; each rank takes the last run started at or before it
+        r_rows = ranks.select(*[F.col(f"_t_{k}").alias(k) for k in keys], F.col("rank").alias("pos"), F.lit(1).alias("kind"),
+                              F.lit(None).cast("double").alias("val"), "pi", "side")
+        v_rows = runs.select(*keys, F.col("start").alias("pos"), F.lit(0).alias("kind"), F.col(value).cast("double").alias("val"),
+                             F.lit(None).cast("int").alias("pi"), F.lit(None).cast("int").alias("side"))
+        mw = Window.partitionBy(*keys).orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        merged = v_rows.unionByName(r_rows).withColumn("val", F.last("val", ignorenulls=True).over(mw))
+        hits = merged.where(F.col("kind") == 1).select(*keys, "pi", "side", "val")
     picked = hits.groupBy(*keys, "pi").agg(
         F.max(F.when(F.col("side") == 0, F.col("val"))).alias("v0"),
         F.max(F.when(F.col("side") == 1, F.col("val"))).alias("v1"),
@@ -198,7 +220,7 @@ def exact_quantiles(
     if biggest <= threshold:
         return _direct(long, probs, keys, value, n_keys)
     stats = long.groupBy(*keys).agg(F.count(v).alias("n"))
-    grid = F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    grid = _prob_grid(probs)
     targets = (
         stats.select(*keys, "n", F.inline(grid))
         .withColumn("h", (F.col("n") - 1) * F.col("p"))
