@@ -64,7 +64,7 @@ def _mode_values(df: DataFrame, cols) -> dict:
     vc = (df.select(F.inline(F.array(*structs))).where(F.col("label").isNotNull())
           .groupBy("col_name", "label", "num").count())
     w = Window.partitionBy("col_name").orderBy(F.col("count").desc(), F.col("num").asc_nulls_last(), F.col("label"))
-    top = vc.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1)
+    top = vc.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 1)  # planned as a partial WindowGroupLimit
     return {r["col_name"]: r["label"] for r in top.collect()}  # one row per column
 
 
