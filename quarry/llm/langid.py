@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import col
 
-DIM = 1024
-#: Trigram vectors that a worker keeps (1 KB each); a full table is begun anew.
+DIM = 512
+#: Trigram vectors that a worker keeps (DIM bytes each); a full table is begun anew.
 KEPT = 40_000
+#: Texts of a language that learning bundles at once.
+AT_ONCE = 64
 UNKNOWN = "und"
 
 
@@ -47,15 +49,14 @@ class Bundler:
             self.letters[c] = 2 * bits - 1
         return self.letters[c]
 
-    def trigrams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct trigrams (three 21-bit code points each) and their counts."""
-        chars = self.kind[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)]
+    def trigrams(self, text: str | None) -> np.ndarray:
+        """The trigrams of a text, three 21-bit code points each; none without a letter."""
+        chars = self.kind[np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)]
         space = chars == ord(" ")
-        chars = chars[~(space & np.roll(space, 1))] if len(chars) > 2 else chars[:0]
-        chars = np.concatenate([[ord(" ")], chars, [ord(" ")]]) if len(chars) else chars
-        if len(chars) < 3:
-            return chars[:0], chars[:0]
-        return np.unique(chars[:-2] << 42 | chars[1:-1] << 21 | chars[2:], return_counts=True)
+        space[1:] &= space[:-1].copy()
+        space[0] = False
+        chars = chars[~space]
+        return chars[:-2] << 42 | chars[1:-1] << 21 | chars[2:]
 
     def _row(self, code: int) -> int:
         row = self.rows[code] = len(self.rows)
@@ -63,26 +64,19 @@ class Bundler:
         self.table[row] = np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
         return row
 
-    def vector(self, text: str | None) -> np.ndarray | None:
-        """The text's bundle as whole numbers; None without a letter."""
-        if not text:
-            return None
-        codes, counts = self.trigrams(text)
-        if not len(codes):
-            return None
+    def vector(self, trigrams: np.ndarray) -> np.ndarray:
+        """The bundle of trigrams as whole numbers."""
+        codes, counts = np.unique(trigrams, return_counts=True)
         total = np.zeros(self.dim, np.int64)
         for s in range(0, len(codes), KEPT // 8):
-            part = codes[s : s + KEPT // 8].tolist()
+            part, n = codes[s : s + KEPT // 8].tolist(), counts[s : s + KEPT // 8]
             if len(self.rows) + len(part) > KEPT:
                 self.rows.clear()
             get = self.rows.get
             rows = [r if (r := get(c)) is not None else self._row(c) for c in part]
-            # exact in float64: sums of whole numbers far below 2**53
-            chunk = counts[s : s + KEPT // 8]
-            if chunk.sum() < 1 << 24:
-                total += (chunk.astype(np.float32) @ self.table[rows].astype(np.float32)).astype(np.int64)
-            else:
-                total += (chunk.astype(np.float64) @ self.table[rows].astype(np.float64)).astype(np.int64)
+            # sums of whole numbers below 2**24 (2**53) are exact in float32 (float64)
+            kind = np.float32 if n.sum() < 1 << 24 else np.float64
+            total += (n.astype(kind) @ self.table[rows].astype(kind)).astype(np.int64)
         return total
 
 
@@ -101,10 +95,20 @@ def learn(texts: DataFrame, dim: int = DIM, seed: int = 7) -> dict[str, np.ndarr
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of: dict[str, np.ndarray] = {}
         make = bundler(dim, seed)
+
+        def bundle(lang: str, some: list[np.ndarray]) -> None:
+            of[lang] = of.get(lang, 0) + make.vector(np.concatenate(some))
+
         for batch in batches:
+            waiting: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if (v := make.vector(text.as_py())) is not None:
-                    of[lang] = of.get(lang, 0) + v
+                if len(found := make.trigrams(text.as_py())):
+                    some = waiting.setdefault(lang, [])
+                    some.append(found)
+                    if len(some) >= AT_ONCE or len(found) >= 1 << 20:
+                        bundle(lang, waiting.pop(lang))
+            for lang, some in waiting.items():
+                bundle(lang, some)
         for lang, v in of.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(np.arange(dim, dtype=np.int32)), pa.array(v)], ["lang", "k", "v"])
 
@@ -127,7 +131,8 @@ def predict(text: Column, prototypes: dict[str, np.ndarray], dim: int = DIM, see
         for texts in batches:
             langs, scores = [], []
             for t in texts:
-                v = make.vector(t.as_py()) if names else None
+                found = make.trigrams(t.as_py()) if names else ()
+                v = make.vector(found) if len(found) else None
                 if v is None or not (size := np.linalg.norm(v)):
                     langs.append(UNKNOWN)
                     scores.append(0.0)
