@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .common import register, table
 from .langid import identify
+from .pii import mask
 from .quality import judge
 from .tokenize_bpe import encode_documents
 
@@ -60,3 +61,14 @@ def op2(spark, sf_dir):
 @register("op3_language_id")
 def op3(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
+
+
+#: The key of the registered query; a user passes a secret one.
+PII_KEY = b"quarry registered query"
+
+
+@register("op7_pii_pseudonyms")
+def op7(spark, sf_dir):
+    return mask(table(spark, sf_dir, "documents"), PII_KEY).select(
+        "doc_id", "text", F.size("spans").cast("long").alias("n_pii"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("spans.kind"))), ",").alias("kinds"))
