@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import url_filter, warc
+from . import html_main, url_filter, warc
 from .common import register, shared_path, table
 
 #: The rules of the registered query.
@@ -29,3 +29,8 @@ def op8(spark, sf_dir):
     path = shared_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     return warc.read_archives(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op9_html_main_text")
+def op9(spark, sf_dir):
+    return html_main.extract(table(spark, sf_dir, "pages"))
