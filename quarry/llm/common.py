@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def register(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir) -> DataFrame``; ``sql`` is its DuckDB equivalent where SQL can express it."""
 
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = query
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -24,6 +33,23 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors, unless PYTHONPATH or the folder already does."""
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root, sc = os.path.dirname(package), spark.sparkContext
+    if root in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) or sc.applicationId in _SHIPPED:
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="quarry-package-"), "quarry.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder in (package, os.path.dirname(os.path.abspath(__file__))):
+            for name in sorted(os.listdir(folder)):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

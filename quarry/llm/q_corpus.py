@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .common import register, table
 from .decontam import leaks
+from .neardup import near_duplicates
 
 OP5_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
@@ -33,3 +34,8 @@ def op5(spark, sf_dir):
         "doc_id", F.col("n_words").cast("long").alias("n_words"), hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"))
+
+
+@register("op6_near_duplicates")
+def op6(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
