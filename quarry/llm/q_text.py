@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import licenses
 from .common import register, table
 from .langid import identify
 from .pii import mask
@@ -72,3 +73,8 @@ def op7(spark, sf_dir):
     return mask(table(spark, sf_dir, "documents"), PII_KEY).select(
         "doc_id", "text", F.size("spans").cast("long").alias("n_pii"),
         F.array_join(F.array_sort(F.array_distinct(F.col("spans.kind"))), ",").alias("kinds"))
+
+
+@register("op4_license_scan", licenses.oracle_sql())
+def op4(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
