@@ -156,3 +156,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     prototypes = learn(docs.where(fold(id_col) != 1).select(col(lang_col).cast("string"), col(text_col)))
     out = docs.select(col(id_col), (fold(id_col) == 1).alias("held_out"), predict(col(text_col), prototypes).alias("_p"))
     return out.select(col(id_col), "held_out", F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
+
+
+def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose text has a language at all, columns unchanged."""
+    prototypes = learn(docs.where(fold(id_col) != 1).select(col(lang_col).cast("string"), col(text_col)))
+    return docs.where(predict(col(text_col), prototypes)["lang_pred"] != UNKNOWN)

@@ -106,6 +106,18 @@ def profile(text: Column) -> Column:
     return apply(text)
 
 
+def set_digest(text: Column) -> Column:
+    """The digest of ``profile`` alone."""
+
+    @F.arrow_udf("binary")
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            sets = (shingle_set(t.as_py()) for t in texts)
+            yield pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
+
+    return apply(text)
+
+
 def with_sets(docs: DataFrame, needed: DataFrame, rows: int) -> DataFrame:
     """(id, digest, set) of the classes in ``needed`` (id, digest), from ``docs`` (id, text)."""
     some = docs.join(broadcast_if(needed.select("id").distinct(), 8 * rows, BROADCAST_BYTES), "id", "left_semi")
@@ -339,18 +351,49 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return at.withColumn("pair", F.explode(pairs)).select(F.xxhash64("key", "pair.m", "pair.x", "pair.y").alias("key"), "id", "digest")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id, n_shingles, component_id and kept (the component's smallest id)."""
-    texts = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
-    own = written(texts.select("id", profile(F.col("text")).alias("p")).select("id", "p.*"), "neardup-profiles")
-    classes = own.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "tokens")).alias("m"))
+def classified(texts: DataFrame, own: DataFrame) -> DataFrame:
+    """(digest, id, component_id) of the classes of ``own`` (id, n_shingles, digest, tokens); id is the smallest."""
+    some = own.where("digest IS NOT NULL")
+    classes = some.where("id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "tokens")).alias("m"))
     classes = written(classes.select("m.id", "digest", "m.n_shingles", "m.tokens"), "neardup-classes")
     of = components(links(texts, classes))
     label = classes.select("id", "digest").join(of.withColumnRenamed("v", "id"), "id", "left")
-    label = label.select(F.col("digest").alias("_d"), F.coalesce("component", "id").alias("component_id"))
-    # a doc_id of several texts is one vertex: the smallest component of its texts
+    return written(label.select("digest", "id", F.coalesce("component", "id").alias("component_id")), "neardup-labels")
+
+
+def profiles(texts: DataFrame) -> DataFrame:
+    return written(texts.select("id", profile(F.col("text")).alias("p")).select("id", "p.*"), "neardup-profiles")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: its id, n_shingles, component_id and kept (the component's smallest id)."""
+    texts = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
+    own = profiles(texts)
+    label = classified(texts, own).select(F.col("digest").alias("_d"), "component_id")
     out = own.select("id", "n_shingles", "digest").join(label, F.col("digest") == F.col("_d"), "left")
     component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(
         F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
         F.when(component.isNull(), F.lit(True)).otherwise(F.coalesce(F.col("id") == component, F.lit(False))).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that near_duplicates keeps, all columns; of a kept row's repetitions one."""
+    texts = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
+    own = profiles(texts)
+    label = classified(texts, own)
+    counts = own.where("digest IS NOT NULL").groupBy("digest", "id").agg(F.count("*").alias("n")).where("n > 1")
+    alone = own.groupBy("digest").agg(F.count("*").alias("rows"))
+    told = label.join(alone.where("rows > 1").select("digest", "rows"), "digest", "left").where("rows > 1 OR component_id != id")
+    again = counts.select("digest", "id", F.lit(True).alias("again"))
+    told = written(told.join(again, ["digest", "id"], "left").select(F.col("digest").alias("_dd"), "component_id", F.coalesce("again", F.lit(False)).alias("again")), "neardup-told")
+    size = told.count() * 40  # bytes of a row, with room
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text, id_ = f"c{names.index(text_col)}", f"c{names.index(id_col)}"
+    rows = rows.withColumn("_digest", set_digest(F.col(text))).join(broadcast_if(told, size, BROADCAST_BYTES), F.col("_digest") == F.col("_dd"), "left")
+    kept = rows.where(F.col("component_id").isNull() | F.col(id_).cast("long").eqNullSafe(F.col("component_id")))
+    once = kept.where(F.coalesce("again", F.lit(False)))
+    columns = [f"c{i}" for i in range(len(names))]
+    once = once.groupBy(F.col(id_).alias("_id"), "_digest").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("r")).select("r.*")
+    return kept.where(~F.coalesce("again", F.lit(False))).select(*columns).unionByName(once).toDF(*names)
