@@ -25,18 +25,6 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     return F.broadcast(df) if n <= max_rows else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that has fewer partitions than task slots (e.g. one large row group).
-
-    At cluster scale a scan has far more splits than slots and this is a no-op; on
-    small inputs it lets the per-row work before the first shuffle use every core.
-    Filters and column pruning still pass below the repartition."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the session's ``spark.checkpoint.dir`` (survives executor loss)."""
     from ..session import checkpoint_dir

@@ -1,23 +1,20 @@
 """Exact quantiles (pandas ``linear`` interpolation) without one giant aggregation buffer.
 
-Spark's ``percentile`` keeps a map of every distinct value in one aggregation
-buffer, and a global aggregate merges all of them into one task.  That does not
-survive a 100 TB column.  This module computes the same numbers as a sequence of
-distributed jobs over a *long* table ``(key..., v)``:
-
-1. ``n`` per key; target ranks ``floor((n-1)p)`` and the next one.
-2. While a key has more than ``threshold`` rows inside a target's bracket, narrow
-   the bracket: ``percentile_approx`` gives a grid of candidate values per
-   bracket (bounded sketch memory, partial aggregation), the bracket moves to
-   grid points that safely enclose the target rank, and one conditional-count
-   pass fixes the exact number of rows below / inside each new bracket.
-3. Inside the final brackets: ``groupBy(bracket, v).count()`` (hot values
-   collapse to one row), a running sum per bracket, and a range match of the
-   target ranks against the value runs.
-
-All bracket tables are tiny (keys x ranks); they are broadcast only after a
-row count, and checkpointed between rounds.  At test scale step 2 never runs
-and the whole thing is one aggregation plus one windowed pass per key.
+Spark's ``percentile`` keeps a map of every distinct value in one aggregation buffer, and a global
+aggregate merges all of them into one task.  This module finds the values at the target ranks of a
+*long* table ``(key..., v)`` by counting, the same way at every size:
+
+1. Values fall into intervals by sign and binary exponent; one ``groupBy(key, interval)`` gives each
+   interval's count, smallest and largest value (partial aggregation, a few thousand groups a key).
+2. Running counts place each target rank in its interval.  An interval of a single value is done.
+3. While an open interval holds more than ``limit`` rows, the rows of the open intervals (found by an
+   equi-join on key and interval path) fall into ``PARTS`` equal slices between its smallest and
+   largest value, and are counted again.  Values of one interval share their exponent, so a slice
+   settles 12 of at most 52 bits: at most six counts in all, two or three as a rule.
+4. Inside the last open intervals the distinct values are counted and ranked.
+
+Each round costs one count a row; nothing depends on a sample, and no aggregate grows with the
+number of ranks.  Interval tables are checkpointed between rounds.
 """
 
 from __future__ import annotations
@@ -28,13 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
-from .guards import BROADCAST_MAX_ROWS, bounded_broadcast, cut_lineage, small
+from .guards import bounded_broadcast, cut_lineage
 
-THRESHOLD = 2_000_000  # max rows (before value collapsing) in a final bracket
-GRID = 1000  # grid points per refinement round
-ACCURACY = 20_000  # percentile_approx accuracy (rank error <= n / ACCURACY < n / GRID)
-MAX_ROUNDS = 8
-MATCH_BY_JOIN = 64  # ranks per key up to which the range match is a join
+LIMIT = 1_000_000  # rows of an interval that one task may rank
+PARTS = 4096  # slices of an interval
 
 
 def long_format(df: DataFrame, cols: Sequence[str], key: str = "key", value: str = "v") -> DataFrame:
@@ -43,104 +37,6 @@ def long_format(df: DataFrame, cols: Sequence[str], key: str = "key", value: str
     return df.select(F.inline(F.array(*structs))).where(F.col(value).isNotNull())
 
 
-def _keys_match(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[f"{prefix}{k}"])
-    return cond
-
-
-def _in_bracket(v: Column, lo: Column, hi: Column) -> Column:
-    return (lo.isNull() | (v >= lo)) & (hi.isNull() | (v <= hi))
-
-
-def _bid(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*[F.col(k) for k in keys], F.col("lo"), F.col("hi"))
-
-
-def _join_brackets(long: DataFrame, brackets: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows of ``long`` inside each bracket of their key (bracket keys renamed to ``_b_<k>``)."""
-    b = brackets.select(*[F.col(k).alias(f"_b_{k}") for k in keys], *[c for c in brackets.columns if c not in keys])
-    b = bounded_broadcast(b)
-    cond = _keys_match(long, b, keys, "_b_") & _in_bracket(long[value], b["lo"], b["hi"])
-    return long.join(b, cond, "inner")
-
-
-def _refine(long: DataFrame, br: DataFrame, keys: Sequence[str], value: str, threshold: int) -> DataFrame:
-    """One narrowing round for brackets holding more than ``threshold`` rows."""
-    v = F.col(value)
-    need = br.where((F.col("inside") > threshold) & ~F.coalesce(F.col("lo") == F.col("hi"), F.lit(False)))
-    keep = br.subtract(need)
-    need = need.withColumn("bid", _bid(keys))
-    old = need.select(*keys, "lo", "hi", "bid").distinct()
-    rows = _join_brackets(long, old, keys, value)
-    grid = rows.groupBy("bid").agg(
-        F.percentile_approx(v, [j / GRID for j in range(GRID + 1)], ACCURACY).alias("_grid")
-    )
-    t = (F.col("rank") - F.col("below")) / F.greatest(F.col("inside") - 1, F.lit(1))
-    jlo = F.floor(t * GRID).cast("int") - 2
-    jhi = F.ceil(t * GRID).cast("int") + 2
-    cand = (
-        need.join(grid, "bid")
-        .withColumn("nlo", F.when(jlo >= 0, F.get(F.col("_grid"), jlo)).otherwise(F.col("lo")))
-        .withColumn("nhi", F.when(jhi <= GRID, F.get(F.col("_grid"), jhi)).otherwise(F.col("hi")))
-        .drop("_grid")
-    )
-    cand = small(cand)
-    # Exact counts below/inside each candidate bracket: one conditional-count pass per key
-    # over a sorted array of the key's candidate bounds (<= 4 bounds per rank).
-    bounds = cand.groupBy(*keys).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.array("nlo", "nhi")))))).alias("_bounds")
-    )
-    width = max(1, cand.select(F.max(F.size(F.array_compact(F.array("nlo", "nhi"))))).first()[0] or 1)
-    per_key = cand.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
-    slots = width * per_key
-    bj = bounded_broadcast(bounds.select(*[F.col(k).alias(f"_b_{k}") for k in keys], "_bounds"))
-    counted = long.join(bj, _keys_match(long, bj, keys, "_b_")).groupBy(*[F.col(f"_b_{k}").alias(k) for k in keys]).agg(
-        F.array(*[F.sum(F.when(v < F.get(F.col("_bounds"), j), 1).otherwise(0)) for j in range(slots)]).alias("lt"),
-        F.array(*[F.sum(F.when(v <= F.get(F.col("_bounds"), j), 1).otherwise(0)) for j in range(slots)]).alias("le"),
-        F.count(v).alias("cnt"),
-    )
-    joined = cand.join(bounds, list(keys)).join(counted, list(keys))
-    pos_lo = F.array_position(F.col("_bounds"), F.col("nlo")).cast("int") - 1
-    pos_hi = F.array_position(F.col("_bounds"), F.col("nhi")).cast("int") - 1
-    nbelow = F.when(F.col("nlo").isNull(), F.lit(0)).otherwise(F.get(F.col("lt"), pos_lo)).cast("long")
-    nle = F.when(F.col("nhi").isNull(), F.col("cnt")).otherwise(F.get(F.col("le"), pos_hi)).cast("long")
-    upd = joined.select(
-        *keys, "rank", "lo", "hi", "below", "inside",
-        F.col("nlo"), F.col("nhi"), nbelow.alias("nbelow"), (nle - nbelow).alias("ninside"),
-    )
-    ok = (F.col("nbelow") <= F.col("rank")) & (F.col("rank") < F.col("nbelow") + F.col("ninside")) & (
-        F.col("ninside") < F.col("inside")
-    )
-    # A candidate that does not enclose the rank (never expected) or does not shrink keeps the old
-    # bracket and is marked final by giving it lo == hi semantics through a zero-size flag.
-    refined = upd.select(
-        *keys, "rank",
-        F.when(ok, F.col("nlo")).otherwise(F.col("lo")).alias("lo"),
-        F.when(ok, F.col("nhi")).otherwise(F.col("hi")).alias("hi"),
-        F.when(ok, F.col("nbelow")).otherwise(F.col("below")).alias("below"),
-        F.when(ok, F.col("ninside")).otherwise(F.lit(-1) * F.col("inside")).alias("inside"),
-    )
-    return keep.unionByName(refined)
-
-
-def _select(long: DataFrame, br: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Exact value at every (key, rank) from its final bracket."""
-    br = br.withColumn("bid", _bid(keys))
-    fb = br.select(*keys, "lo", "hi", "below", "bid").distinct()
-    rows = _join_brackets(long, fb, keys, value)
-    runs = rows.groupBy("bid", "below", value).count()
-    w = Window.partitionBy("bid").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    runs = runs.withColumn("end", F.col("below") + F.sum("count").over(w))
-    runs = runs.withColumn("start", F.col("end") - F.col("count")).select(
-        F.col("bid").alias("_rbid"), "start", "end", F.col(value).alias("val")
-    )
-    ranks = bounded_broadcast(br.select(*keys, "rank", "bid"))
-    cond = (runs["_rbid"] == ranks["bid"]) & (runs["start"] <= ranks["rank"]) & (ranks["rank"] < runs["end"])
-    return runs.join(ranks, cond).select(*keys, "rank", "val")
-
-
 def _lerp(v0: Column, v1: Column, frac: Column) -> Column:
     """numpy's linear interpolation (lerp from the nearer end)."""
     diff = v1 - v0
@@ -157,95 +53,85 @@ def _prob_grid(probs: Sequence[float]) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
 
 
-def _direct(long: DataFrame, probs: Sequence[float], keys: Sequence[str], value: str, n_keys: int) -> DataFrame:
-    """Every key fits one bracket: value runs with running counts, matched to the target ranks.
+def _exponent(v: Column) -> Column:
+    """Interval by sign and binary exponent; never decreasing in v."""
+    size = F.floor(F.log2(F.abs(v))).cast("int") + 1100
+    infinite = F.abs(v) == float("inf")
+    return (F.when(v == 0, F.lit(0)).when(infinite, F.signum(v).cast("int") * 5000)
+            .when(v > 0, size).otherwise(-size))
 
-    The target table has keys x probs rows; it is broadcast when that product is
-    within the broadcast bound, so the range match is a hash probe per run."""
-    stats = long.groupBy(*keys).agg(F.count(F.col(value)).alias("n"))
-    grid = _prob_grid(probs)
-    targets = (
-        stats.select(*keys, "n", F.inline(grid))
-        .withColumn("h", (F.col("n") - 1) * F.col("p"))
-        .withColumn("r0", F.floor("h").cast("long"))
-        .withColumn("r1", F.least(F.col("r0") + 1, F.col("n") - 1))
-    )
-    ranks = targets.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "pi",
-                           F.posexplode(F.array("r0", "r1")).alias("side", "rank"))
-    if n_keys * len(probs) * 2 <= BROADCAST_MAX_ROWS:
-        ranks = F.broadcast(ranks)
-    runs = long.groupBy(*keys, value).count()
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    runs = runs.withColumn("end", F.sum("count").over(w)).withColumn("start", F.col("end") - F.col("count"))
-    if len(probs) * 2 <= MATCH_BY_JOIN:
-        # few ranks per key: hash probe on the key, range test against each of its ranks
-        cond = _keys_match(runs, ranks, keys, "_t_") & (runs["start"] <= ranks["rank"]) & (ranks["rank"] < runs["end"])
-        hits = runs.join(ranks, cond).select(*keys, "pi", "side", F.col(value).alias("val"))
-    else:
-        # many ranks per key: merge ranks into the run sequence; each rank takes the last run started at or before it
-        r_rows = ranks.select(*[F.col(f"_t_{k}").alias(k) for k in keys], F.col("rank").alias("pos"), F.lit(1).alias("kind"),
-                              F.lit(None).cast("double").alias("val"), "pi", "side")
-        v_rows = runs.select(*keys, F.col("start").alias("pos"), F.lit(0).alias("kind"), F.col(value).cast("double").alias("val"),
-                             F.lit(None).cast("int").alias("pi"), F.lit(None).cast("int").alias("side"))
-        mw = Window.partitionBy(*keys).orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        merged = v_rows.unionByName(r_rows).withColumn("val", F.last("val", ignorenulls=True).over(mw))
-        hits = merged.where(F.col("kind") == 1).select(*keys, "pi", "side", "val")
-    picked = hits.groupBy(*keys, "pi").agg(
-        F.max(F.when(F.col("side") == 0, F.col("val"))).alias("v0"),
-        F.max(F.when(F.col("side") == 1, F.col("val"))).alias("v1"),
-    )
-    t = targets.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col("pi").alias("_t_pi"), "p", "n", "h")
-    out = picked.join(t, _keys_match(picked, t, keys, "_t_") & (picked["pi"] == t["_t_pi"]))
-    frac = F.col("h") - F.floor("h")
-    return out.select(*keys, "pi", "p", "n", _lerp(F.col("v0"), F.col("v1"), frac).alias("q"))
 
+def _slice(v: Column, lo: Column, hi: Column) -> Column:
+    return F.least(F.floor((v - lo) / (hi - lo) * PARTS).cast("int"), F.lit(PARTS - 1))
 
-def exact_quantiles(
-    long: DataFrame,
-    probs: Sequence[float],
-    keys: Sequence[str] = ("key",),
-    value: str = "v",
-    threshold: int = THRESHOLD,
-) -> DataFrame:
+
+def _place(runs: DataFrame, ranks: DataFrame, part: list[str], order: str) -> DataFrame:
+    """For each rank (part..., rank, rel) the last run (part..., order, c, lo, hi) that starts at or before rel.
+
+    ``rel`` becomes the rank within that run."""
+    before = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("pos", F.coalesce(F.sum("c").over(before), F.lit(0)).cast("long"))
+    run = F.struct(F.col(order).alias("at"), "pos", "c", "lo", "hi")
+    kind = runs.select(run.alias("run")).schema["run"].dataType
+    both = runs.select(*part, "pos", F.lit(0).alias("kind"), run.alias("run"), F.lit(None).cast("long").alias("rank")).unionByName(
+        ranks.select(*part, F.col("rel").alias("pos"), F.lit(1).alias("kind"), F.lit(None).cast(kind).alias("run"), "rank"))
+    upto = Window.partitionBy(*part).orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = both.withColumn("run", F.last("run", ignorenulls=True).over(upto)).where("kind = 1")
+    return hit.select(*part, "rank", (F.col("pos") - F.col("run.pos")).alias("rel"), F.col("run.at").alias(order), "run.c", "run.lo", "run.hi")
+
+
+def _within(rows: DataFrame, intervals: DataFrame, part: list[str]) -> DataFrame:
+    """The rows that lie in one of the intervals, with its lo and hi."""
+    iv = bounded_broadcast(intervals.select(*[F.col(c).alias(f"_{c}") for c in part], "lo", "hi"))
+    cond = F.lit(True)
+    for c in part:
+        cond = cond & rows[c].eqNullSafe(iv[f"_{c}"])
+    return rows.join(iv, cond).drop(*[f"_{c}" for c in part])
+
+
+def exact_quantiles(long: DataFrame, probs: Sequence[float], keys: Sequence[str] = ("key",), value: str = "v", limit: int = LIMIT) -> DataFrame:
     """``(keys..., pi, p, n, q)``: pandas-linear quantiles of ``value`` per key."""
-    keys = list(keys)
-    v = F.col(value)
-    long = long.where(v.isNotNull())
-    top = long.groupBy(*keys).count().agg(F.max("count"), F.count(F.lit(1))).first()
-    biggest, n_keys = top[0], top[1]
-    if biggest is None:
-        spark = long.sparkSession
-        schema = long.select(*keys).schema.simpleString()[7:-1]
-        return spark.createDataFrame([], f"{schema}, pi int, p double, n long, q double")
-    if biggest <= threshold:
-        return _direct(long, probs, keys, value, n_keys)
-    stats = long.groupBy(*keys).agg(F.count(v).alias("n"))
-    grid = _prob_grid(probs)
-    targets = (
-        stats.select(*keys, "n", F.inline(grid))
-        .withColumn("h", (F.col("n") - 1) * F.col("p"))
-        .withColumn("r0", F.floor("h").cast("long"))
-        .withColumn("r1", F.least(F.col("r0") + 1, F.col("n") - 1))
-        .withColumn("frac", F.col("h") - F.col("r0"))
-    )
-    targets = small(targets)
-    br = targets.select(*keys, F.explode(F.array("r0", "r1")).alias("rank"), "n").distinct().select(
-        *keys, "rank",
-        F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
-        F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"),
-    )
-    br = small(br)
-    for _ in range(MAX_ROUNDS):
-        if br.where(F.col("inside") > threshold).limit(1).count() == 0:
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = long.select(*[q(k).alias(n) for k, n in zip(keys, names)], q(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    part, bucket, v = list(names), _exponent(F.col("_v")), F.col("_v")
+    found: list[DataFrame] = []
+    targets = ranks = None
+    for depth in range(8):
+        rows = rows.withColumn(f"_b{depth}", bucket).drop("lo", "hi")
+        runs = rows.groupBy(*part, f"_b{depth}").agg(F.count("*").alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        if targets is None:
+            runs = cut_lineage(runs)
+            n = runs.groupBy(*names).agg(F.sum("c").alias("n"))
+            targets = n.select(*names, "n", F.inline(_prob_grid(probs))).withColumn("h", (F.col("n") - 1) * F.col("p"))
+            targets = targets.withColumn("r0", F.floor("h").cast("long"))
+            ranks = targets.select(*names, F.explode(F.array("r0", F.least(F.col("r0") + 1, F.col("n") - 1))).alias("rank")).distinct()
+            ranks = ranks.withColumn("rel", F.col("rank"))
+        hit = cut_lineage(_place(runs, ranks, part, f"_b{depth}"))
+        found.append(hit.where("lo = hi").select(*names, "rank", F.col("lo").alias("val")))
+        part.append(f"_b{depth}")
+        open_ = hit.where("lo < hi")
+        largest = open_.agg(F.max("c")).first()[0]
+        if largest is None:
+            break
+        rows = _within(rows, open_.select(*part, "lo", "hi").distinct(), part)
+        ranks = open_.select(*part, "rank", "rel")
+        if largest <= limit:
+            runs = rows.groupBy(*part, "_v").agg(F.count("*").alias("c")).withColumns({"lo": v, "hi": v})
+            found.append(_place(runs, ranks, part, "_v").select(*names, "rank", F.col("lo").alias("val")))
             break
-        br = cut_lineage(_refine(long, br, keys, value, threshold))
-    br = br.withColumn("inside", F.abs("inside"))
-    vals = _select(long, br, keys, value)
-    v0 = vals.select(*[F.col(k).alias(f"_0{k}") for k in keys], F.col("rank").alias("_r0"), F.col("val").alias("v0"))
-    v1 = vals.select(*[F.col(k).alias(f"_1{k}") for k in keys], F.col("rank").alias("_r1"), F.col("val").alias("v1"))
-    out = targets.join(v0, _keys_match(targets, v0, keys, "_0") & (targets["r0"] == v0["_r0"]))
-    out = out.join(v1, _keys_match(out, v1, keys, "_1") & (out["r1"] == v1["_r1"]))
-    return out.select(*keys, "pi", "p", "n", _lerp(F.col("v0"), F.col("v1"), F.col("frac")).alias("q"))
+        bucket = _slice(v, F.col("lo"), F.col("hi"))
+    at = found[0]
+    for more in found[1:]:
+        at = at.unionByName(more)
+    frac = F.col("h") - F.col("r0")
+    sides = targets.select("*", F.posexplode(F.array("r0", F.least(F.col("r0") + 1, F.col("n") - 1))).alias("side", "rank"))
+    ranked = at.select(*[F.col(n).alias(f"_{n}") for n in names], F.col("rank").alias("_rank"), "val")
+    cond = sides["rank"] == ranked["_rank"]
+    for n in names:
+        cond = cond & sides[n].eqNullSafe(ranked[f"_{n}"])
+    both = sides.join(ranked, cond).groupBy(*names, "pi", "p", "n", "h", "r0").agg(
+        F.max(F.when(F.col("side") == 0, F.col("val"))).alias("v0"), F.max(F.when(F.col("side") == 1, F.col("val"))).alias("v1"))
+    return both.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "pi", "p", "n", _lerp(F.col("v0"), F.col("v1"), frac).alias("q"))
 
 
 def approx_quantiles(

@@ -18,12 +18,12 @@ def test_direct_matches_pandas(spark):
         assert np.allclose(got[c], [pdf[c].quantile(p) for p in PROBS], rtol=0, atol=1e-9)
 
 
-@pytest.mark.parametrize("threshold", [300, 5000])
-def test_refinement_matches_pandas(spark, threshold):
-    """Brackets narrowed by sketch grids + exact counts give the same numbers."""
+@pytest.mark.parametrize("limit", [1, 300, 5000])
+def test_refinement_matches_pandas(spark, limit):
+    """Intervals split by several rounds of counts give the same numbers."""
     df = table(spark, SF, "lineitem_gappy")
     long = Q.long_format(df, ["price_n", "l_tax"])
-    rows = Q.exact_quantiles(long, PROBS, threshold=threshold).collect()
+    rows = Q.exact_quantiles(long, PROBS, limit=limit).collect()
     pdf = df.select("price_n", "l_tax").toPandas()
     for r in rows:
         assert abs(r["q"] - pdf[r["key"]].quantile(r["p"])) < 1e-9
@@ -36,7 +36,7 @@ def test_grouped_keys_with_hot_group(spark):
     df = table(spark, SF, "lineitem").select(
         F.when(F.col("l_linenumber") <= 5, F.lit("hot")).otherwise(F.col("l_returnflag")).alias("g"),
         F.col("l_extendedprice").alias("v"))
-    got = Q.exact_quantiles(df, [0.1, 0.5, 0.9], keys=["g"], threshold=2000).collect()
+    got = Q.exact_quantiles(df, [0.1, 0.5, 0.9], keys=["g"], limit=2000).collect()
     pdf = df.toPandas()
     for r in got:
         exp = pdf[pdf.g == r["g"]].v.quantile(r["p"])
@@ -48,3 +48,31 @@ def test_all_null_column_gives_no_rows(spark):
 
     df = table(spark, SF, "region").select(F.lit(None).cast("double").alias("x"))
     assert Q.column_quantiles(df, ["x"], [0.5]) == {"x": [None]}
+
+
+@pytest.mark.parametrize("limit", [1, 100, 10**6])
+def test_zero_heavy_wide_and_signed(spark, limit):
+    """Zeros between negatives and positives, huge exponents, NULL keys, 1001 knots."""
+    import pandas as pd
+
+    values = [-float(i) for i in range(1, 6)] + [0.0] * 3000 + [float(i) for i in range(1, 6)] + [1e300, -1e300, 5e-324, 1e-7]
+    df = spark.createDataFrame([("a", v) for v in values] + [(None, v * 2) for v in values[::3]], "key string, v double")
+    probs = [j / 1000 for j in range(1001)]
+    pdf = df.toPandas()
+    for r in Q.exact_quantiles(df, probs, limit=limit).collect():
+        of = pdf[pdf.key.isna()] if r["key"] is None else pdf[pdf.key == r["key"]]
+        want = np.quantile(of.v.to_numpy(), r["p"])
+        assert r["n"] == len(of) and abs(r["q"] - want) <= 1e-9 * max(1, abs(want)), r
+
+
+def test_plan_does_not_grow_with_ranks(spark):
+    """No aggregate per rank: 1001 knots plan as few aggregate expressions as 3."""
+    df = table(spark, SF, "lineitem").select(F_lit("x"), "l_extendedprice").toDF("key", "v")
+    plan = Q.exact_quantiles(df, [j / 1000 for j in range(1001)], limit=500)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("max(") + plan.count("count(") < 40
+
+
+def F_lit(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x)
