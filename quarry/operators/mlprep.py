@@ -9,32 +9,29 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, q
 from ..plans.guards import BROADCAST_MAX_ROWS, small
-from ..plans.ordered import global_row_number
+from ..plans.ordered import first_rows, global_row_number
 
 EPS = 2.220446049250313e-16  # float64 machine epsilon, the MAPE divisor floor
 
 
-def split_time(df: DataFrame, time: str, ratio: float = 0.2, tiebreak: list[str] | None = None) -> DataFrame:
-    """Sort by ``time`` (then ``tiebreak``); the first int(n (1 - ratio)) rows are train, the rest validation.
+def split_time(df: DataFrame, time: str, ratio: float = 0.2, tiebreak: list[str] | None = None, **kw) -> DataFrame:
+    """Sort by ``time`` (then ``tiebreak``), undated rows last; the first int(n (1 - ratio)) rows are train, the rest validation.
 
-    Adds ``split`` ('train' / 'val').  The position comes from the bucketed global row number."""
+    Adds ``split`` ('train' / 'val').  Rows are compared with the key at the cut; they don't move."""
     n = df.count()
-    cut = int(n * (1 - ratio))
-    order = [time] + list(tiebreak or [])
-    numbered = global_row_number(df, order, name="_pos", n=n)
-    return numbered.withColumn("split", F.when(F.col("_pos") <= cut, "train").otherwise("val")).drop("_pos")
+    d = df.withColumn("_undated", q(time).isNull())
+    flagged = first_rows(d, ["_undated", time, *(tiebreak or [])], int(n * (1 - ratio)), "_first", n, **kw)
+    return flagged.withColumn("split", F.when(F.col("_first"), "train").otherwise("val")).drop("_undated", "_first")
 
 
-def split_random(df: DataFrame, key: str | list[str], ratio: float = 0.2, seed: int = 42) -> DataFrame:
+def split_random(df: DataFrame, key: str | list[str], ratio: float = 0.2, seed: int = 42, **kw) -> DataFrame:
     """Exact-size repeatable random split: validation = the ceil(n ratio) rows with the smallest
     md5(key || seed); adds ``split``.  Unlike ``randomSplit`` the sizes are exact."""
     keys = [key] if isinstance(key, str) else list(key)
     n = df.count()
-    n_val = math.ceil(n * ratio)
     h = F.md5(F.concat_ws("|", *[q(k).cast("string") for k in keys], F.lit(str(seed))))
-    d = df.withColumn("_h", h)
-    numbered = global_row_number(d, ["_h", *keys], name="_pos", n=n)
-    return numbered.withColumn("split", F.when(F.col("_pos") <= n_val, "val").otherwise("train")).drop("_pos", "_h")
+    flagged = first_rows(df.withColumn("_h", h), ["_h", *keys], math.ceil(n * ratio), "_first", n, **kw)
+    return flagged.withColumn("split", F.when(F.col("_first"), "val").otherwise("train")).drop("_h", "_first")
 
 
 def split_shapes(split_df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -86,6 +83,7 @@ def eval_classification(df: DataFrame, label: str, pred: str, threshold: float |
 def eval_regression(df: DataFrame, label: str, pred: str) -> DataFrame:
     """R^2, RMSE, MAPE and 1 - MAPE in one aggregate (after the label mean)."""
     y, p = q(label).cast("double"), q(pred).cast("double")
+    df = df.where(y.isNotNull() & p.isNotNull())  # incomplete pairs tell nothing, the mean included
     mean = df.agg(F.avg(y)).first()[0]
     agg = df.agg(
         F.sum(F.pow(y - p, 2)).alias("ss_res"), F.sum(F.pow(y - F.lit(mean), 2)).alias("ss_tot"),

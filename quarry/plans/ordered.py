@@ -2,16 +2,18 @@
 
 ``Window.orderBy`` with no partition moves every row to one task.  Instead:
 
-1. A bounded sample of the order key (about 64 rows per bucket), sorted by
-   Spark, gives B-1 boundary keys; they are collected once, so re-evaluation
-   cannot move them.
-2. ``bucket`` = number of boundaries below the key: a binary-search CASE tree of
-   struct comparisons (log2 B comparisons per row, all JVM-side).  Buckets are
-   contiguous ranges of the order, so a duplicate-heavy key is split by its
-   tie-break columns.
-3. Each bucket is windowed on its own; a tiny per-bucket summary (count, last
-   non-NULL value, max key) goes through a window over at most B rows per group
-   and is joined back as a carry / offset.
+1. A sample of the order key (about ``SAMPLE_PER_BUCKET`` rows a bucket) is sorted and numbered by
+   Spark; every m-th key is a boundary.  The boundaries are checkpointed, so re-evaluation cannot
+   move them, and enter the plan as one scalar subquery, not as literals.
+2. ``bucket`` = number of boundaries below the key, by a binary search whose steps are projections
+   (log2 B comparisons a row, all JVM-side).  Buckets are contiguous ranges of the order, so a
+   duplicate-heavy key is split by its tie-break columns.  There are as many buckets as rows ask
+   for, without a ceiling.
+3. Each bucket is windowed on its own; a per-bucket summary (count, last non-NULL value, max key)
+   goes through a window over one row per bucket and group and is joined back as a carry / offset.
+
+Splits and pages move no payload: the key at a rank is found on the key columns alone, and rows are
+compared with it.
 """
 
 from __future__ import annotations
@@ -23,52 +25,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
-from .guards import bounded_broadcast
+from .guards import bounded_broadcast, cut_lineage
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 1024
 SAMPLE_PER_BUCKET = 64
 BUCKET = "_bk"
 
 
-def _struct_lit(values, types) -> Column:
-    return F.struct(*[F.lit(v).cast(t) for v, t in zip(values, types)])
+def _key(order_cols: Sequence[str]) -> Column:
+    """The order key as one struct with helper field names (any column name works)."""
+    return F.struct(*[q(c).alias(f"k{i}") for i, c in enumerate(order_cols)])
 
 
-def _tree(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
-    """Index in [lo, hi] = number of bounds[0..] strictly below ``key`` (bounds sorted)."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key > bounds[mid], _tree(key, bounds, mid + 1, hi)).otherwise(_tree(key, bounds, lo, mid))
+def _boundaries(df: DataFrame, order_cols: Sequence[str], n: int, want: int, seed: int) -> DataFrame:
+    """About ``want`` - 1 distinct keys (column ``b``) that cut the order into even ranges."""
+    keys = df.select(_key(order_cols).alias("b"))
+    sample = cut_lineage(keys.sample(False, min(1.0, want * SAMPLE_PER_BUCKET / max(n, 1)), seed).sort("b")
+                         .select("b", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i")))
+    # place in the sorted sample: partitions are in order, ids rise within each
+    parts = sample.groupBy("p").agg(F.count("*").alias("c"), F.min("i").alias("first"))
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition of the sample
+    parts = parts.withColumn("off", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    placed = sample.join(bounded_broadcast(parts.select("p", "first", "off")), "p").withColumn("at", F.col("off") + F.col("i") - F.col("first"))
+    m = sample.count()
+    return placed.where((F.col("at") > 0) & (F.floor(F.col("at") * want / m) != F.floor((F.col("at") - 1) * want / m))).select("b").distinct()
 
 
-def bucket_column(df: DataFrame, order_cols: Sequence[str], n: int | None = None,
-                  rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS, seed: int = 7):
-    """(bucket Column, number of buckets) for contiguous ranges of ``order_cols`` (ascending, NULLs first)."""
+def with_buckets(df: DataFrame, order_cols: Sequence[str], n: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET, seed: int = 7) -> tuple[DataFrame, int]:
+    """``df`` with a bucket column for contiguous ranges of ``order_cols`` (ascending, NULLs first), and the number of buckets."""
     n = df.count() if n is None else n
-    want = min(max_buckets, max(1, math.ceil(n / rows_per_bucket)))
-    if want <= 1:
-        return F.lit(0), 1
-    types = [df.schema[c].dataType for c in order_cols]
-    frac = min(1.0, want * SAMPLE_PER_BUCKET / max(n, 1))
-    sample = df.select(*[q(c) for c in order_cols]).sample(False, frac, seed).orderBy(*[q(c) for c in order_cols]).collect()
-    m = len(sample)
-    cuts = []
-    for i in range(1, want):
-        row = tuple(sample[min(m - 1, (i * m) // want)])
-        if not cuts or row != cuts[-1]:
-            cuts.append(row)
-    if not cuts:
-        return F.lit(0), 1
-    key = F.struct(*[q(c) for c in order_cols])
-    bounds = [_struct_lit(v, types) for v in cuts]
-    return _tree(key, bounds, 0, len(bounds)), len(bounds) + 1
-
-
-def with_buckets(df: DataFrame, order_cols: Sequence[str], **kw) -> tuple[DataFrame, int]:
-    col, nb = bucket_column(df, order_cols, **kw)
-    return df.withColumn(BUCKET, col), nb
+    want = max(1, math.ceil(n / rows_per_bucket))
+    if want == 1:
+        return df.withColumn(BUCKET, F.lit(0)), 1
+    cuts = cut_lineage(_boundaries(df, order_cols, n, want, seed))
+    nb = cuts.count()
+    if not nb:
+        return df.withColumn(BUCKET, F.lit(0)), 1
+    bounds = cuts.agg(F.array_sort(F.collect_list("b"))).scalar()
+    out, key = df.withColumn(BUCKET, F.lit(0)), _key(order_cols)
+    step = 1 << (nb.bit_length() - 1)
+    while step:
+        at = F.col(BUCKET) + (step - 1)
+        below = (at < nb) & (key > F.get(bounds, at))
+        out = out.withColumn(BUCKET, F.when(below, F.col(BUCKET) + step).otherwise(F.col(BUCKET)))
+        step //= 2
+    return out, nb + 1
 
 
 def global_row_number(df: DataFrame, order_cols: Sequence[str], name: str = "row_number", **kw) -> DataFrame:
@@ -78,13 +79,11 @@ def global_row_number(df: DataFrame, order_cols: Sequence[str], name: str = "row
     local = F.row_number().over(w)
     if nb == 1:
         return d.withColumn(name, local.cast("long")).drop(BUCKET)
-    counts = dict(d.groupBy(BUCKET).count().collect())  # <= nb rows
-    offsets, run = [], 0
-    for b in range(nb):
-        offsets.append(run)
-        run += counts.get(b, 0)
-    off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col(BUCKET) + 1)
-    return d.withColumn(name, (local + off).cast("long")).drop(BUCKET)
+    counts = cut_lineage(d.groupBy(BUCKET).agg(F.count("*").alias("_c")))
+    before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    offsets = bounded_broadcast(counts.select(F.col(BUCKET).alias("_ob"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off")))
+    out = d.withColumn("_local", local).join(offsets, F.col(BUCKET) == F.col("_ob"))
+    return out.withColumn(name, (F.col("_local") + F.col("_off")).cast("long")).drop(BUCKET, "_local", "_ob", "_off")
 
 
 def _fill(df: DataFrame, cols: Sequence[str], order_by: Sequence[str], partition_by: Sequence[str], forward: bool,
@@ -92,32 +91,24 @@ def _fill(df: DataFrame, cols: Sequence[str], order_by: Sequence[str], partition
     part = list(partition_by or [])
     order = list(order_by)
     d, nb = with_buckets(df, part + order, **kw)
-    okey = F.struct(*[q(c) for c in order])
-    if forward:
-        w = Window.partitionBy(BUCKET, *[q(p) for p in part]).orderBy(*[q(c) for c in order]).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        local = {c: F.last(q(c), ignorenulls=True).over(w) for c in cols}
-    else:
-        w = Window.partitionBy(BUCKET, *[q(p) for p in part]).orderBy(*[q(c) for c in order]).rowsBetween(
-            Window.currentRow, Window.unboundedFollowing)
-        local = {c: F.first(q(c), ignorenulls=True).over(w) for c in cols}
+    okey = _key(order)
+    # backwards the order is reversed, so that both frames grow by one row a step
+    by = [q(c) if forward else q(c).desc() for c in order]
+    w = Window.partitionBy(BUCKET, *[q(p) for p in part]).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = {c: F.last(q(c), ignorenulls=True).over(w) for c in cols}
     if nb == 1:
         return d.withColumns(local).drop(BUCKET)
     # carry between buckets, per partition group: last (first) non-NULL value of earlier (later) buckets
     pick = F.max_by if forward else F.min_by
-    summ = d.groupBy(BUCKET, *[q(p) for p in part]).agg(
+    summ = d.groupBy(BUCKET, *[q(p).alias(f"_cp{j}") for j, p in enumerate(part)]).agg(
         *[pick(q(c), F.when(q(c).isNotNull(), okey)).alias(f"_s{i}") for i, c in enumerate(cols)])
-    sw = Window.partitionBy(*[F.col(p) for p in part]).orderBy(BUCKET)
-    if forward:
-        sw = sw.rowsBetween(Window.unboundedPreceding, -1)
-        carry = [F.last(f"_s{i}", ignorenulls=True).over(sw).alias(f"_c{i}") for i in range(len(cols))]
-    else:
-        sw = sw.rowsBetween(1, Window.unboundedFollowing)
-        carry = [F.first(f"_s{i}", ignorenulls=True).over(sw).alias(f"_c{i}") for i in range(len(cols))]
-    carry_df = summ.select(F.col(BUCKET).alias("_cbk"), *[F.col(p).alias(f"_cp{j}") for j, p in enumerate(part)], *carry)
+    sw = Window.partitionBy(*[F.col(f"_cp{j}") for j in range(len(part))]).orderBy(F.col(BUCKET) if forward else F.col(BUCKET).desc())
+    sw = sw.rowsBetween(Window.unboundedPreceding, -1)
+    carry = [F.last(f"_s{i}", ignorenulls=True).over(sw).alias(f"_c{i}") for i in range(len(cols))]
+    carry_df = summ.select(F.col(BUCKET).alias("_cbk"), *[f"_cp{j}" for j in range(len(part))], *carry)
     if not part:
         carry_df = bounded_broadcast(carry_df)
-    cond = [d[BUCKET] == carry_df["_cbk"]] + [d[p].eqNullSafe(carry_df[f"_cp{j}"]) for j, p in enumerate(part)]
+    cond = [d[BUCKET] == carry_df["_cbk"]] + [q(p).eqNullSafe(carry_df[f"_cp{j}"]) for j, p in enumerate(part)]
     out = d.withColumns(local).join(carry_df, cond, "left")
     out = out.withColumns({c: F.coalesce(q(c), F.col(f"_c{i}")) for i, c in enumerate(cols)})
     return out.select(*[q(c) for c in df.columns])
@@ -147,16 +138,65 @@ def sorted_gaps(values: DataFrame, col: str, **kw) -> DataFrame:
     return out.withColumn("_prev", F.coalesce("_prev", "_carry")).drop(BUCKET, "_cbk", "_carry")
 
 
-def page(df: DataFrame, page_no: int = 1, page_size: int = 10, order_by: Sequence[str] | None = None) -> DataFrame:
+def key_at(df: DataFrame, order_cols: Sequence[str], rank: int, n: int, **kw) -> tuple:
+    """(values of ``order_cols`` at the 1-based ``rank``, rows below that key, rows equal to it).
+
+    Only the key columns move; of those, one bucket is sorted."""
+    keys = df.select(*[q(c).alias(f"k{i}") for i, c in enumerate(order_cols)])
+    names = keys.columns
+    d, nb = with_buckets(keys, names, n=n, **kw)
+    runs = d.groupBy(BUCKET, *names).agg(F.count("*").alias("_c"))
+    below = 0
+    if nb > 1:
+        counts = cut_lineage(d.groupBy(BUCKET).agg(F.count("*").alias("_c")))
+        before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+        placed = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+        at = placed.where((F.col("_off") < rank) & (F.col("_off") + F.col("_c") >= rank)).first()
+        runs, below = runs.where(F.col(BUCKET) == at[BUCKET]), at["_off"]
+    w = Window.partitionBy(BUCKET).orderBy(*names).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = runs.withColumn("_end", F.sum("_c").over(w) + below).where((F.col("_end") >= rank) & (F.col("_end") - F.col("_c") < rank)).first()
+    return tuple(r[c] for c in names), r["_end"] - r["_c"], r["_c"]
+
+
+def _compare(df: DataFrame, order_cols: Sequence[str], values: tuple) -> tuple[Column, Column]:
+    """The key of a row, and the literal key of ``values`` (NULLs first, like the sort)."""
+    kinds = [df.schema[c].dataType for c in order_cols]
+    return _key(order_cols), F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(values, kinds))])
+
+
+def first_rows(df: DataFrame, order_cols: Sequence[str], count: int, flag: str, n: int, **kw) -> DataFrame:
+    """``df`` with the boolean ``flag``: whether a row is among the first ``count`` in ``order_cols`` order.
+
+    Rows are compared with the key at that rank, so they don't move.  Only if that key has more rows than
+    fit are those rows numbered, in no particular order."""
+    if count <= 0 or count >= n:
+        return df.withColumn(flag, F.lit(count >= n and n > 0))
+    values, below, equal = key_at(df, order_cols, count, n, **kw)
+    key, cut = _compare(df, order_cols, values)
+    if below + equal == count:
+        return df.withColumn(flag, key <= cut)
+    ties = df.where(key == cut).withColumn("_tie", F.xxhash64(*[q(c) for c in df.columns]))
+    numbered = global_row_number(ties, ["_tie"], name="_pos", n=equal, **kw)
+    return df.where(key != cut).withColumn(flag, key < cut).unionByName(
+        numbered.withColumn(flag, F.col("_pos") <= count - below).drop("_tie", "_pos"))
+
+
+def page(df: DataFrame, page_no: int = 1, page_size: int = 10, order_by: Sequence[str] | None = None, **kw) -> DataFrame:
     """Rows of one page in ``order_by`` order, with ``total_rows`` and ``total_pages``.
 
-    The page is cut from a global row number (bucketed), not by sorting everything
-    into one task; ``order_by`` must be a unique key for a stable page."""
+    The keys at the page's first and last rank bound its rows; only those are sorted.
+    ``order_by`` must be a unique key for a stable page."""
     order = list(order_by or df.columns)
     n = df.count()
-    numbered = global_row_number(df, order, name="_rn", n=n)
-    lo = (page_no - 1) * page_size
+    lo, hi = (page_no - 1) * page_size + 1, min(page_no * page_size, n)
     pages = math.ceil(n / page_size) if page_size else 0
-    return (numbered.where((F.col("_rn") > lo) & (F.col("_rn") <= lo + page_size))
-            .withColumn("total_rows", F.lit(n).cast("long")).withColumn("total_pages", F.lit(pages).cast("long"))
-            .withColumnRenamed("_rn", "row_number"))
+    total = {"total_rows": F.lit(n).cast("long"), "total_pages": F.lit(pages).cast("long")}
+    if lo > hi:
+        return df.limit(0).withColumn("row_number", F.lit(0).cast("long")).withColumns(total)
+    first, below, _ = key_at(df, order, lo, n, **kw)
+    last, _, _ = key_at(df, order, hi, n, **kw)
+    key, a = _compare(df, order, first)
+    _, b = _compare(df, order, last)
+    numbered = global_row_number(df.where((key >= a) & (key <= b)), order, name="row_number", **kw)
+    numbered = numbered.withColumn("row_number", F.col("row_number") + below)
+    return numbered.where(F.col("row_number").between(lo, hi)).withColumns(total)
