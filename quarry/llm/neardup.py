@@ -18,7 +18,8 @@ of at least 0.75 are linked, and linked documents form components.
    compared in blocks of half a node, the largest component's own blocks among themselves left out.
 5. Components come from contraction rounds over the confirmed links.
 
-No node is capped or sampled; a task never holds more than one node of ``NODE`` classes.
+No node is capped or sampled; a task never holds more than one node of ``NODE``
+classes (272 bytes each) or the sets of ``GROUP`` shingles.
 
 Edge cases: a NULL or empty text has an empty set, is linked with nothing and kept.  Fewer than
 five words are one shingle.  Rows that share a doc_id are one vertex, even if their texts differ.
@@ -43,7 +44,9 @@ from .graph import components
 SHINGLE = 5
 #: Minwise tokens of a class; agreements that a likely pair has at least.
 TOKENS, LIKELY = 64, 31
-TREES, NODE, CHILDREN, DEPTH = 12, 512, 2, 4
+TREES, NODE, CHILDREN, DEPTH = 12, 4096, 2, 4
+#: Shingles of the sets that are confirmed together (8 bytes each); larger groups are split into pairs of blocks.
+GROUP = 8 << 20
 #: Ids of the classes whose sets are needed are broadcast up to this size.
 BROADCAST_BYTES = 8 << 20
 SIMILARITY = (75, 100)
@@ -158,15 +161,37 @@ def whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, n
         yield complete(pa.Table.from_batches(rest))
 
 
-def _labels(near: np.ndarray) -> np.ndarray:
-    """Component labels (the smallest member) of a symmetric matrix with a true diagonal."""
-    label = np.arange(len(near))
-    while True:
-        new = np.where(near, label, len(near)).min(axis=1)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+def _parts(near: np.ndarray) -> list[list[int]]:
+    """Components of two members and more of a symmetric matrix."""
+    seen = np.zeros(len(near), bool)
+    out = []
+    for root in range(len(near)):
+        if seen[root]:
+            continue
+        seen[root] = True
+        part = [root]
+        for i in part:  # grows while it is walked
+            new = np.flatnonzero(near[i] & ~seen)
+            seen[new] = True
+            part.extend(new.tolist())
+        if len(part) > 1:
+            out.append(part)
+    return out
+
+
+def _blocks(members: list[int], n: np.ndarray) -> list[list[int]]:
+    """Groups that hold each pair of members, of up to ``GROUP`` shingles (but for a pair of longer texts)."""
+    cuts: list[list[int]] = [[]]
+    held = 0
+    for i in members:
+        if cuts[-1] and held + n[i] > GROUP // 2:
+            cuts.append([])
+            held = 0
+        cuts[-1].append(i)
+        held += n[i]
+    if len(cuts) == 1:
+        return cuts
+    return [a + b for i, a in enumerate(cuts) for b in cuts[i + 1 :]]
 
 
 def likely_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,37 +212,58 @@ def likely_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 near[i : i + 64] = (t[i : i + 64, None] == t[None]).sum(axis=2, dtype=np.int16) >= LIKELY
             near &= SIMILARITY[1] * size[:, None] >= SIMILARITY[0] * size
             near &= near.T
-            label = _labels(near)
-            order = np.argsort(label, kind="stable")
-            cuts = np.flatnonzero(np.diff(label[order])) + 1
-            for members in np.split(order + a, cuts):
-                if len(members) > 1:
-                    own = sorted((digests[i], ids[i]) for i in members)
-                    group = int.from_bytes(hashlib.blake2b(b"".join(d for d, _ in own), digest_size=8).digest(), "big", signed=True)
-                    out[0].extend([group] * len(own))
-                    out[1].extend(int(i) for _, i in own)
-                    out[2].extend(d for d, _ in own)
+            for part in _parts(near):
+                own = sorted((a + i for i in part), key=lambda i: (digests[i], ids[i]))
+                for group in _blocks(own, n):
+                    key = hashlib.blake2b(b"".join(digests[i] for i in group), digest_size=8).digest()
+                    out[0].extend([int.from_bytes(key, "big", signed=True)] * len(group))
+                    out[1].extend(int(ids[i]) for i in group)
+                    out[2].extend(digests[i] for i in group)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["grp", "id", "digest"])
 
 
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections."""
+def similar_tree(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of similar sets that span the components of all such pairs.
+
+    From each reached set the ones not yet reached are counted through the posting lists of its
+    shingles; the lists shed reached sets whenever those are half of them."""
     m = len(sets)
+    size = np.array([len(s) for s in sets])
+
+    def similar(both: np.ndarray, i: int, size_j: np.ndarray) -> np.ndarray:
+        return SIMILARITY[1] * both >= SIMILARITY[0] * (size[i] + size_j - both)
+
     if m == 2:
-        n = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return np.array([[len(sets[0]), n], [n, len(sets[1])]])
-    owner = np.repeat(np.arange(m), [len(s) for s in sets])
-    values = np.concatenate(sets)
-    order = np.argsort(values, kind="stable")
-    owner, values = owner[order], values[order]
-    column = np.cumsum(np.concatenate([[0], values[1:] != values[:-1]])) if len(values) else values.astype(np.int64)
-    out = np.zeros((m, m))
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        a, b = np.searchsorted(column, [first, first + 4096])
-        grid = np.zeros((m, 4096), np.float32)
-        grid[owner[a:b], column[a:b] - first] = 1
-        out += grid @ grid.T  # counts below 2**24 are exact
-    return out.astype(np.int64)
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(0, 1)] if similar(both, 0, size[1]) else []
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    columns = np.split(column, np.cumsum(size)[:-1])
+    order = np.argsort(column, kind="stable")
+    owner = np.repeat(np.arange(m), size)[order]
+    column = column[order]
+    unreached, links = np.ones(m, bool), []
+    held = m
+    for root in range(m):
+        if not unreached[root]:
+            continue
+        unreached[root] = False
+        edge = [root]
+        for i in edge:  # grows while it is walked
+            left = int(unreached.sum())
+            if not left:
+                return links
+            if left <= held // 2 or held == m:
+                stay = unreached[owner]
+                owner, column, held = owner[stay], column[stay], left
+                starts = np.searchsorted(column, np.arange(len(values) + 1))
+            own = columns[i]
+            n = starts[own + 1] - starts[own]
+            at = np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            new = np.flatnonzero(similar(np.bincount(owner[at], minlength=m), i, size) & unreached)
+            unreached[new] = False
+            edge.extend(new.tolist())
+            links.extend((i, j) for j in new.tolist())
+    return links
 
 
 def confirmed_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,21 +274,7 @@ def confirmed_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         links: list[tuple[int, int]] = []
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
             sets = [np.frombuffer(raw[i].as_buffer(), np.uint64) for i in range(a, b)]
-            both = shared_counts(sets)
-            size = np.array([len(s) for s in sets])
-            near = SIMILARITY[1] * both >= SIMILARITY[0] * (size[:, None] + size - both)
-            seen = np.zeros(b - a, bool)
-            for root in range(b - a):
-                if seen[root]:
-                    continue
-                seen[root] = True
-                edge = [root]
-                while edge:
-                    i = edge.pop()
-                    for j in np.flatnonzero(near[i] & ~seen).tolist():
-                        seen[j] = True
-                        edge.append(j)
-                        links.append((ids[a + i], ids[a + j]))
+            links.extend((ids[a + i], ids[a + j]) for i, j in similar_tree(sets))
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
 
@@ -297,7 +329,9 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     if large.isEmpty():
         return found
     rows = written(roots.join(large.select("key", "leader"), "key").join(classes.select("id", "digest", "tokens"), ["id", "digest"]), "neardup-large")
-    leaders = classes.select(F.struct("id", "digest").alias("leader"), F.col("tokens").alias("l_tokens"))
+    first = written(large.select("leader").distinct(), "neardup-leaders")
+    leaders = first.join(classes.select(F.struct("id", "digest").alias("leader"), F.col("tokens").alias("l_tokens")), "leader")
+    leaders = broadcast_if(leaders, first.count() * (TOKENS * 4 + 64), BROADCAST_BYTES)
     pairs = rows.join(leaders, "leader").where("id != leader.id OR digest != leader.digest")
     agree = F.aggregate(F.zip_with("tokens", "l_tokens", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
     pairs = pairs.where(agree >= LIKELY).select("id", "digest", "leader").distinct()
