@@ -50,6 +50,12 @@ def _each_byte(error: UnicodeDecodeError):
 codecs.register_error("quarry-each-byte", _each_byte)
 
 
+def _split(ids: list[int], at: int) -> list[list[int]]:
+    """The stretches of ``ids`` between the places of ``at``."""
+    cuts = [-1, *(i for i, x in enumerate(ids) if x == at), len(ids)]
+    return [ids[a + 1 : b] for a, b in zip(cuts, cuts[1:])]
+
+
 class PrefixTableBPE:
     """Encoder and decoder for one SentencePiece BPE model file with byte fallback."""
 
@@ -63,10 +69,12 @@ class PrefixTableBPE:
         self.score: dict[str, float] = {}
         self.ids: dict[str, int] = {}
         self.byte_id = [0] * 256
+        self.control: list[int] = []
         self.surface: list[bytes] = [b""] * n
         for i in range(n):
             piece = sp.id_to_piece(i)
             if sp.is_control(i):
+                self.control.append(i)
                 continue
             if sp.is_unknown(i):
                 self.surface[i] = " ⁇ ".encode()
@@ -89,7 +97,9 @@ class PrefixTableBPE:
         self.unknown = "[^" + re.escape("".join(sorted(self.known))) + "]"
         marks = re.escape("".join(sorted(self._marks())))
         line = "" if "\n" in self.known else "\n"
-        self.unit = re.compile(f" *(?:[^\\W\\d_]++(?![^ {line}{marks}])|[^ {line}]+)| +" + (f"|{line}+" if line else ""))
+        # re's word characters include numerals that are not letters; after those, marks may join
+        letter = "[^\\W\\d_" + re.escape("".join(sorted(c for c in self.known if c.isalnum() and not c.isalpha()))) + "]"
+        self.unit = re.compile(f" *(?:{letter}++(?![^ {line}{marks}])|[^ {line}]+)| +" + (f"|{line}+" if line else ""))
         self.pair: dict[int, bool] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
 
@@ -209,7 +219,12 @@ class PrefixTableBPE:
 
     def decode(self, ids: list[int]) -> str:
         """The library's decode(ids): the added prefix, a space that leads the first piece, goes."""
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "quarry-each-byte")
+        body = ids[:-1] if ids and ids[-1] in self.control else ids
+        runs = [body]
+        for c in self.control:  # a control id ends a run of byte pieces
+            if c in body:
+                runs = [r for run in runs for r in _split(run, c)]
+        text = "".join(b"".join(map(self.surface.__getitem__, r)).decode("utf-8", "quarry-each-byte") for r in runs)
         first = next((i for i in ids if self.surface[i]), None)
         return text[1:] if text[:1] == " " and first not in self.raw else text
 
