@@ -54,19 +54,23 @@ CONTENT_WORDS = set("article articlebody body content entry main post story text
 MARKS = {"article", "main"}
 BOILER_TAGS = set("aside button dialog fieldset footer form header legend menu nav option".split())
 #: Prior counts (state 0, state 1) of what a node shows; all else starts at (1, 1).
-PRIOR = {("tag", t): (400.0, 0.5) for t in BOILER_TAGS} | {("tag", t): (1.0, 60.0) for t in MARKS} | {("word", "boiler"): (400.0, 0.5), ("word", "content"): (2.0, 20.0), ("word", "both"): (40.0, 2.0)}
+PRIOR = {("tag", t): (400.0, 0.5) for t in BOILER_TAGS} | {("tag", t): (1.0, 60.0) for t in MARKS} | {("tag", "p"): (1.0, 40.0)} | {("word", "boiler"): (400.0, 0.5), ("word", "content"): (2.0, 20.0), ("word", "both"): (40.0, 2.0)}
 #: Prior counts of pairs (kind of the child, parent state, state).
 PAIR_PRIOR = {
     ("plain", 0, 0): 20.0, ("plain", 0, 1): 1.0, ("plain", 1, 0): 0.5, ("plain", 1, 1): 20.0,
-    ("boiler", 0, 0): 20.0, ("boiler", 0, 1): 0.5, ("boiler", 1, 0): 20.0, ("boiler", 1, 1): 0.5,
+    ("boiler", 0, 0): 20.0, ("boiler", 0, 1): 1e-9, ("boiler", 1, 0): 20.0, ("boiler", 1, 1): 1e-9,
 }
 
 
 class Node:
-    __slots__ = ("tag", "parent", "words", "marked", "chars", "linked", "ends")
+    """A block element.  Its ``kind``, which the pair potential depends on, is "boiler" for an element that by
+    its tag or class is not the article, and for all within, up to an element that is marked as the article."""
 
-    def __init__(self, tag: str, parent: int, words: str, marked: bool):
+    __slots__ = ("tag", "parent", "words", "marked", "kind", "chars", "linked", "ends")
+
+    def __init__(self, tag: str, parent: int, words: str, marked: bool, within: str = "plain"):
         self.tag, self.parent, self.words, self.marked = tag, parent, words, marked
+        self.kind = "boiler" if tag in BOILER_TAGS or words == "boiler" else "plain" if marked else within
         self.chars = self.linked = self.ends = 0
 
 
@@ -147,7 +151,7 @@ def dom(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             words, marked = _kind_of_words(m.group(3)) if "=" in m.group(3) else ("none", False)
             if tag in BLOCK or words == "boiler":
                 flush()
-                nodes.append(Node(tag, stack[-1][1], words, marked or tag in MARKS))
+                nodes.append(Node(tag, stack[-1][1], words, marked or tag in MARKS, nodes[stack[-1][1]].kind))
                 stack.append((tag, len(nodes) - 1))
             else:
                 stack.append((tag, stack[-1][1]))
@@ -174,11 +178,6 @@ def shown(node: Node, masked: bool = False) -> list[tuple[str, str]]:
     return out
 
 
-def pair_kind(node: Node) -> str:
-    """The kind of tag that a pair potential depends on."""
-    return "boiler" if node.tag in BOILER_TAGS or node.words == "boiler" else "plain"
-
-
 def labels(nodes: list[Node]) -> list[int] | None:
     """State of each node by the page's own marks; None where it marks no article."""
     if not any(n.marked for n in nodes):
@@ -186,7 +185,7 @@ def labels(nodes: list[Node]) -> list[int] | None:
     out: list[int] = []
     for n in nodes:
         inside = n.parent >= 0 and out[n.parent] == 1
-        out.append(int((inside or n.marked) and pair_kind(n) == "plain"))
+        out.append(int((inside or n.marked) and n.kind == "plain"))
     return out
 
 
@@ -209,7 +208,7 @@ class Model:
     def marginals(self, nodes: list[Node], masked: bool = False) -> list[float]:
         """P(content) of each node: messages to the parents, then back to the children."""
         n, get = len(nodes), self.node.get
-        pairs = [self.pair[pair_kind(node)] for node in nodes]
+        pairs = [self.pair[node.kind] for node in nodes]
         own = []
         for node in nodes:
             a = b = 0.0
@@ -259,7 +258,7 @@ def counts_of(page: str, masked: bool) -> Counter:
         for name, value in shown(node, masked):
             out[name, value, s] += 1
         if node.parent >= 0:
-            out["pair", f"{pair_kind(node)}{states[node.parent]}", s] += 1
+            out["pair", f"{node.kind}{states[node.parent]}", s] += 1
     return out
 
 
