@@ -58,7 +58,7 @@ def dtype_name(data_type: T.DataType) -> str:
 def nan_to_null(df: DataFrame) -> DataFrame:
     """G1: NaN becomes NULL on float/double columns, once, at ingest."""
     fixes = {
-        f.name: F.when(~F.isnan(F.col(f.name)), F.col(f.name))
+        f.name: F.when(~F.isnan(q(f.name)), q(f.name))
         for f in df.schema.fields
         if is_float(f.dataType)
     }

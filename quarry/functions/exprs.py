@@ -28,15 +28,6 @@ def clip(c: Column, lo: Column, hi: Column) -> Column:
     return F.when(c.isNotNull(), F.greatest(lo, F.least(hi, c)))
 
 
-def to_string(c: Column) -> Column:
-    """The one rule for turning any cell into a category label."""
-    return c.cast("string")
-
-
 def ts_text(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
-
-def lit_array(values, cast: str | None = None) -> Column:
-    arr = F.array(*[F.lit(v) for v in values])
-    return arr.cast(f"array<{cast}>") if cast else arr

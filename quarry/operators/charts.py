@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
+from ..plans.guards import bounded_broadcast, cut_lineage
 from ..plans.quantiles import exact_quantiles
 from .values import histogram
 
@@ -38,13 +39,15 @@ def chart_line(df: DataFrame, x: str, y: str, color: str | None = None) -> DataF
 
 
 def chart_scatter(df: DataFrame, x: str, y: str, color: str | None = None, size: str | None = None,
-                  n: int = 5000, order_by: list[str] | None = None) -> DataFrame:
-    """Up to ``n`` points of the requested columns that exist (the chart cap is the feature).
+                  n: int | None = None, order_by: list[str] | None = None) -> DataFrame:
+    """The points of the requested columns that exist; all of them, or ``n`` where the caller asks for a limit.
 
     With ``order_by`` the first n rows of that order; otherwise an unbiased, repeatable
     choice by the hash of the row.  Either way it is a top-n (bounded per task)."""
     cols = [c for c in _keys(x, y, color, size) if c in df.columns]
     sel = df.select(*[q(c) for c in cols])
+    if n is None:
+        return sel
     key = [q(c) for c in order_by] if order_by else [F.xxhash64(*[q(c) for c in cols])] + [q(c) for c in cols]
     return sel.orderBy(*key).limit(n)
 
@@ -67,7 +70,9 @@ def chart_box(df: DataFrame, y: str, x: str | None = None, color: str | None = N
     wide = qs.groupBy(*keys_q).agg(*[F.max(F.when(F.col("pi") == i, F.col("q"))).alias(nm) for i, nm in enumerate(("q1", "median", "q3"))])
     fences = wide.select(*keys_q, "q1", "median", "q3", (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("lower_fence"),
                          (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("upper_fence"))
+    fences = cut_lineage(fences)
     f2 = fences.select(*[F.col(c).alias(f"_f_{c}") for c in keys_q], "lower_fence", "upper_fence")
+    f2 = bounded_broadcast(f2)  # one row per group; the table itself stays where it is
     joined = long.join(f2, [long[c].eqNullSafe(f2[f"_f_{c}"]) for c in keys_q])
     ext = joined.groupBy(*[long[c] for c in keys_q]).agg(
         F.min("v").alias("min"), F.max("v").alias("max"),

@@ -3,9 +3,9 @@
 Label / ordinal codes are the position of the value in the sorted distinct
 values.  The distinct values stay a DataFrame: they are numbered by the
 bucketed global row number (no single-task window) and joined back, broadcast
-only when their count is within the broadcast bound.  One-hot needs the
-categories before the plan exists, so their number is capped (``max_categories``)
-and checked before anything is collected.
+only when their measured size is within the broadcast bound.  One-hot makes one
+column per category, so the categories are collected; a caller may bound their
+number (``max_categories``), which is then checked before anything is collected.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_float, q
 from ..plans.fitted import Fitted, step
-from ..plans.guards import BROADCAST_MAX_ROWS, small
+from ..plans.guards import BROADCAST_BYTES, measured_bytes, small
 from ..plans.ordered import global_row_number
 
 
@@ -44,11 +44,11 @@ def _encode_apply(cols, dicts, out_type, null_tokens):
         out = d
         for c in cols:
             dic = dicts[c]
-            dic = dic.select(F.col("value").alias(f"_v_{c}"), F.col("code").cast(out_type).alias(f"_code_{c}"))
-            if dicts[c + "__n"] <= BROADCAST_MAX_ROWS:
+            dic = dic.select(F.col("value").alias("_value"), F.col("code").cast(out_type).alias("_code"))
+            if dicts[c + "__bytes"] <= BROADCAST_BYTES:
                 dic = F.broadcast(dic)
-            out = out.join(dic, _as_text(out, c, null_tokens.get(c)) == dic[f"_v_{c}"], "left")
-            out = out.withColumn(c, F.col(f"_code_{c}")).drop(f"_v_{c}", f"_code_{c}")
+            out = out.join(dic, _as_text(out, c, null_tokens.get(c)) == dic["_value"], "left")
+            out = out.withColumn(c, F.col("_code")).drop("_value", "_code")
         return out.select(*[q(c) for c in d.columns])
     return apply
 
@@ -59,7 +59,7 @@ def _fit_codes(name, df, cols, out_type, order=None, null_token=None):
     for c in cols:
         dic = small(_dictionary(df, c, order, null_token))
         dicts[c] = dic
-        dicts[c + "__n"] = dic.count()
+        dicts[c + "__n"], dicts[c + "__bytes"] = dic.count(), measured_bytes(dic)
         tokens[c] = null_token
     return Fitted(name, cols, _encode_apply(cols, dicts, out_type, tokens),
                   values={c: dicts[c + "__n"] for c in cols})
@@ -78,14 +78,15 @@ def fit_ordinal_encoder(df: DataFrame, cols, order=None, null_token=None, **_):
 
 
 @step("onehot_encoder")
-def fit_onehot_encoder(df: DataFrame, cols, drop_first: bool = True, max_categories: int = 1000, **_):
+def fit_onehot_encoder(df: DataFrame, cols, drop_first: bool = True, max_categories: int | None = None, **_):
     """Per column: sorted distinct non-NULL values, first dropped, boolean ``col_value`` columns
-    appended in order, source column dropped; NULL -> all false."""
+    appended in order, source column dropped; NULL -> all false.  ``max_categories`` is the caller's own bound."""
     cols = [c for c in cols if c in df.columns]
     cats = {}
     for c in cols:
-        vals = df.select(q(c)).where(q(c).isNotNull()).distinct().limit(max_categories + 1).collect()
-        if len(vals) > max_categories:
+        distinct = df.select(q(c)).where(q(c).isNotNull()).distinct()
+        vals = (distinct if max_categories is None else distinct.limit(max_categories + 1)).collect()
+        if max_categories is not None and len(vals) > max_categories:
             raise ValueError(f"onehot_encoder: {c} has more than {max_categories} categories")
         srt = sorted(v[0] for v in vals)
         cats[c] = srt[1:] if drop_first else srt
@@ -95,8 +96,7 @@ def fit_onehot_encoder(df: DataFrame, cols, drop_first: bool = True, max_categor
         dummies = []
         for c in cols:
             for v in cats[c]:
-                label = str(v).replace("`", "")
-                dummies.append(F.coalesce(q(c) == F.lit(v), F.lit(False)).alias(f"{c}_{label}"))
+                dummies.append(F.coalesce(q(c) == F.lit(v), F.lit(False)).alias(f"{c}_{v}"))
         return d.select(*keep, *dummies)
 
     return Fitted("onehot_encoder", cols, apply, values={c: len(v) for c, v in cats.items()})

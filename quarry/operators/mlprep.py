@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, q
-from ..plans.guards import BROADCAST_MAX_ROWS, small
+from ..plans.guards import bounded_broadcast, small
 from ..plans.ordered import first_rows, global_row_number
 
 EPS = 2.220446049250313e-16  # float64 machine epsilon, the MAPE divisor floor
@@ -51,10 +51,9 @@ def encode_target(train: DataFrame, val: DataFrame, col: str, out: str | None =
     vals = train.select(q(col).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
     dic = small(global_row_number(vals, ["value"], name="code").select("value", (F.col("code") - 1).alias("code")))
     k = dic.count()
-    dj = F.broadcast(dic) if k <= BROADCAST_MAX_ROWS else dic
+    dd = bounded_broadcast(dic.select(F.col("value").alias("_tv"), F.col("code").alias("_tc")))
 
     def enc(d):
-        dd = dj.select(F.col("value").alias("_tv"), F.col("code").alias("_tc"))
         j = d.join(dd, q(col).cast("string") == dd["_tv"], "left")
         return j.withColumn(out, F.coalesce(F.col("_tc"), F.lit(-1)).cast("long")).drop("_tv", "_tc")
 

@@ -15,11 +15,12 @@ import itertools
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
-from .mlprep import eval_classification
+from .mlprep import eval_classification, eval_regression
 
 HISTORY_SCHEMA = "candidate int, depth int, layers string, reward double, accuracy double, precision double, recall double"
 
@@ -30,30 +31,47 @@ def _features(df: DataFrame, features) -> DataFrame:
         if dt.startswith("array"):
             return df.withColumn("_features", array_to_vector(F.col(features).cast("array<double>")))
         return df.withColumn("_features", F.col(features))
-    return VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip").transform(df)
+    return VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="error").transform(df)
 
 
 def model_sweep(train: DataFrame, val: DataFrame, features, label: str, depths=(1, 2, 3), units=(16, 32, 64),
                 patience: int = 2, min_candidates: int = 2, target: float = 1.01, max_iter: int = 50, seed: int = 42,
-                max_per_depth: int = 4) -> DataFrame:
+                task: str = "classification") -> DataFrame:
+    """The history of all tried candidates.
+
+    ``task="regression"``: boosted trees of the given depth, ``units`` are their numbers, and the reward is
+    1 - MAPE.  Rows with a NULL feature or label raise; impute or drop them first."""
     spark = train.sparkSession
     tr = _features(train, features).select("_features", q(label).cast("double").alias("_label")).cache()
     va = _features(val, features).select("_features", q(label).cast("double").alias("_label")).cache()
+    regression = task == "regression"
     n_in = len(tr.first()["_features"])
-    n_classes = int(tr.agg(F.max("_label")).first()[0]) + 1
+    n_classes = 0 if regression else int(tr.agg(F.max("_label")).first()[0]) + 1
+
+    def candidates(depth):
+        """All candidates of a depth, smaller and more even networks first."""
+        if regression:
+            return [(u,) for u in units]
+        every = sorted(itertools.product(units, repeat=depth), key=lambda h: (sum(h), max(h) - min(h), h))
+        return [(n_in, *hidden, n_classes) for hidden in every]
+
     rows, cand, best_all = [], 0, -1.0
     for depth in depths:
         best, stale, tried = -1.0, 0, 0
-        for hidden in itertools.islice(itertools.product(units, repeat=depth), max_per_depth):
-            layers = [n_in, *hidden, n_classes]
-            model = MultilayerPerceptronClassifier(featuresCol="_features", labelCol="_label", layers=layers,
-                                                   maxIter=max_iter, seed=seed).fit(tr)
-            scored = model.transform(va).select("_label", "prediction")
-            m = eval_classification(scored, "_label", "prediction").first()
+        for layers in candidates(depth):
             cand += 1
             tried += 1
-            reward = float(m["accuracy"])
-            rows.append((cand, depth, "-".join(map(str, layers)), reward, reward, float(m["precision"]), float(m["recall"])))
+            if regression:
+                model = GBTRegressor(featuresCol="_features", labelCol="_label", maxDepth=depth, maxIter=layers[0], seed=seed).fit(tr)
+                reward = float(eval_regression(model.transform(va), "_label", "prediction").first()["one_minus_mape"])
+                scores = (None, None, None)
+            else:
+                model = MultilayerPerceptronClassifier(featuresCol="_features", labelCol="_label", layers=list(layers),
+                                                       maxIter=max_iter, seed=seed).fit(tr)
+                m = eval_classification(model.transform(va).select("_label", "prediction"), "_label", "prediction").first()
+                scores = tuple(float(m[k]) for k in ("accuracy", "precision", "recall"))
+                reward = scores[0]
+            rows.append((cand, depth, "-".join(map(str, layers)), reward, *scores))
             if reward > best:
                 best, stale = reward, 0
             else:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import categorical_columns, is_float, numeric_columns, q
 from ..functions.exprs import pct, rnd
+from ..plans.guards import bounded_broadcast, cut_lineage
 
 
 def _label(df: DataFrame, name: str):
@@ -34,8 +35,8 @@ def value_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.select(F.inline(F.array(*structs))).groupBy("col_name", "value").count()
 
 
-def top_values(df: DataFrame, k: int = 5, cols: Sequence[str] | None = None, label_chars: int = 50) -> DataFrame:
-    """Most frequent non-NULL values per categorical column: rank, value (cut to 50 chars), count, %.
+def top_values(df: DataFrame, k: int = 5, cols: Sequence[str] | None = None, label_chars: int | None = None) -> DataFrame:
+    """Most frequent non-NULL values per categorical column: rank, value (cut to ``label_chars`` if given), count, %.
 
     Ties are broken by the value (code-point order)."""
     cols = categorical_columns(df) if cols is None else list(cols)
@@ -46,7 +47,7 @@ def top_values(df: DataFrame, k: int = 5, cols: Sequence[str] | None = None, lab
     w = Window.partitionBy("col_name").orderBy(F.col("count").desc(), F.col("value"))
     top = vc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.join(totals, "col_name").select(
-        "col_name", F.col("rank").cast("int").alias("rank"), F.substring("value", 1, label_chars).alias("value"),
+        "col_name", F.col("rank").cast("int").alias("rank"), (F.substring("value", 1, label_chars) if label_chars else F.col("value")).alias("value"),
         F.col("count").cast("long").alias("count"), pct(F.col("count"), F.col("total")).alias("pct"),
     )
 
@@ -102,8 +103,9 @@ def histogram(df: DataFrame, cols: Sequence[str] | str | None = None, bins: int
     lo = F.when(F.col("mn").isNull(), F.lit(0.0)).when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn"))
     hi = F.when(F.col("mx").isNull(), F.lit(1.0)).when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx"))
     rng = rng.select(*keys, lo.alias("lo"), hi.alias("hi"))
+    rng = cut_lineage(rng) if by else rng
     rng_r = rng.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "lo", "hi")
-    rng_b = F.broadcast(rng_r) if not by else rng_r  # one row per column; per group it is a join
+    rng_b = F.broadcast(rng_r) if not by else bounded_broadcast(rng_r)  # one row per column (and group)
     counted = (
         long.where(F.col("x").isNotNull())
         .join(rng_b, [long[k].eqNullSafe(rng_b[f"_r_{k}"]) for k in keys])

@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when its row count was measured below this bound.
-BROADCAST_MAX_ROWS = 200_000
+# A side is broadcast only when its measured size is below this bound.
+BROADCAST_BYTES = 32 << 20
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a derived table: lengths of its variable-width cells and 16 bytes for each other one."""
+    width = F.lit(16 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind in ("struct", "array", "map"):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(c.alias("c")))), F.lit(0))
+    return df.agg(F.sum(width)).first()[0] or 0
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -19,10 +32,9 @@ def small(df: DataFrame) -> DataFrame:
     return df
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows; else leave it to a shuffle join."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only if it measures at most ``max_bytes``; else leave it to a shuffle join."""
+    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def run_pipeline(df: DataFrame, steps, atomic: bool = False):
             log.append((i, st.op, "success", "Transformation applied successfully", ",".join(fitted.columns),
                         ",".join(fitted.skipped), DESCRIPTIONS.get(st.op, st.op)))
         except Exception as e:  # noqa: BLE001 - recorded in the log
-            log.append((i, st.op, "failed", f"Error: {e}"[:500], ",".join(cols), "", DESCRIPTIONS.get(st.op, str(st.op))))
+            log.append((i, st.op, "failed", f"Error: {e}", ",".join(cols), "", DESCRIPTIONS.get(st.op, str(st.op))))
             failed = True
             break
     result = df if (failed and atomic) else current

@@ -33,9 +33,9 @@ def chart_line(spark, sf):
     return df.withColumn("o_orderdate", ts_text(F.col("o_orderdate")))
 
 
-@register("chart_scatter", "SELECT value, user_id, event_type FROM events ORDER BY event_id LIMIT 5000")
+@register("chart_scatter", "SELECT value, user_id, event_type FROM events")
 def chart_scatter(spark, sf):
-    return C.chart_scatter(table(spark, sf, "events"), "value", "user_id", "event_type", n=5000, order_by=["event_id"])
+    return C.chart_scatter(table(spark, sf, "events"), "value", "user_id", "event_type")
 
 
 def _hist_by_sql(bins=10):

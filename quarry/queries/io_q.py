@@ -15,6 +15,7 @@ from ..operators import mlprep as M
 from ..plans.ordered import page as page_op
 from ..session import checkpoint_dir
 from ..sources import io as IO
+from .ml_q import HISTORY_SQL, event_history
 from .registry import register
 from .tables import table
 
@@ -65,29 +66,22 @@ def preview(spark, sf):
 
 
 @register("write_split_csv",
-          "WITH s AS (SELECT o_totalprice, o_orderstatus, CASE WHEN row_number() OVER (ORDER BY o_orderdate, o_orderkey) <= "
+          "WITH s AS (SELECT o_orderkey, o_totalprice, o_orderstatus, CASE WHEN row_number() OVER (ORDER BY o_orderdate, o_orderkey) <= "
           "CAST(floor(count(*) OVER () * (1 - 0.2)) AS BIGINT) THEN 'train' ELSE 'val' END AS split FROM orders) "
-          "SELECT 'X_' || split AS part, round(sum(o_totalprice), 2) AS total, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY split "
-          "UNION ALL SELECT 'y_' || split, CAST(count(DISTINCT o_orderstatus) AS DOUBLE), CAST(count(*) AS BIGINT) FROM s GROUP BY split")
+          "SELECT o_orderkey, o_totalprice, o_orderstatus, split FROM s")
 def write_split_csv(spark, sf):
     df = M.split_time(table(spark, sf, "orders"), "o_orderdate", 0.2, tiebreak=["o_orderkey"])
-    paths = IO.write_split_csv(df, _scratch(spark, "split"), ["o_totalprice", "o_orderpriority"], "o_orderstatus")
-    parts = []
-    for part, path in paths.items():
-        back = spark.read.option("header", True).option("inferSchema", True).csv(path)
-        col = back.columns[0]
-        agg = F.round(F.sum(col), 2) if part.startswith("X") else F.count_distinct(col).cast("double")
-        parts.append(back.agg(agg.alias("total"), F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "total", "n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-@register("write_history_csv")
-def write_history_csv(spark, sf):
-    """Rows-only: the history comes from a model sweep."""
-    from .ml_q import _sweep
+    paths = IO.write_split_csv(df, _scratch(spark, "split"), ["o_totalprice", "o_orderpriority"], "o_orderstatus", key=["o_orderkey"])
+
+    def side(part):
+        x = IO.read_csv(spark, paths[f"X_{part}"], "o_orderkey long, o_totalprice double")
+        y = IO.read_csv(spark, paths[f"y_{part}"], "o_orderkey long, o_orderstatus string")
+        return x.join(y, "o_orderkey").withColumn("split", F.lit(part))
+
+    return side("train").unionByName(side("val"))
 
-    path = IO.write_history_csv(_sweep(spark, sf), _scratch(spark, "history"))
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+@register("write_history_csv", HISTORY_SQL)
+def write_history_csv(spark, sf):
+    path = IO.write_history_csv(event_history(spark, sf), _scratch(spark, "history"))
+    return IO.read_csv(spark, path, "candidate long, depth long, reward double")

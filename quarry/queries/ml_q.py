@@ -75,8 +75,7 @@ def _sweep(spark, sf):
     emb = table(spark, sf, "embeddings")
     sp = M.split_random(emb, "vec_id", 0.2, 42)
     tr, va = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "val")
-    return SW.model_sweep(tr, va, "embedding", "label", depths=(1, 2), units=(16, 32), patience=1, min_candidates=1,
-                          max_iter=30, max_per_depth=2)
+    return SW.model_sweep(tr, va, "embedding", "label", depths=(1, 2), units=(16, 32), patience=1, min_candidates=1, max_iter=30)
 
 
 @register("model_sweep")
@@ -85,9 +84,22 @@ def model_sweep(spark, sf):
     return _sweep(spark, sf)
 
 
-@register("history_best")
+HISTORY_SQL = "SELECT event_id AS candidate, user_id % 5 AS depth, value AS reward FROM events"
+
+
+def event_history(spark, sf):
+    """A search history of one candidate per event."""
+    ev = table(spark, sf, "events")
+    return ev.select(F.col("event_id").alias("candidate"), (F.col("user_id") % 5).alias("depth"), F.col("value").alias("reward"))
+
+
+@register("history_best",
+          f"WITH h AS ({HISTORY_SQL}), d AS (SELECT *, row_number() OVER (PARTITION BY depth ORDER BY reward DESC, candidate) AS r, "
+          "row_number() OVER (ORDER BY reward DESC, candidate) AS o FROM h) "
+          "SELECT candidate, depth, reward, CAST(r AS INTEGER) AS rank, 'depth' AS scope FROM d WHERE r <= 3 "
+          "UNION ALL SELECT candidate, depth, reward, CAST(o AS INTEGER), 'overall' FROM d WHERE o <= 3")
 def history_best(spark, sf):
-    return M.history_best(_sweep(spark, sf))
+    return M.history_best(event_history(spark, sf), top=3)
 
 
 @register("render_prompt",

@@ -23,10 +23,4 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import profile_q  # noqa: F401
-    for mod in ("rules_q", "steps_q", "rows_q", "ordered_q", "charts_q", "ml_q", "io_q"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"{__package__}.{mod}":
-                raise
+    from . import charts_q, io_q, ml_q, profile_q, rules_q, steps_q  # noqa: F401

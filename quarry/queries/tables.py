@@ -6,6 +6,8 @@ Every fixture is one SQL text run unchanged by Spark and by the DuckDB oracle
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.columns import nan_to_null
@@ -37,7 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
     if name in FIXTURES:
         for t in TABLES:
-            table(spark, sf_dir, t).createOrReplaceTempView(t)
+            if re.search(rf"\b{t}\b", FIXTURES[name]):
+                table(spark, sf_dir, t).createOrReplaceTempView(t)
         return spark.sql(FIXTURES[name])
     return nan_to_null(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 

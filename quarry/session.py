@@ -8,7 +8,6 @@ local runs).
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -23,26 +22,28 @@ _DEFAULTS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply library defaults to a session (idempotent)."""
+    """Fill in the library's defaults where a session has no setting of its own (idempotent)."""
+    own = spark._jsparkSession.sessionState().conf()
     for key, value in _DEFAULTS.items():
-        try:
-            if spark.conf.get(key, None) != value:
-                spark.conf.set(key, value)
-        except Exception:  # static conf on some deployments
-            pass
-    checkpoint_dir(spark)
+        if not own.contains(key) and not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, value)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a local one only if unset."""
+    """The session's shared checkpoint folder.
+
+    Where none is set, a local session (one process) gets a temporary one; a cluster raises, because
+    its executors would each write to a disk of their own."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    local = tempfile.mkdtemp(prefix="quarry-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    local = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(local)
     return local
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import nan_to_null, q
@@ -63,21 +65,12 @@ def postgres_url(host: str, port: int, database: str) -> str:
 
 
 def dedupe_names(names: list[str]) -> list[str]:
-    """Repeated output names become ``a``, ``a.1``, ``a.2`` ... skipping names already taken."""
-    seen: dict[str, int] = {}
-    out = list(names)
-    for i, c in enumerate(names):
-        if c not in seen:
-            seen[c] = 1
-            continue
-        k = seen[c]
-        new = f"{c}.{k}"
-        while new in seen:
-            k += 1
-            new = f"{c}.{k}"
-        out[i] = new
-        seen[new] = 1
-        seen[c] = k + 1
+    """A name's first column keeps it; each later one gets the first free of ``name.1``, ``name.2`` ..."""
+    first = {name: names.index(name) for name in set(names)}
+    free = {name: (c for k in itertools.count(1) if (c := f"{name}.{k}") not in first) for name in first}
+    out: list[str] = []
+    for place, name in enumerate(names):
+        out.append(name if first[name] == place else next(c for c in free[name] if c not in out))
     return out
 
 
@@ -100,16 +93,23 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
-def write_split_csv(split_df: DataFrame, out_dir: str, features: list[str], target: str) -> dict:
-    """Write X_train, y_train, X_val, y_val (one folder each) from a DataFrame with a ``split`` column."""
+def write_split_csv(split_df: DataFrame, out_dir: str, features: list[str], target: str, key: list[str] | None = None) -> dict:
+    """Write X_train, y_train, X_val, y_val (one folder each) from a DataFrame with a ``split`` column.
+
+    Files of a folder have no order, so every row carries ``key`` (or a ``row_id``) in both X and y.
+    The split is computed once."""
     from ..functions.columns import numeric_columns
+    from ..plans.guards import cut_lineage
 
-    feats = numeric_columns(split_df, [c for c in features if c != target])
+    feats = numeric_columns(split_df, [c for c in features if c != target and c not in (key or [])])
+    if key is None:
+        key, split_df = ["row_id"], split_df.withColumn("row_id", F.monotonically_increasing_id())
+    once = cut_lineage(split_df.select(*[q(c) for c in dict.fromkeys([*key, *feats, target, "split"])]))
     paths = {}
-    for part, flt in (("train", "train"), ("val", "val")):
-        side = split_df.where(q("split") == flt)
-        paths[f"X_{part}"] = write_csv(side.select(*[q(c) for c in feats]), os.path.join(out_dir, f"X_{part}"))
-        paths[f"y_{part}"] = write_csv(side.select(q(target)), os.path.join(out_dir, f"y_{part}"))
+    for part in ("train", "val"):
+        side = once.where(q("split") == part)
+        for name, cols in (("X", feats), ("y", [target])):
+            paths[f"{name}_{part}"] = write_csv(side.select(*[q(c) for c in [*key, *cols]]), os.path.join(out_dir, f"{name}_{part}"))
     return paths
 
 
