@@ -76,11 +76,12 @@ def _advice_sql():
     for c, numeric in OGC:
         mp = f"round(round(CAST(count(*) - count({c}) AS DOUBLE) / count(*) * 100, 2), 1)"
         u = f"count(DISTINCT {c})"
+        gaps = f"(count(*) - count({c}))"
         imp = RU.ADVICE_IMPUTE_NUMERIC if numeric else RU.ADVICE_IMPUTE_OTHER
         idl = "''" if numeric else f"CASE WHEN {u} = count(*) THEN {lit(RU.ADVICE_ID_LIKE)} ELSE '' END"
         parts.append(
             f"SELECT {lit(c)} AS col_name, {mp} AS missing_pct, CAST({u} AS BIGINT) AS unique_count, "
-            f"CASE WHEN {mp} > 0 THEN (CASE WHEN {mp} > 50 THEN {lit(RU.ADVICE_DROP_HIGH_MISSING)} ELSE {lit(imp)} END) "
+            f"CASE WHEN {gaps} > 0 THEN (CASE WHEN 2 * {gaps} > count(*) THEN {lit(RU.ADVICE_DROP_HIGH_MISSING)} ELSE {lit(imp)} END) "
             f"WHEN {u} = 1 THEN {lit(RU.ADVICE_CONSTANT)} ELSE {idl} END AS suggestion FROM orders_gappy")
     return with_fixture(union(parts), "orders_gappy")
 
@@ -90,46 +91,86 @@ def column_advice(spark, sf):
     return RU.column_advice(table(spark, sf, "orders_gappy"))
 
 
-_INSIGHTS = with_fixture(
-    ", m AS (SELECT 'price_n' AS c, 1 AS o, round(CAST(count(*) - count(price_n) AS DOUBLE) / count(*) * 100, 2) AS p FROM orders_gappy "
-    "UNION ALL SELECT 'priority_n', 2, round(CAST(count(*) - count(priority_n) AS DOUBLE) / count(*) * 100, 2) FROM orders_gappy), "
-    "w AS (SELECT c, p FROM m WHERE p > 0 ORDER BY p DESC, o LIMIT 1) "
-    "SELECT 1 AS idx, format('The dataset consists of **{:,} rows** and **{} columns**.', (SELECT count(*) FROM orders_gappy), 5) AS insight "
-    "UNION ALL SELECT 2, format('**{} columns** contain missing values. **{}** has the most ({}%).', (SELECT count(*) FROM m WHERE p > 0), "
-    "w.c, printf('%.1f', w.p)) FROM w "
-    "UNION ALL SELECT 3, 'The dataset is free of **duplicate rows**.' "
-    "UNION ALL SELECT 4, 'Feature mix: **3 numerical** and **2 categorical** variables.'",
-    "orders_gappy").replace(") , m AS", "), m AS")
-
-
-@register("data_insights", _INSIGHTS)
+def _table_sql(src, cols):
+    """CTEs: one row per column (position, numeric, gaps, distinct), the number of rows, repeated rows."""
+    per = union([f"SELECT {i} AS i, {lit(c)} AS c, {str(num).lower()} AS num, count(*) - count({c}) AS gaps, count(DISTINCT {c}) AS u FROM {src}"
+                 for i, (c, num) in enumerate(cols)])
+    return (f"p AS ({per}), n AS (SELECT count(*) AS r, {len(cols)} AS k FROM {src}), "
+            f"dup AS (SELECT (SELECT count(*) FROM {src}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {src})) AS d), "
+            "s AS (SELECT CAST(sum(gaps) AS DOUBLE) / max(n.r * n.k) AS share FROM p, n)")
+
+
+def _insights_sql(src, cols):
+    return with_fixture(
+        ", " + _table_sql(src, cols) + ", "
+        "w AS (SELECT * FROM p ORDER BY gaps DESC, i LIMIT 1), c AS (SELECT count(*) AS n, min_by(c, i) AS first FROM p WHERE u = 1), "
+        "t(o, ok, insight) AS ("
+        "SELECT 1, true, format('{} rows in {} columns', r, k) FROM n "
+        "UNION ALL SELECT 2, w.gaps > 0, format('{} columns have gaps, most of all {} ({}%)', (SELECT count(*) FROM p WHERE gaps > 0), w.c, printf('%.4f', w.gaps * 100.0 / r)) FROM w, n "
+        "UNION ALL SELECT 3, w.gaps = 0, 'No column has gaps' FROM w "
+        "UNION ALL SELECT 4, d > 0, format('{} rows repeat another ({}%)', d, printf('%.4f', d * 100.0 / r)) FROM dup, n "
+        "UNION ALL SELECT 5, d = 0, 'No row repeats another' FROM dup "
+        "UNION ALL SELECT 6, true, format('{} numeric and {} other columns', count(*) FILTER (num), count(*) FILTER (NOT num)) FROM p "
+        "UNION ALL SELECT 7, c.n > 0, format('{} columns hold a single value, the first is {}', c.n, c.first) FROM c) "
+        "SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS idx, insight FROM t WHERE ok", src).replace(") , p AS", "), p AS")
+
+
+def _suggest_sql(src, cols):
+    def rule(o, step, title, impact, where, holds="true", least=1):
+        return (f"SELECT {o} AS o, {lit(step)} AS step, {lit(title)} AS title, {impact} AS impact, string_agg(c, ',' ORDER BY i) AS cols, "
+                f"count(*) AS n, ({holds}) AND count(*) >= {least} AS ok FROM p WHERE {where}")
+
+    share = "(SELECT share FROM s)"
+    rules = union([
+        rule(1, "fillna_median", "Fill gaps with the column median", "'medium'", "gaps > 0 AND num"),
+        rule(2, "fillna_mean", "Fill gaps with the column mean", "'medium'", "gaps > 0 AND num"),
+        rule(3, "fillna_mode", "Fill gaps with the most frequent value", "'medium'", "gaps > 0 AND NOT num"),
+        rule(4, "dropna_rows", "Drop rows with gaps", f"CASE WHEN {share} > 0.15 THEN 'high' ELSE 'medium' END", "gaps > 0", f"{share} > 0 AND {share} < 0.3"),
+        rule(5, "drop_columns", "Drop columns that are mostly gaps", "'high'", "2 * gaps > (SELECT r FROM n)"),
+        "SELECT 6, 'drop_duplicates_all', 'Drop repeated rows', 'medium', 'all', -1, d > 0 FROM dup",
+        rule(7, "label_encoder", "Encode categories as numbers", "'high'", "NOT num"),
+        rule(8, "standard_scaler", "Bring numbers to one scale", "'medium'", "num", least=2),
+    ])
+    return with_fixture(
+        ", " + _table_sql(src, cols) + f", t AS ({rules}) SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS idx, step AS id, title, "
+        "CASE WHEN n < 0 THEN 'the whole table' ELSE CAST(n AS VARCHAR) || ' columns' END AS description, "
+        "cols AS affected_columns, impact, step FROM t WHERE ok", src).replace(") , p AS", "), p AS")
+
+
+_GAP = [("o_orderkey", True), ("price_g", True), ("fixed", False)]
+_DUP = [("user_id", True), ("event_type", False), ("d", False)]
+
+
+@register("data_insights", _insights_sql("orders_gappy", OGC))
 def data_insights(spark, sf):
     return RU.data_insights(table(spark, sf, "orders_gappy"))
 
 
-_MO = "(SELECT CAST(count(*) * 5 - count(o_orderkey) - count(o_custkey) - count(o_orderdate) - count(price_n) - count(priority_n) AS DOUBLE) / (count(*) * 5) * 100 FROM orders_gappy)"
-_SUGG = with_fixture(
-    "SELECT 1 AS idx, 'handle_missing_median' AS id, 'Fill Missing Values with Median' AS title, "
-    "'Impute missing values in 1 numerical column(s): price_n using median (robust to outliers)' AS description, 'price_n' AS affected_columns, "
-    "'medium' AS impact, 'fillna_median' AS step "
-    "UNION ALL SELECT 2, 'handle_missing_mean', 'Fill Missing Values with Mean', 'Impute missing values in 1 numerical column(s): price_n using mean', "
-    "'price_n', 'medium', 'fillna_mean' "
-    "UNION ALL SELECT 3, 'handle_missing_mode', 'Fill Missing Values with Mode', "
-    "'Impute missing values in 1 categorical column(s): priority_n using most frequent value', 'priority_n', 'medium', 'fillna_mode' "
-    f"UNION ALL SELECT 4, 'handle_missing_drop_rows', 'Remove Rows with Missing Values', format('Drop rows containing any missing values (affects {{}}% of data)', printf('%.1f', round({_MO}, 6))), "
-    f"'price_n,priority_n', CASE WHEN {_MO} > 15 THEN 'high' ELSE 'medium' END, 'dropna_rows' "
-    "UNION ALL SELECT 5, 'encode_categorical_1', 'Encode Categorical Variables', "
-    "'Convert 2 categorical column(s) to numerical: o_orderdate, priority_n using label encoding', 'o_orderdate,priority_n', 'high', 'label_encoder' "
-    "UNION ALL SELECT 6, 'scale_numerical_1', 'Standardize Numerical Features', "
-    "'Normalize 3 numerical column(s): o_orderkey, o_custkey, price_n using StandardScaler (mean=0, std=1)', 'o_orderkey,o_custkey,price_n', 'medium', 'standard_scaler'",
-    "orders_gappy")
-
-
-@register("suggest_steps", _SUGG)
+@register("data_insights_one_gap", _insights_sql("orders_one_gap", _GAP))
+def data_insights_one_gap(spark, sf):
+    return RU.data_insights(table(spark, sf, "orders_one_gap"))
+
+
+@register("data_insights_repeated", _insights_sql("events_dup", _DUP))
+def data_insights_repeated(spark, sf):
+    return RU.data_insights(table(spark, sf, "events_dup"))
+
+
+@register("suggest_steps", _suggest_sql("orders_gappy", OGC))
 def suggest_steps(spark, sf):
     return RU.suggest_steps(table(spark, sf, "orders_gappy"))
 
 
+@register("suggest_steps_one_gap", _suggest_sql("orders_one_gap", _GAP))
+def suggest_steps_one_gap(spark, sf):
+    return RU.suggest_steps(table(spark, sf, "orders_one_gap"))
+
+
+@register("suggest_steps_repeated", _suggest_sql("events_dup", _DUP))
+def suggest_steps_repeated(spark, sf):
+    return RU.suggest_steps(table(spark, sf, "events_dup"))
+
+
 @register("available_step_groups", with_fixture(
     "SELECT 'missing_values' AS step_group WHERE EXISTS (SELECT 1 FROM orders_gappy WHERE o_orderkey IS NULL OR o_custkey IS NULL "
     "OR o_orderdate IS NULL OR price_n IS NULL OR priority_n IS NULL) "

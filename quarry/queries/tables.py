@@ -27,6 +27,9 @@ FIXTURES = {
         "SELECT *, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE l_extendedprice END AS price_n FROM lineitem"
     ),
     "events_dup": "SELECT user_id, event_type, CAST(ts AS DATE) AS d FROM events",
+    "orders_one_gap": (
+        "SELECT o_orderkey, CASE WHEN o_orderkey = 7 THEN NULL ELSE o_totalprice END AS price_g, 'x' AS fixed FROM orders"
+    ),
     "docs_labelled": (
         "SELECT d.doc_id, d.text, d.lang, d.n_chars, l.quality, l.toxic "
         "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
