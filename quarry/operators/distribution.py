@@ -135,13 +135,21 @@ def _grid_fit(df: DataFrame, exprs: dict, kind: str) -> dict:
                     if den < 0:
                         best[c] = g[k] + 0.5 * step_w * (a - cc) / den
         if done:
-            break
-    return best
+            return best
+    raise ValueError(f"no lambda found within {ROUNDS + 4} rounds: {brackets}")
+
+
+def log_likelihood(df: DataFrame, col: str, lam: float, kind: str = "boxcox", shift: float = 0.0) -> DataFrame:
+    """One row (lam, llf): the profile log-likelihood of a power transform, up to a constant."""
+    x = _d(col) + F.lit(shift)
+    y = _boxcox_expr(x, lam) if kind == "boxcox" else _yj_expr(x, lam)
+    jacobian = F.sum(F.log(x) if kind == "boxcox" else F.signum(x) * F.log1p(F.abs(x)))
+    return df.agg(F.lit(lam).alias("lam"), ((lam - 1) * jacobian - F.count(x) / 2 * F.log(F.var_pop(y))).alias("llf"))
 
 
 @step("boxcox_transform")
-def fit_boxcox_transform(df: DataFrame, cols, **_):
-    """Box-Cox with lambda by maximum likelihood; x <= 0 present: shift by -min + 1."""
+def fit_boxcox_transform(df: DataFrame, cols, lambdas: dict | None = None, **_):
+    """Box-Cox with lambda by maximum likelihood (or the given one); x <= 0 present: shift by -min + 1."""
     num = numeric_columns(df, cols)
     shift = {}
     if num:
@@ -155,7 +163,7 @@ def fit_boxcox_transform(df: DataFrame, cols, **_):
                 raise ValueError(f"boxcox_transform: column {c} is constant")
             shift[c] = (-m + 1) if m <= 0 else 0.0
     xs = {c: _d(c) + F.lit(s) for c, s in shift.items()}
-    lams = _grid_fit(df, xs, "boxcox")
+    lams = {**_grid_fit(df, {c: x for c, x in xs.items() if c not in (lambdas or {})}, "boxcox"), **{c: v for c, v in (lambdas or {}).items() if c in xs}}
 
     def apply(d):
         return d.withColumns({c: _boxcox_expr(_d(c) + F.lit(shift[c]), lams[c]) for c in lams}) if lams else d
@@ -165,10 +173,10 @@ def fit_boxcox_transform(df: DataFrame, cols, **_):
 
 
 @step("yeojohnson_transform")
-def fit_yeojohnson_transform(df: DataFrame, cols, standardize: bool = True, **_):
-    """Yeo-Johnson with lambda by maximum likelihood, then standardised (mean 0, population std 1)."""
+def fit_yeojohnson_transform(df: DataFrame, cols, standardize: bool = True, lambdas: dict | None = None, **_):
+    """Yeo-Johnson with lambda by maximum likelihood (or the given one), then standardised (mean 0, population std 1)."""
     num = numeric_columns(df, cols)
-    lams = _grid_fit(df, {c: _d(c) for c in num}, "yeojohnson")
+    lams = {**_grid_fit(df, {c: _d(c) for c in num if c not in (lambdas or {})}, "yeojohnson"), **{c: v for c, v in (lambdas or {}).items() if c in num}}
     moments = {}
     if lams and standardize:
         r = df.agg(*[F.avg(_yj_expr(_d(c), lams[c])).alias(f"m{i}") for i, c in enumerate(lams)],

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from ..functions.columns import resolve_columns
+from ..functions.columns import q, resolve_columns
 from .fitted import STEP_FITTERS
 
 LOG_SCHEMA = ("step int, name string, status string, message string, columns string, "
@@ -90,13 +91,22 @@ def run_pipeline(df: DataFrame, steps, atomic: bool = False):
     return result, spark.createDataFrame(log, LOG_SCHEMA)
 
 
-def run_summary(original: DataFrame, result: DataFrame, log: DataFrame) -> dict:
-    """Totals of the run log plus original and final shape (two counts, one tiny collect)."""
-    rows = log.collect()
-    return {
-        "total_steps": len(rows),
-        "success": sum(1 for r in rows if r["status"] == "success"),
-        "failed": sum(1 for r in rows if r["status"] == "failed"),
-        "original_shape": (original.count(), len(original.columns)),
-        "final_shape": (result.count(), len(result.columns)),
-    }
+def run_summary(original: DataFrame, result: DataFrame, log: DataFrame) -> DataFrame:
+    """One row: totals of the run log and the original and final shape."""
+    return log.agg(
+        F.count("*").alias("total_steps"), F.count_if(F.col("status") == "success").alias("success"), F.count_if(F.col("status") == "failed").alias("failed"),
+        F.lit(original.count()).alias("original_rows"), F.lit(len(original.columns)).alias("original_columns"),
+        F.lit(result.count()).alias("final_rows"), F.lit(len(result.columns)).alias("final_columns"))
+
+
+def run_previews(original: DataFrame, result: DataFrame, order_by: list[str], n: int = 10) -> DataFrame:
+    """The first ``n`` rows before and after, as (side, position, values): values by column name, as text."""
+    out = None
+    for side, df in (("before", original), ("after", result)):
+        top = df.orderBy(*[q(c) for c in order_by]).limit(n)
+        w = Window.orderBy(*[q(c) for c in order_by])  # n rows
+        cells = F.map_from_arrays(F.array(*[F.lit(c) for c in df.columns]), F.array(*[q(c).cast("string") for c in df.columns]))
+        one = top.select(F.lit(side).alias("side"), F.row_number().over(w).alias("position"), cells.alias("cells"))
+        one = one.select("side", "position", F.explode("cells").alias("col_name", "value"))
+        out = one if out is None else out.unionByName(one)
+    return out
