@@ -19,6 +19,7 @@ ip        dotted quad, octets to 255                            the 32 bits
 date      yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy of the calendar    days of 1900 to 2099
 email     local@domain.tld                                      letters and digits before the tld
 key       AKIA and 16 capitals and digits, ghp_ and 36          what follows the prefix
+secret    password, token, secret or api key = value            the value; hexadecimal stays so
 ========  ====================================================  ==============================
 
 Numbers that fail their check stay as they are.  Of overlapping values the earlier wins, then
@@ -189,6 +190,17 @@ def _key(p: Pseudonyms, m: re.Match) -> str | None:
     return m.group()[:4] + p.chars(m.group()[4:], "key|" + m.group()[:4])
 
 
+def _secret(p: Pseudonyms, m: re.Match) -> str | None:
+    s, value = m.group(), m.group(1)
+    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
+        n = p.number(int(value, 16), 16 ** len(value), "secret")
+        new = f"{n:0{len(value)}{'X' if re.search('[A-F]', value) else 'x'}}"
+    else:
+        new = p.chars(value, "secret")
+    at = m.start(1) - m.start()
+    return s[:at] + new + s[at + len(value):]
+
+
 #: In the order in which they win ties: kind, pattern, pseudonym (None: not valid).
 KINDS = [
     ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", re.A), _card),
@@ -198,10 +210,11 @@ KINDS = [
     ("ip", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", re.A), _ip),
     ("date", re.compile(r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-]|\.\d)", re.A), _date),
     ("key", re.compile(r"(?<!\w)(?:AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36})(?!\w)", re.A), _key),
+    ("secret", re.compile(r"(?<![^\W_])(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>,;]{6,})", re.A | re.I), _secret),
 ]
 EMAIL_HEAD, EMAIL_TAIL = re.compile(r"[A-Za-z0-9._%+-]+\Z", re.A), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", re.A)
 #: What a value of some kind must hold: texts without it aren't searched for that kind.
-HINT = re.compile(r"\d[\d .()/-]{4}|AKIA|ghp_|[A-Z]{2}\d\d", re.A)
+HINT = re.compile(r"\d[\d .()/-]{4}|AKIA|ghp_|[A-Z]{2}\d\d|[dntyDNTY][\"']?\s{0,3}[=:]", re.A)
 #: Characters before an @ that an address may have.
 LOCAL = 64
 
