@@ -1,9 +1,8 @@
 """Distribution steps.
 
-Power-transform parameters are fitted by maximum likelihood with a shrinking
-grid: every round evaluates ``GRID`` candidate lambdas for all selected columns
-as ``var_pop`` columns of one aggregate job, then narrows the bracket around the
-best one.  ``quantile_transform`` fits its knots with the exact distributed
+Power-transform parameters are fitted by maximum likelihood with Newton steps:
+every round takes four moments a column in one scan, for all columns.
+``quantile_transform`` fits its knots with the exact distributed
 quantile engine and applies a JVM binary search (``Bucketizer``) plus literal
 arrays; the normal output uses the AS241 probit as a Column expression.
 """
@@ -21,8 +20,7 @@ from ..plans.fitted import Fitted, step
 from ..plans.guards import fused_agg
 from ..plans.quantiles import column_quantiles
 
-GRID = 33
-ROUNDS = 6
+MAX_ROUNDS = 30  # scans of a power fit; about six as a rule
 
 
 def _d(c):
@@ -90,53 +88,64 @@ def _yj_expr(x: Column, lam: float) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
-def _grid_fit(df: DataFrame, exprs: dict, kind: str) -> dict:
+def _derivatives(kind: str, x: Column, lam: float) -> list[Column]:
+    """The transform of x and its first and second derivative by lambda."""
+
+    def power(z: Column, m: float) -> list[Column]:
+        u = F.log(z)
+        if abs(m) < 1e-4:  # the closed forms below cancel there
+            return [u + m * u * u / 2 + m * m * F.pow(u, 3) / 6, u * u / 2 + m * F.pow(u, 3) / 3 + m * m * F.pow(u, 4) / 8,
+                    F.pow(u, 3) / 3 + m * F.pow(u, 4) / 4 + m * m * F.pow(u, 5) / 10]
+        e = F.pow(z, F.lit(m))
+        g0 = (e - 1) / m
+        g1 = (e * u - g0) / m
+        return [g0, g1, (e * u * u - 2 * g1) / m]
+
+    if kind == "boxcox":
+        return power(x, lam)
+    up, down = power(F.greatest(x, F.lit(0.0)) + 1, lam), power(1 - F.least(x, F.lit(0.0)), 2 - lam)
+    return [F.when(x >= 0, a).otherwise(sign * b) for a, b, sign in zip(up, down, (-1, 1, -1))]
+
+
+def _newton_fit(df: DataFrame, exprs: dict, kind: str) -> dict:
     """Maximise the profile log-likelihood per column; returns {col: lambda}.
 
-    ``exprs``: {col: Column of the (shifted) input x}.  One aggregate job per round
-    for all columns and all grid points."""
+    ``exprs``: {col: Column of the (shifted) input x}.  Each round is one scan of four moments per column:
+    Newton steps on the likelihood's slope, kept within the bracket that the slopes' signs give."""
     if not exprs:
         return {}
     names = list(exprs)
-    base = df.agg(*[F.count(exprs[c]).alias(f"n{i}") for i, c in enumerate(names)],
-                  *[F.sum(F.log(exprs[c]) if kind == "boxcox" else F.signum(exprs[c]) * F.log1p(F.abs(exprs[c])))
-                    .alias(f"s{i}") for i, c in enumerate(names)]).first()
-    n = {c: base[f"n{i}"] for i, c in enumerate(names)}
-    slog = {c: base[f"s{i}"] for i, c in enumerate(names)}
-    brackets = {c: (-2.0, 2.0) for c in names}
-    best = {c: 1.0 for c in names}
-    tf = _boxcox_expr if kind == "boxcox" else _yj_expr
-    for _ in range(ROUNDS + 4):
-        grids = {c: [lo + (hi - lo) * j / (GRID - 1) for j in range(GRID)] for c, (lo, hi) in brackets.items()}
-        aggs = [F.var_pop(tf(exprs[c], lam)).alias(f"v{i}_{j}") for i, c in enumerate(names) for j, lam in enumerate(grids[c])]
-        r = fused_agg(df, aggs, max_exprs=GRID)
-        done = True
-        for i, c in enumerate(names):
-            g = grids[c]
-            llf = []
-            for j, lam in enumerate(g):
-                v = r[f"v{i}_{j}"]
-                llf.append(-math.inf if not v or v <= 0 or not n[c] else (lam - 1) * slog[c] - n[c] / 2 * math.log(v))
-            k = max(range(GRID), key=lambda j: llf[j])
-            best[c] = g[k]
-            step_w = g[1] - g[0]
-            lo, hi = brackets[c]
-            if k == 0 or k == GRID - 1:  # optimum on an edge: widen that side
-                width = hi - lo
-                brackets[c] = (lo - width, lo + step_w) if k == 0 else (hi - step_w, hi + width)
-                done = False
-            else:
-                brackets[c] = (g[k - 1], g[k + 1])
-                if step_w > 1e-5:  # the parabolic polish below resolves far finer than the grid step
-                    done = False
-                elif all(math.isfinite(x) for x in llf[k - 1:k + 2]):  # parabolic polish
-                    a, b, cc = llf[k - 1], llf[k], llf[k + 1]
-                    den = a - 2 * b + cc
-                    if den < 0:
-                        best[c] = g[k] + 0.5 * step_w * (a - cc) / den
-        if done:
-            return best
-    raise ValueError(f"no lambda found within {ROUNDS + 4} rounds: {brackets}")
+    base = fused_agg(df, [x for i, c in enumerate(names) for x in (
+        F.count(exprs[c]).alias(f"n{i}"), F.sum(F.log(exprs[c]) if kind == "boxcox" else F.signum(exprs[c]) * F.log1p(F.abs(exprs[c]))).alias(f"s{i}"))])
+    lam = {c: 1.0 for c in names if base[f"n{names.index(c)}"]}
+    low, high = {c: -math.inf for c in lam}, {c: math.inf for c in lam}
+    open_ = list(lam)
+    for _ in range(MAX_ROUNDS):
+        aggs = []
+        for c in open_:
+            i, (y, y1, y2) = names.index(c), _derivatives(kind, exprs[c], lam[c])
+            aggs += [F.var_pop(y).alias(f"v{i}"), F.covar_pop(y, y1).alias(f"c{i}"), F.var_pop(y1).alias(f"w{i}"), F.covar_pop(y, y2).alias(f"d{i}")]
+        r = fused_agg(df, aggs)
+        for c in list(open_):
+            i = names.index(c)
+            n, v = base[f"n{i}"], r[f"v{i}"]
+            if not v:  # constant: any lambda is as good
+                open_.remove(c)
+                continue
+            slope = base[f"s{i}"] - n * r[f"c{i}"] / v
+            bend = -n * ((r[f"w{i}"] + r[f"d{i}"]) / v - 2 * (r[f"c{i}"] / v) ** 2)
+            low[c], high[c] = (lam[c], high[c]) if slope > 0 else (low[c], lam[c])
+            move = -slope / bend if bend < 0 else math.copysign(1.0, slope)
+            new = lam[c] + max(-1.0, min(1.0, move))
+            if not low[c] < new < high[c]:
+                new = (low[c] + high[c]) / 2 if math.isfinite(low[c] + high[c]) else lam[c] + math.copysign(1.0, slope)
+            done = abs(new - lam[c]) < 1e-10 * max(1.0, abs(new)) or slope == 0
+            lam[c] = new
+            if done:
+                open_.remove(c)
+        if not open_:
+            return {c: lam.get(c, 1.0) for c in names}
+    raise ValueError(f"no lambda found within {MAX_ROUNDS} rounds for {open_}")
 
 
 def log_likelihood(df: DataFrame, col: str, lam: float, kind: str = "boxcox", shift: float = 0.0) -> DataFrame:
@@ -163,7 +172,7 @@ def fit_boxcox_transform(df: DataFrame, cols, lambdas: dict | None = None, **_):
                 raise ValueError(f"boxcox_transform: column {c} is constant")
             shift[c] = (-m + 1) if m <= 0 else 0.0
     xs = {c: _d(c) + F.lit(s) for c, s in shift.items()}
-    lams = {**_grid_fit(df, {c: x for c, x in xs.items() if c not in (lambdas or {})}, "boxcox"), **{c: v for c, v in (lambdas or {}).items() if c in xs}}
+    lams = {**_newton_fit(df, {c: x for c, x in xs.items() if c not in (lambdas or {})}, "boxcox"), **{c: v for c, v in (lambdas or {}).items() if c in xs}}
 
     def apply(d):
         return d.withColumns({c: _boxcox_expr(_d(c) + F.lit(shift[c]), lams[c]) for c in lams}) if lams else d
@@ -176,7 +185,7 @@ def fit_boxcox_transform(df: DataFrame, cols, lambdas: dict | None = None, **_):
 def fit_yeojohnson_transform(df: DataFrame, cols, standardize: bool = True, lambdas: dict | None = None, **_):
     """Yeo-Johnson with lambda by maximum likelihood (or the given one), then standardised (mean 0, population std 1)."""
     num = numeric_columns(df, cols)
-    lams = {**_grid_fit(df, {c: _d(c) for c in num if c not in (lambdas or {})}, "yeojohnson"), **{c: v for c, v in (lambdas or {}).items() if c in num}}
+    lams = {**_newton_fit(df, {c: _d(c) for c in num if c not in (lambdas or {})}, "yeojohnson"), **{c: v for c, v in (lambdas or {}).items() if c in num}}
     moments = {}
     if lams and standardize:
         r = df.agg(*[F.avg(_yj_expr(_d(c), lams[c])).alias(f"m{i}") for i, c in enumerate(lams)],

@@ -11,35 +11,40 @@ from ..plans.fitted import Fitted, step
 from ..plans.quantiles import column_quantiles
 
 
-def remove_outliers_iqr(df: DataFrame, cols, multiplier: float = 1.5, quantile_method: str = "exact"):
-    """Keep Q1 - m IQR <= x <= Q3 + m IQR, column by column: each column's quartiles are
-    fitted on the rows the previous columns kept (k columns = k fit jobs).  NULL rows drop."""
-    out, fitted = df, {}
+def _keep(bounds: dict):
+    """Filter by fitted (low, high, closed) bounds per column; NULL bounds keep nothing, NULL rows drop."""
+
+    def apply(d: DataFrame) -> DataFrame:
+        for c, (lo, hi, closed) in bounds.items():
+            if lo is None:
+                return d.where(F.lit(False))
+            d = d.where(q(c).between(F.lit(lo), F.lit(hi)) if closed else (q(c) > F.lit(lo)) & (q(c) < F.lit(hi)))
+        return d
+
+    return apply
+
+
+@step("remove_outliers_iqr")
+def fit_remove_outliers_iqr(df: DataFrame, cols, multiplier: float = 1.5, quantile_method: str = "exact", **_):
+    """Keep Q1 - m IQR <= x <= Q3 + m IQR; each column's quartiles are fitted on the rows that the
+    previous columns keep (k columns = k fits)."""
+    bounds: dict = {}
     for c in numeric_columns(df, cols):
-        q1, q3 = column_quantiles(out, [c], [0.25, 0.75], method=quantile_method)[c]
-        if q1 is None:
-            out = out.where(F.lit(False))
-            continue
-        iqr = q3 - q1
-        lo, hi = q1 - multiplier * iqr, q3 + multiplier * iqr
-        fitted[c] = (lo, hi)
-        out = out.where(q(c).between(F.lit(lo), F.lit(hi)))
-    return out, fitted
-
-
-def remove_outliers_zscore(df: DataFrame, cols, threshold: float = 3.0):
-    """Keep |x - mean| / std_pop < threshold, column by column on the surviving rows.
-
-    NULL rows drop (the reference's mask misaligns on NULLs); zero spread keeps nothing."""
-    out, fitted = df, {}
+        q1, q3 = column_quantiles(_keep(bounds)(df), [c], [0.25, 0.75], method=quantile_method)[c]
+        spread = None if q1 is None else float(multiplier) * (q3 - q1)
+        bounds[c] = (None, None, True) if q1 is None else (q1 - spread, q3 + spread, True)
+    return Fitted("remove_outliers_iqr", list(bounds), _keep(bounds), [c for c in cols if c not in bounds], values=bounds)
+
+
+@step("remove_outliers_zscore")
+def fit_remove_outliers_zscore(df: DataFrame, cols, threshold: float = 3.0, **_):
+    """Keep |x - mean| / std_pop < threshold, fitted like the above; zero spread keeps nothing."""
+    bounds: dict = {}
     for c in numeric_columns(df, cols):
-        r = out.agg(F.avg(q(c)).alias("m"), F.stddev_pop(q(c)).alias("s")).first()
-        fitted[c] = (r["m"], r["s"])
-        if r["m"] is None or not r["s"]:
-            out = out.where(F.lit(False))
-            continue
-        out = out.where(F.abs((q(c) - F.lit(r["m"])) / F.lit(r["s"])) < threshold)
-    return out, fitted
+        r = _keep(bounds)(df).agg(F.avg(q(c)).alias("m"), F.stddev_pop(q(c)).alias("s")).first()
+        far = None if r["m"] is None or not r["s"] else float(threshold) * r["s"]
+        bounds[c] = (None, None, False) if far is None else (r["m"] - far, r["m"] + far, False)
+    return Fitted("remove_outliers_zscore", list(bounds), _keep(bounds), [c for c in cols if c not in bounds], values=bounds)
 
 
 def _clip_apply(bounds: dict):
@@ -60,34 +65,20 @@ def fit_clip_outliers(df: DataFrame, cols, lower: float = 0.01, upper: float = 0
 def fit_winsorize_outliers(df: DataFrame, cols, limits: float = 0.05, **_):
     """Clip each tail to the order statistic k = int(limits * n) from that end (non-NULL values)."""
     num = numeric_columns(df, cols)
-    bounds = {}
+    bounds, probs = {}, {}
     if num:
         counts = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(num)]).first()
         for i, c in enumerate(num):
             n = counts[f"n{i}"]
-            if not n:
-                continue
             k = int(float(limits) * n)
-            if n == 1 or k == 0:
-                continue
-            lo_p, hi_p = k / (n - 1), (n - 1 - k) / (n - 1)
-            lo, hi = column_quantiles(df, [c], [lo_p, hi_p])[c]
-            bounds[c] = (lo, hi)
+            if n > 1 and k:
+                probs[c] = (k / (n - 1), (n - 1 - k) / (n - 1))
+        asked = sorted({p for both in probs.values() for p in both})
+        found = column_quantiles(df, list(probs), asked) if probs else {}  # one fit for all columns
+        bounds = {c: tuple(found[c][asked.index(p)] for p in both) for c, both in probs.items()}
     return Fitted("winsorize_outliers", num, _clip_apply(bounds), [c for c in cols if c not in num], values=bounds)
 
 
-@step("remove_outliers_iqr")
-def fit_remove_outliers_iqr(df, cols, multiplier: float = 1.5, **_):
-    return Fitted("remove_outliers_iqr", numeric_columns(df, cols),
-                  lambda d: remove_outliers_iqr(d, cols, float(multiplier))[0], stateless=False)
-
-
-@step("remove_outliers_zscore")
-def fit_remove_outliers_zscore(df, cols, threshold: float = 3.0, **_):
-    return Fitted("remove_outliers_zscore", numeric_columns(df, cols),
-                  lambda d: remove_outliers_zscore(d, cols, float(threshold))[0], stateless=False)
-
-
 def clip_outliers(df, cols, lower=0.01, upper=0.99):
     return fit_clip_outliers(df, cols, lower, upper).apply(df)
 

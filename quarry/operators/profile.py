@@ -164,20 +164,14 @@ def column_profile(df: DataFrame, distinct: str = "exact") -> DataFrame:
 
 
 def _scalar_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Fused aggregates for all numeric columns (chunked for codegen), one row per column."""
-    fields = [("n", "n", F.count), ("mn", "min", F.min), ("mx", "max", F.max), ("av", "mean", F.avg),
-              ("sd", "std", F.stddev_samp), ("va", "variance", F.var_samp), ("sk", "skewness", F.skewness),
-              ("ku", "kurtosis", F.kurtosis)]
-    aggs = []
-    for i, c in enumerate(cols):
-        x = q(c).cast("double")
-        aggs += [fn(x).alias(f"{a}{i}") for a, _, fn in fields]
-        aggs += [F.sum((x == 0).cast("long")).alias(f"z{i}"), F.sum((x < 0).cast("long")).alias(f"ng{i}")]
-    r = fused_agg(df, aggs)
-    rows = [(c, *[r[f"{a}{i}"] for a, _, _ in fields], r[f"z{i}"], r[f"ng{i}"]) for i, c in enumerate(cols)]
-    schema = ("col_name string, n long, min double, max double, mean double, std double, variance double, "
-              "skewness double, kurtosis double, zeros_count long, negative_count long")
-    return df.sparkSession.createDataFrame(rows, schema)
+    """Moments, zeros and negatives, one row per numeric column: one grouped pass over (column, value)."""
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "col_name string")
+    x = F.col("v")
+    stats = long_format(df, cols, key="col_name").groupBy("col_name").agg(
+        F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+        F.var_samp(x).alias("variance"), F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"),
+        F.count_if(x == 0).alias("zeros_count"), F.count_if(x < 0).alias("negative_count"))
+    return names.join(stats, "col_name", "left").fillna(0, ["n"])
 
 
 def _quantile_wide(df: DataFrame, cols: Sequence[str], probs, names, method: str) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import outliers as O
 from ..operators import rows as R
 from ..operators import scale as S
 from ..plans.runner import Step, run_pipeline
+from ..plans.fitted import transform
 from .registry import register
 from .sqlgen import r6
 from .tables import table, with_fixture
@@ -185,7 +186,7 @@ _IQR = with_fixture(
 
 @register("remove_outliers_iqr", _IQR)
 def remove_outliers_iqr(spark, sf):
-    df, _ = O.remove_outliers_iqr(table(spark, sf, LG), ["l_quantity", "price_n"], 1.5)
+    df = transform("remove_outliers_iqr", table(spark, sf, LG), ["l_quantity", "price_n"], multiplier=1.5)
     return df.select("l_orderkey", "l_linenumber", "l_quantity", "price_n")
 
 
@@ -196,7 +197,7 @@ _Z = ("WITH a AS (SELECT * FROM lineitem, (SELECT avg(l_extendedprice) AS m, std
 
 @register("remove_outliers_zscore", _Z)
 def remove_outliers_zscore(spark, sf):
-    df, _ = O.remove_outliers_zscore(table(spark, sf, "lineitem"), ["l_extendedprice", "l_tax"], 2.0)
+    df = transform("remove_outliers_zscore", table(spark, sf, "lineitem"), ["l_extendedprice", "l_tax"], threshold=2.0)
     return df.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_tax")
 
 

@@ -43,7 +43,7 @@ def test_log_sqrt_reciprocal(spark):
 
 
 def test_iqr_drops_nulls(spark):
-    out, _ = O.remove_outliers_iqr(_df(spark, [1.0, 2.0, 3.0, 4.0, 100.0, None]), ["x"])
+    out = O.fit_remove_outliers_iqr(_df(spark, [1.0, 2.0, 3.0, 4.0, 100.0, None]), ["x"]).apply(_df(spark, [1.0, 2.0, 3.0, 4.0, 100.0, None]))
     assert sorted(r.x for r in out.collect()) == [1.0, 2.0, 3.0, 4.0]
 
 
