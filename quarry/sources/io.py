@@ -66,11 +66,14 @@ def postgres_url(host: str, port: int, database: str) -> str:
 
 def dedupe_names(names: list[str]) -> list[str]:
     """A name's first column keeps it; each later one gets the first free of ``name.1``, ``name.2`` ..."""
-    first = {name: names.index(name) for name in set(names)}
-    free = {name: (c for k in itertools.count(1) if (c := f"{name}.{k}") not in first) for name in first}
+    taken, given = set(names), set()
     out: list[str] = []
-    for place, name in enumerate(names):
-        out.append(name if first[name] == place else next(c for c in free[name] if c not in out))
+    for name in names:
+        if name in given:
+            name = next(f"{name}.{k}" for k in itertools.count(1) if f"{name}.{k}" not in taken)
+            taken.add(name)
+        given.add(name)
+        out.append(name)
     return out
 
 
