@@ -34,17 +34,6 @@ PROFILE_PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 PROBE_NAMES = ("p1", "p5", "p25", "p50", "p75", "p95", "p99")
 
 
-def _missing_counts(df: DataFrame) -> dict[str, int]:
-    row = df.agg(
-        F.count(F.lit(1)).alias("__rows"),
-        *[F.sum(q(c).isNull().cast("long")).alias(f"m{i}") for i, c in enumerate(df.columns)],
-    ).first()
-    out = {"__rows": row["__rows"]}
-    for i, c in enumerate(df.columns):
-        out[c] = row[f"m{i}"] or 0
-    return out
-
-
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each identical group (NULLs compare equal), and %.
 
