@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import q
 from .guards import bounded_broadcast, cut_lineage
 
-LIMIT = 1_000_000  # rows of an interval that one task may rank
+LIMIT = 20_000  # rows of an interval whose distinct values are ranked
 PARTS = 4096  # slices of an interval
 
 
@@ -84,8 +84,8 @@ def _within(rows: DataFrame, intervals: DataFrame, part: list[str]) -> DataFrame
     """The rows that lie in one of the intervals, with its lo and hi."""
     iv = bounded_broadcast(intervals.select(*[F.col(c).alias(f"_{c}") for c in part], "lo", "hi"))
     cond = F.lit(True)
-    for c in part:
-        cond = cond & rows[c].eqNullSafe(iv[f"_{c}"])
+    for c in part:  # plain equality where there can be no NULL hashes half as many columns
+        cond = cond & (rows[c].eqNullSafe(iv[f"_{c}"]) if c.startswith("_k") and rows.schema[c].nullable else rows[c] == iv[f"_{c}"])
     return rows.join(iv, cond).drop(*[f"_{c}" for c in part])
 
 
