@@ -115,7 +115,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     words = written(words.groupBy("word").agg(F.count("*").alias("n")), "url-words")
     labels = urls.select("host").distinct().select("host", F.explode(F.split("host", r"\.")).alias("label")).where("label != ''")
     split = written(segmented(labels.select("label").distinct(), words), "url-labels")
-    host_words = labels.join(split, "label").select("host", F.explode("words").alias("token"))
+    host_words = written(labels.join(split, "label").select("host", F.explode("words").alias("token")), "url-host-words")
+    size = host_words.agg(F.sum(F.octet_length("host") + F.octet_length("token") + 32)).first()[0] or 0
+    host_words = broadcast_if(host_words, size, BROADCAST_BYTES)  # a host may have a third of all URLs
 
     path_words = urls.select("host", "path", F.explode(F.regexp_extract_all(F.lower("path"), F.lit(r"[a-z]+|[0-9]+|[^\x00-\x7F]+"), F.lit(0))).alias("token"))
     path_words = path_words.withColumn("token", F.when(F.col("token").rlike("^[0-9]+$"), "#").otherwise(F.col("token")))
