@@ -8,7 +8,7 @@ of at least 0.75 are linked, and linked documents form components.
    agree on a selected minwise token.  A pair of similarity 0.75 shares a tree's first node with
    that probability, so 12 trees miss one pair in 16 million.
 3. Nodes of up to ``NODE`` classes are compared exhaustively: first by the tokens (a pair that
-   agrees on fewer than ``LIKELY`` of 64 has similarity 0.75 with a chance below one in a million),
+   of similarity 0.75 agrees on fewer than ``LIKELY`` of 64 once in 700,000 cases),
    then the classes that have a likely partner by their full sets.  A node returns the links of a
    spanning forest of what it confirmed, so its output never outgrows its members.
 4. A larger node (a passage that many documents share, thousands of near copies) first links its
