@@ -25,6 +25,12 @@ secret    password, token, secret or api key = value            the value; hexad
 Numbers that fail their check stay as they are.  Of overlapping values the earlier wins, then
 the kind named first above.  Values that are left of the format's range (a date of 1850) stay.
 
+A card may stand among other numbers (an amount, its expiry, its CVV): in a run of digit groups every
+span of groups is tried whose first group has four digits and whose inner ones have three, and of
+overlapping valid ones the usual groupings win; other groupings only count as the longest match.  An
+IBAN ends at its country's length; for a country without a known one, at the last border that is valid.
+A phone number too long gives up groups at its end.
+
 Edge cases: a NULL text stays NULL with no findings, an empty one empty.  Every row gets one
 result; repeated rows get equal ones.  Columns other than the text are not looked at.
 """
@@ -121,10 +127,14 @@ def _iban_rest(country: str, account: str, check: str) -> int:
     return int("".join(str(int(c, 36)) for c in account + country + check)) % 97
 
 
+def _is_card(s: str) -> bool:
+    digits = s.replace(" ", "").replace("-", "")
+    return 13 <= len(digits) <= 19 and not luhn(digits) % 10 and len(set(digits)) > 1
+
+
 def _card(p: Pseudonyms, m: re.Match) -> str | None:
     s = m.group()
-    digits = re.sub(r"\D", "", s)
-    if not 13 <= len(digits) <= 19 or luhn(digits) % 10 or len(set(digits)) == 1:
+    if not _is_card(s):
         return None
     body = p.digits(s[:-1], "card")
     return body + str(-luhn(re.sub(r"\D", "", body) + "0") % 10)
@@ -133,6 +143,8 @@ def _card(p: Pseudonyms, m: re.Match) -> str | None:
 def _iban(p: Pseudonyms, m: re.Match) -> str | None:
     s = m.group()
     bare = s.replace(" ", "")
+    if IBAN_LENGTH.get(bare[:2], len(bare)) != len(bare):
+        return None
     if not 15 <= len(bare) <= 34 or _iban_rest(bare[:2], bare[4:], bare[2:4]) != 1:
         return None
     account = p.chars(s[4:], "iban|" + bare[:2])
@@ -149,11 +161,18 @@ def _ssn(p: Pseudonyms, m: re.Match) -> str | None:
     return f"{a + 1 + (a >= 665):03d}-{g + 1:02d}-{n + 1:04d}"
 
 
-def _phone(p: Pseudonyms, m: re.Match) -> str | None:
-    s = m.group()
+def _phone_head(s: str) -> str:
     country = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", s)
-    head = country.group() if country else ""
-    if not 7 <= sum(c.isdigit() for c in s[len(head):]) <= 14:
+    return country.group() if country else ""
+
+
+def _phone_digits(s: str) -> int:
+    return sum(c.isdigit() for c in s[len(_phone_head(s)):])
+
+
+def _phone(p: Pseudonyms, m: re.Match) -> str | None:
+    s, head = m.group(), _phone_head(m.group())
+    if not 7 <= _phone_digits(s) <= 14:
         return None
     return head + p.digits(s[len(head):], "phone|" + head)
 
@@ -201,26 +220,25 @@ def _secret(p: Pseudonyms, m: re.Match) -> str | None:
     return s[:at] + new + s[at + len(value):]
 
 
-#: In the order in which they win ties: kind, pattern, pseudonym (None: not valid).
-KINDS = [
-    ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", re.A), _card),
-    ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)", re.A), _iban),
-    ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A), _ssn),
-    ("phone", re.compile(r"(?<!\w)(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)", re.A), _phone),
-    ("ip", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", re.A), _ip),
-    ("date", re.compile(r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-]|\.\d)", re.A), _date),
-    ("key", re.compile(r"(?<!\w)(?:AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36})(?!\w)", re.A), _key),
-    ("secret", re.compile(r"(?<![^\W_])(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>,;]{6,})", re.A | re.I), _secret),
-]
-EMAIL_HEAD, EMAIL_TAIL = re.compile(r"[A-Za-z0-9._%+-]+\Z", re.A), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", re.A)
-#: What a value of some kind must hold: texts without it aren't searched for that kind.
-HINT = re.compile(r"\d[\d .()/-]{4}|AKIA|ghp_|[A-Z]{2}\d\d|[dntyDNTY][\"']?\s{0,3}[=:]", re.A)
-#: Characters before an @ that an address may have.
-LOCAL = 64
+#: Characters of an IBAN by country.
+IBAN_LENGTH = {c: n for n, some in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in some.split()}
+IBAN_HEAD = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?= ?[A-Z0-9])", re.A)
+WORD = re.compile(r"\w", re.A)
+IBAN_REST = re.compile(r"(?: ?[A-Z0-9]){11,30}", re.A)
+#: A card's first digit: not within a word, a number's fraction or a sign's number, but behind an abbreviation.
+CARD_START = r"(?:(?<![\w.+-])|(?<=[^\d\s]\.)|(?<=[A-Za-z]-))"
+CARD = re.compile(CARD_START + r"\d(?:[ -]?\d){12,18}(?![\w-])", re.A)
+CARD_RUN = re.compile(CARD_START + r"\d+(?:[ -]\d+)*(?!\w)", re.A)
+#: Digits of the groups of usual cards, the likelier first.
+CARD_GROUPS = [(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 4, 4, 1)]
+PHONE = re.compile(r"(?<!\w)(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)", re.A)
 
 
 class _Whole:
-    """An e-mail address as a match object."""
+    """A part of a text as a match object."""
 
     def __init__(self, text: str, start: int, end: int):
         self._span, self._s = (start, end), text[start:end]
@@ -232,6 +250,84 @@ class _Whole:
         return self._s
 
 
+def _cards(text: str) -> Iterator[_Whole]:
+    """Valid cards that don't overlap."""
+    for run in CARD_RUN.finditer(text):
+        if run.end() - run.start() < 13:
+            continue
+        groups = [(g.start(), g.end()) for g in re.compile(r"\d+", re.A).finditer(text, *run.span())]
+        sizes = [b - a for a, b in groups]
+        found = []
+        for i, (start, _) in enumerate(groups):
+            if sizes[i] < 4:
+                continue
+            n = 0
+            for j in range(i, len(groups)):
+                n += sizes[j]
+                if n > 19 or j > i + 1 and sizes[j - 1] < 3:
+                    break
+                if n >= 13 and _is_card(text[start : groups[j][1]]):
+                    shape = tuple(sizes[i : j + 1])
+                    rank = -1 if i == j else CARD_GROUPS.index(shape) if shape in CARD_GROUPS else len(CARD_GROUPS)
+                    found.append((rank, -n, start, groups[j][1]))
+        found += [(len(CARD_GROUPS) + 1, 0, *m.span()) for m in CARD.finditer(text, *run.span()) if _is_card(m.group())]
+        taken: set[int] = set()
+        for _, _, start, end in sorted(found):
+            if taken.isdisjoint(places := range(start, end)):
+                taken.update(places)
+                yield _Whole(text, start, end)
+
+
+def _ibans(text: str) -> Iterator[_Whole]:
+    """Valid IBANs that don't overlap; those of a country of known length go first."""
+    taken: set[int] = set()
+    heads = list(IBAN_HEAD.finditer(text))
+    for known in (True, False):
+        for m in heads:
+            if (m.group()[:2] in IBAN_LENGTH) != known or m.start() in taken or not (rest := IBAN_REST.match(text, m.end())):
+                continue
+            for end in range(rest.end(), m.end() + 10, -1):
+                if text[end - 1] == " " or WORD.match(text, end):
+                    continue
+                bare = text[m.start() : end].replace(" ", "")
+                if 15 <= len(bare) <= 34 and IBAN_LENGTH.get(bare[:2], len(bare)) == len(bare) and _iban_rest(bare[:2], bare[4:], bare[2:4]) == 1:
+                    if taken.isdisjoint(places := range(m.start(), end)):
+                        taken.update(places)
+                        yield _Whole(text, m.start(), end)
+                    break
+
+
+def _phones(text: str) -> Iterator[re.Match | _Whole]:
+    at = 0
+    while m := PHONE.search(text, at):
+        at = m.end()
+        if _phone_digits(m.group()) > 14:  # its longest part of whole groups that is short enough
+            ends = [m.start() + g.end() for g in re.finditer(r"\d\)?(?=[ .-])", m.group())]
+            if end := next((e for e in reversed(ends) if 7 <= _phone_digits(text[m.start() : e]) <= 14), 0):
+                at = end
+                yield _Whole(text, m.start(), end)
+        else:
+            yield m
+
+
+#: In the order in which they win ties: kind, what finds it in a text, pseudonym (None: not valid).
+KINDS = [
+    ("card", _cards, _card),
+    ("iban", _ibans, _iban),
+    ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A).finditer, _ssn),
+    ("phone", _phones, _phone),
+    ("ip", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", re.A).finditer, _ip),
+    ("date", re.compile(r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?:(?![\w/-]|\.\d)|(?=[Tt]\d{2}(?!\d{3})))", re.A).finditer, _date),
+    ("key", re.compile(r"(?<!\w)(?:AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36})(?!\w)", re.A).finditer, _key),
+    ("secret", re.compile(r"(?<![^\W_])(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>,;]{6,})", re.A | re.I).finditer, _secret),
+]
+EMAIL_HEAD, EMAIL_TAIL = re.compile(r"[A-Za-z0-9._%+-]+\Z", re.A), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", re.A)
+#: What a value of some kind must hold: texts without it aren't searched for that kind.
+HINT = re.compile(r"\d[\d .()/-]{4}|AKIA|ghp_|[A-Z]{2}\d\d|[dntyDNTY][\"']?\s{0,3}[=:]", re.A)
+#: Characters before an @ that an address may have.
+LOCAL = 64
+
+
 def _emails(text: str) -> Iterator[_Whole]:
     at = text.find("@")
     while at >= 0:
@@ -247,8 +343,8 @@ def pseudonymise(text: str | None, p: Pseudonyms) -> tuple[str | None, list[tupl
         return text, []
     found: list[tuple[int, int, int, str, str]] = []
     if HINT.search(text):
-        for rank, (kind, pattern, make) in enumerate(KINDS):
-            for m in pattern.finditer(text):
+        for rank, (kind, find, make) in enumerate(KINDS):
+            for m in find(text):
                 if (new := make(p, m)) is not None:
                     found.append((m.span()[0], rank, m.span()[1], kind, new))
     found += [(m.span()[0], len(KINDS), m.span()[1], "email", _email(p, m)) for m in _emails(text)]

@@ -183,6 +183,35 @@ def test_invalid_values_stay(text):
     assert pii.pseudonymise(text, pii.Pseudonyms(b"k")) == (text, [])
 
 
+BESIDE = [
+    ("4111 1111 1111 1111 12/27", "4111 1111 1111 1111"), ("4111111111111111 123", "4111111111111111"), ("pay 2 4111 1111 1111 1111", "4111 1111 1111 1111"),
+    ("No.4111111111111111", "4111111111111111"), ("2024 3782 822463 10005 11 2", "3782 822463 10005"), ("4111-1111-1111-1111-123", "4111-1111-1111-1111"),
+    ("ES91 2100 0418 4502 0005 1332 BIC", "ES91 2100 0418 4502 0005 1332"), ("BE68 5390 0754 7034 OK", "BE68 5390 0754 7034"),
+    ("AB12 BE68 5390 0754 7034 GB82WEST12345698765432", "BE68 5390 0754 7034"), ("1980-02-03T00:00:00Z", "1980-02-03"), ("+49 30 12345 12345 12345", "+49 30 12345 12345"),
+]
+
+
+@pytest.mark.parametrize("text, value", BESIDE)
+def test_values_beside_other_words_and_numbers(text, value):
+    p, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", undo=True)
+    new, spans = pii.pseudonymise(text, p)
+    at = text.index(value)
+    assert (at, at + len(value)) in [s[:2] for s in spans] and value not in new
+    assert new[:at] == text[:at] and new[at : at + len(value)] == pii.pseudonymise(value, p)[0]
+    assert pii.pseudonymise(new, back)[0] == text
+
+
+@pytest.mark.parametrize("text", ["0.4111111111111111", "x4111111111111111", "1 2 3 4 5 6 7 8 9 10 11 12 13 14", "1980-02-03x", "1980-02-03T", "BE68 5390 0754 7035 OK", "DE89 3704 0044 0532 0130"])
+def test_what_only_looks_like_a_value_stays(text):
+    assert pii.pseudonymise(text, pii.Pseudonyms(b"k")) == (text, [])
+
+
+def test_all_cards_of_a_run_of_numbers():
+    text = " ".join(["4111 1111 1111 1111 7", "5500 0000 0000 0004 12"] * 300)
+    new, spans = pii.pseudonymise(text, pii.Pseudonyms(b"k"))
+    assert len(spans) == 600 and "4111 1111" not in new and "5500 0000" not in new
+
+
 def test_mask(spark):
     out = pii.mask(data.documents(spark), b"k").collect()
     assert len(out) == len(data.ROWS)
