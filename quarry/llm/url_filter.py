@@ -42,7 +42,8 @@ def host_of(url: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    # (?>...): a later :// (in a query, say) is no other place to begin
+    return F.coalesce(F.regexp_extract(url, r"(?s)^(?>.*?://)[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:

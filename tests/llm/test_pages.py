@@ -184,6 +184,13 @@ def test_url_rules_and_classifier(spark):
     assert url_filter.judge(data.pages(spark, []), URL_RULES).count() == 0
 
 
+def test_a_later_scheme_is_not_the_urls_own(spark):
+    urls = ["http://example.org?u=http://foo.com/de/1", "https://a.com#x://y/de/2", "http://a.com/de/3?u=http://b.org/en/1", "x://y://z/de/4", "http://b.org", "a" * 20_000 + "://c.net?://d/e"]
+    out = url_filter.judge(data.pages(spark, [(i, u, "<p>text") for i, u in enumerate(urls)]), URL_RULES).collect()
+    assert {r.page_id: (r.host, r.path, r.rule) for r in out} == {i: brute_rule(u)[:3] for i, u in enumerate(urls)}
+    assert {r.page_id: r.path for r in out} == {0: "", 1: "", 2: "/de/3", 3: "//z/de/4", 4: "", 5: ""}
+
+
 def test_classifier_learns_from_rules(spark):
     """Naive Bayes by hand over the tokens of the judged URLs."""
     html = "<p>" + "cat dog news spam shop " * 5
