@@ -158,7 +158,22 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return out.select(col(id_col), "held_out", F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
 
 
+def has_letters(text: Column, dim: int = DIM, seed: int = 7) -> Column:
+    """Whether a text has a letter, and so a trigram; false for NULL."""
+
+    @F.arrow_udf("boolean")
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        make = bundler(dim, seed)
+        for texts in batches:
+            yield pa.array([len(make.trigrams(t.as_py())) > 0 for t in texts], pa.bool_())
+
+    return apply(text)
+
+
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose text has a language at all, columns unchanged."""
+    """The rows of ``docs`` whose text has a language at all, columns unchanged.  Where nothing could be
+    learned every text with a letter stays.  No text is rejected for a small score: see the README."""
     prototypes = learn(docs.where(fold(id_col) != 1).select(col(lang_col).cast("string"), col(text_col)))
+    if not prototypes:
+        return docs.where(has_letters(col(text_col)))
     return docs.where(predict(col(text_col), prototypes)["lang_pred"] != UNKNOWN)

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -98,6 +99,17 @@ def test_language_prototypes(spark):
     assert langid.identify(data.documents(spark, [])).count() == 0
 
 
+def test_documents_stay_where_no_language_can_be_learned(spark):
+    texts = ["plain words", "Größe", "... 123 !!!", "", None, "é"]
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 == 1][:6]
+    for lang in (None, "en"):  # no labels at all, and labels of held-out rows only
+        rows = [(i, t, lang, "s") for i, t in zip(held, texts)]
+        out = langid.known_language(data.documents(spark, rows))
+        assert out.columns == data.documents(spark, rows).columns
+        assert sorted(r.text for r in out.collect()) == ["Größe", "plain words", "é"]
+    assert langid.known_language(data.documents(spark, [])).count() == 0
+
+
 def test_language_held_out_accuracy(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     joined = langid.identify(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out")
