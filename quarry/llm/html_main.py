@@ -13,6 +13,11 @@ taken away, so the model does not lean on them alone.  About ``SAMPLE`` pages, p
 learned from.  Prior counts (``PRIOR``) say what the HTML standard says of its tags and what the
 usual class words mean; they decide where the sample has no such element.
 
+An element that by its tag or class is not the article passes that on to all within, as the kind of
+pair that rarely turns to content.  ``body`` doesn't, nor does an element marked as the article, nor a
+wrapper: an element so by its class words, or a form, that holds most of the text of the page (or of the
+article that it stands in) and leaves less than a quarter as much outside that could be content.
+
 Scripts, styles, templates and the head are never text.  Character references are decoded, white
 space inside a block becomes one space, blocks are joined by one space.
 
@@ -52,28 +57,62 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 BOILER_WORDS = set("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer footer form header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 CONTENT_WORDS = set("article articlebody body content entry main post story text".split())
 MARKS = {"article", "main"}
+#: Elements that may hold the whole page whatever their class says.
+WRAPPER_TAGS = set("center div form section span table tbody td tr".split())
 BOILER_TAGS = set("aside button dialog fieldset footer form header legend menu nav option".split())
 #: Prior counts (state 0, state 1) of what a node shows; all else starts at (1, 1).
 PRIOR = {("tag", t): (400.0, 0.5) for t in BOILER_TAGS} | {("tag", t): (1.0, 60.0) for t in MARKS} | {("tag", "p"): (1.0, 40.0)} | {("word", "boiler"): (400.0, 0.5), ("word", "content"): (2.0, 20.0), ("word", "both"): (40.0, 2.0)}
+#: Prior count of content within boilerplate, against 20; a single labelled element outweighs it.
+RARE = 1e-4
 #: Prior counts of pairs (kind of the child, parent state, state).
 PAIR_PRIOR = {
     ("plain", 0, 0): 20.0, ("plain", 0, 1): 1.0, ("plain", 1, 0): 0.5, ("plain", 1, 1): 20.0,
-    ("boiler", 0, 0): 20.0, ("boiler", 0, 1): 1e-9, ("boiler", 1, 0): 20.0, ("boiler", 1, 1): 1e-9,
+    ("boiler", 0, 0): 20.0, ("boiler", 0, 1): RARE, ("boiler", 1, 0): 20.0, ("boiler", 1, 1): RARE,
+    ("class", 0, 0): 20.0, ("class", 0, 1): RARE, ("class", 1, 0): 20.0, ("class", 1, 1): RARE,
 }
 
 
 class Node:
     """A block element.  Its ``kind``, which the pair potential depends on, is "boiler" for an element that by
-    its tag or class is not the article, and for all within, up to an element that is marked as the article."""
+    its tag, "class" for one that by its class is not the article, and so for all within, up to an element that
+    is marked as the article.
+    ``wraps`` says that it holds most of the text of its page (or of the article that it stands in)."""
 
-    __slots__ = ("tag", "parent", "words", "marked", "kind", "chars", "linked", "ends")
+    __slots__ = ("tag", "parent", "words", "marked", "kind", "chars", "linked", "ends", "wraps")
 
-    def __init__(self, tag: str, parent: int, words: str, marked: bool, within: str = "plain"):
+    def __init__(self, tag: str, parent: int, words: str, marked: bool):
         self.tag, self.parent, self.words, self.marked = tag, parent, words, marked
-        self.kind = "boiler" if tag in BOILER_TAGS or words == "boiler" else "plain" if marked else within
+        self.kind, self.wraps = "plain", False
         self.chars = self.linked = self.ends = 0
 
 
+def _kind(node: Node, outer: str, wrapper: bool = False) -> str:
+    """The kind of a node within one of kind ``outer``."""
+    if node.marked:  # a comment marked as an article is still one of the comments
+        return outer if outer != "plain" and node.words == "boiler" else "plain"
+    own = "plain" if wrapper or node.tag == "body" else "boiler" if node.tag in BOILER_TAGS else "class" if node.words == "boiler" else "plain"
+    return own if outer == "plain" or own == "boiler" else outer
+
+
+def _set_kinds(nodes: list[Node]) -> None:
+    """The kinds, once the text of all nodes is known."""
+    for i, n in enumerate(nodes[1:], 1):
+        n.kind = _kind(n, nodes[n.parent].kind)
+    held = [n.chars for n in nodes]
+    plain = [n.chars * (n.kind == "plain") for n in nodes]  # text that no class word or tag speaks against
+    scope = [0] * len(nodes)
+    for i in range(len(nodes) - 1, 0, -1):
+        up = nodes[i].parent
+        held[up], plain[up] = held[up] + held[i], plain[up] + plain[i]
+    for i, n in enumerate(nodes[1:], 1):
+        up = n.parent
+        scope[i] = up if nodes[up].marked else scope[up]  # the article that it stands in, or the page
+        n.wraps = 2 * held[i] > held[scope[i]]
+        n.kind = _kind(n, nodes[up].kind, n.wraps and n.tag in WRAPPER_TAGS and 4 * (plain[scope[i]] - plain[i]) < held[i])
+        if n.kind == "plain" and n.words == "boiler":
+            n.words = "none"
+
+
 def _kind_of_words(attributes: str) -> tuple[str, bool]:
     """What class and id words say, and whether the element is marked as the article."""
     words, marked = set(), False
@@ -151,7 +190,7 @@ def dom(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             words, marked = _kind_of_words(m.group(3)) if "=" in m.group(3) else ("none", False)
             if tag in BLOCK or words == "boiler":
                 flush()
-                nodes.append(Node(tag, stack[-1][1], words, marked or tag in MARKS, nodes[stack[-1][1]].kind))
+                nodes.append(Node(tag, stack[-1][1], words, marked or tag in MARKS))
                 stack.append((tag, len(nodes) - 1))
             else:
                 stack.append((tag, stack[-1][1]))
@@ -164,6 +203,7 @@ def dom(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 close(i)
     add(page[at:])
     flush()
+    _set_kinds(nodes)
     return nodes, blocks
 
 
@@ -185,7 +225,9 @@ def labels(nodes: list[Node]) -> list[int] | None:
     out: list[int] = []
     for n in nodes:
         inside = n.parent >= 0 and out[n.parent] == 1
-        out.append(int((inside or n.marked) and n.kind == "plain"))
+        # within the article, class words of what holds most of it don't count, nor what they pass on
+        own = n.tag in BOILER_TAGS or n.words == "boiler" and not n.wraps
+        out.append(int(inside and not own or n.marked and n.kind == "plain"))
     return out
 
 
@@ -202,7 +244,7 @@ class Model:
         self.node = {f: (math.log(both[0] / total[f[0], 0]), math.log(both[1] / total[f[0], 1])) for f, both in n.items()}
         pair = {(k, p, s): counts.get(("pair", f"{k}{p}", s), 0) + v for (k, p, s), v in PAIR_PRIOR.items()}
         share = {(k, p, s): pair[k, p, s] / (pair[k, p, 0] + pair[k, p, 1]) for k, p, s in pair}
-        self.pair = {k: [share[k, p, s] for p in (0, 1) for s in (0, 1)] for k in ("plain", "boiler")}
+        self.pair = {k: [share[k, p, s] for p in (0, 1) for s in (0, 1)] for k in ("plain", "class", "boiler")}
         self.root = (0.98, 0.02)
 
     def marginals(self, nodes: list[Node], masked: bool = False) -> list[float]:

@@ -129,6 +129,36 @@ def test_main_text_of_parts(spark):
     assert len(out) == 10 and {r.text for r in out if r.page_id == 1} == {"A & B One sentence of text, long enough to read. And more."}
 
 
+SIDE = "<nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav>"
+STORY = "<h1>Title</h1><p>One long sentence that is here to be read by all. And another one follows it.</p><p>The second paragraph is long as well, and ends here.</p>"
+FOOT = "<div class='share-bar'><p>Share this page with your friends.</p></div><footer><p>Copyright of the owners, all rights reserved.</p></footer>"
+READ = "Title One long sentence that is here to be read by all. And another one follows it. The second paragraph is long as well, and ends here."
+WRAPPED = {
+    "body": f"<body class='has-sidebar'>{SIDE}{STORY}{FOOT}</body>", "fixed": f"<body class='fixed-header'>{SIDE}<div>{STORY}</div>{FOOT}</body>",
+    "div": f"<body><div class='page-with-navbar'>{SIDE}{STORY}{FOOT}</div></body>", "form": f"<body><form action=x>{SIDE}<div>{STORY}</div>{FOOT}</form></body>",
+    "main": f"<body>{SIDE}<main class='col-8 with-sidebar'>{STORY}</main>{FOOT}</body>", "article": f"<body>{SIDE}<article class='with-sharing'>{STORY}</article>{FOOT}</body>",
+    "both": f"<body class='has-sidebar'><form><div class='with-sidebar'>{SIDE}<article class='with-sharing'>{STORY}</article>{FOOT}</div></form></body>",
+    "comments": f"<body>{SIDE}<div class='post'>{STORY}</div><section class='comments'>" + "<article class='comment'><p>Great post! I liked it a lot, really.</p></article>" * 9 + f"</section>{FOOT}</body>",
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_class_words_of_wrappers_and_marked_elements(spark, name):
+    learned = html_main.train(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    for model in (learned, html_main.Model({})):
+        assert model.text(WRAPPED[name]) == READ
+
+
+def test_labelled_pages_can_outweigh_the_boiler_prior():
+    lead = "<h1>Title</h1><p>A lead of some length stands before all the rest, as it often does.</p>"
+    page = f"<body>{SIDE}<article>{lead}<div class='with-sharing'>{STORY}</div></article>{FOOT}</body>"
+    model = html_main.Model({})
+    assert READ not in model.text(page)
+    learned = html_main.Model(sum((html_main.counts_of(page, False) for _ in range(20)), Counter()))
+    assert learned.pair["class"][3] > 100 * model.pair["class"][3] and learned.pair["boiler"][3] <= model.pair["boiler"][3]
+    assert READ in learned.text(page) and "Copyright" not in learned.text(page)
+
+
 def test_deep_pages_need_no_recursion(spark):
     model = html_main.Model({})
     assert model.text("<div>" * 20_000 + "deep text" ) in ("", "deep text")
