@@ -166,6 +166,15 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rounds_of_a_chain_grow_with_the_logarithm(spark, monkeypatch):
+    names, written = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: names.append(name) or written(df, name))
+    links = [(i, i + 1) for i in range(300)] + [(1000 + i * 7 % 101, 1000 + (i + 1) * 7 % 101) for i in range(100)]
+    got = graph.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.v: r.component for r in got} == {v: 0 if v < 1000 else 1000 for v in [*range(301), *range(1000, 1101)]}
+    assert len(names) < 40
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from quarry.llm import pii
