@@ -6,7 +6,9 @@ of at least 0.75 are linked, and linked documents form components.
 1. Texts of equal sets are one class; only classes are compared.  A class has 64 minwise tokens.
 2. ``TREES`` independent trees branch the classes: the children of a node are the classes that
    agree on a selected minwise token.  A pair of similarity 0.75 shares a tree's first node with
-   that probability, so 12 trees miss one pair in 16 million.
+   that probability, so 12 trees miss one pair in 16 million.  Where first nodes are large and
+   the pair must share children on all four levels too (step 4), a tree reaches it with probability
+   0.67 (0.75 times f(4); f(0) = 1, f(k) = 1 - (1 - 0.75 f(k - 1))**2), and 12 trees miss one in 600,000.
 3. Nodes of up to ``NODE`` classes are compared exhaustively: first by the tokens (a pair that
    of similarity 0.75 agrees on fewer than ``LIKELY`` of 64 once in 700,000 cases),
    then the classes that have a likely partner by their full sets.  A node returns the links of a
