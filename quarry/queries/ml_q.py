@@ -72,10 +72,11 @@ def eval_regression(spark, sf):
 
 
 def _sweep(spark, sf):
+    """All candidates of each depth: depth 2 has four, so no patience ends it earlier."""
     emb = table(spark, sf, "embeddings")
     sp = M.split_random(emb, "vec_id", 0.2, 42)
     tr, va = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "val")
-    return SW.model_sweep(tr, va, "embedding", "label", depths=(1, 2), units=(16, 32), patience=1, min_candidates=1, max_iter=30)
+    return SW.model_sweep(tr, va, "embedding", "label", depths=(1, 2), units=(16, 32), patience=4, min_candidates=4, max_iter=30)
 
 
 @register("model_sweep")
@@ -84,6 +85,15 @@ def model_sweep(spark, sf):
     return _sweep(spark, sf)
 
 
+@register("model_sweep_regression")
+def model_sweep_regression(spark, sf):
+    """Rows-only: boosted trees' scores are not SQL-expressible."""
+    part = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice").dropna()
+    sp = M.split_random(part, "p_partkey", 0.2, 42)
+    tr, va = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "val")
+    return SW.model_sweep(tr, va, ["p_partkey", "p_size"], "p_retailprice", depths=(1, 2), units=(5, 10), patience=2, min_candidates=2, task="regression")
+
+
 HISTORY_SQL = "SELECT event_id AS candidate, user_id % 5 AS depth, value AS reward FROM events"
 
 

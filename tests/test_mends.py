@@ -80,6 +80,16 @@ def test_outlier_bounds_are_fitted_once(spark):
     assert [r.x for r in fit.apply(other).collect()] == [10.0] and set(fit.values) == {"x", "y"}
 
 
+def test_registered_sweeps_train_all_candidates(spark):
+    import __spark_entry__ as E
+
+    from .conftest import SF_SMALL
+
+    found = {k: [(r.depth, r.layers) for r in E.queries()[k](spark, SF_SMALL).collect()] for k in ("model_sweep", "model_sweep_regression")}
+    assert [d for d, _ in found["model_sweep"]] == [1, 1, 2, 2, 2, 2] and len(set(found["model_sweep"])) == 6
+    assert found["model_sweep_regression"] == [(1, "5"), (1, "10"), (2, "5"), (2, "10")]
+
+
 def test_regression_sweep(spark):
     from quarry.operators.sweep import model_sweep
 
