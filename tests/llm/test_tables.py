@@ -134,7 +134,7 @@ def brute_divergences(rows, min_docs, top):
 
 @pytest.mark.parametrize("entries,bucket,run", [(400_000, 1 << 16, 1 << 20), (7, 2, 5)])
 def test_divergences(spark, monkeypatch, entries, bucket, run):
-    for name, value in (("STRIPE_ENTRIES", entries), ("BUCKET", bucket), ("RUN", run)):
+    for name, value in (("STRIPE_CELLS", entries), ("BUCKET", bucket), ("RUN", run), ("PAIR_BLOCK", bucket)):
         monkeypatch.setattr(divergence, name, value)
     random.seed(entries)
     vocabulary = ["the", "The", "Über", "über", "ÉTÉ", "z", "a b", "x1y", "日本", "𝒳", "\x7f", "don't"]
