@@ -104,3 +104,26 @@ def resolve_columns(
             seen.add(c)
             out.append(c)
     return out
+
+
+def free_name(base: str, *taken: Iterable[str]) -> str:
+    """``base``, with underscores put before it until no name in ``taken`` equals it (names match in any case)."""
+    used = {n.lower() for names in taken for n in names}
+    while base.lower() in used:
+        base = "_" + base
+    return base
+
+
+def free_names(taken: Iterable[str], *bases: str) -> list[str]:
+    """A free name for each base, different from each other."""
+    used, out = list(taken), []
+    for base in bases:
+        out.append(free_name(base, used))
+        used.append(out[-1])
+    return out
+
+
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named ``c0, c1, ...`` and the map from the old names, for work that needs names of its own."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))

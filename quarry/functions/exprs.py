@@ -31,3 +31,8 @@ def clip(c: Column, lo: Column, hi: Column) -> Column:
 def ts_text(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
+
+
+def double_array(values) -> Column:
+    """A literal array of doubles, as one literal in the plan (Python's shortest form reads back exactly)."""
+    return F.split(F.lit(" ".join(repr(float(v)) for v in values)), " ").cast("array<double>")

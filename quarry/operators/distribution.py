@@ -3,22 +3,22 @@
 Power-transform parameters are fitted by maximum likelihood with Newton steps:
 every round takes four moments a column in one scan, for all columns.
 ``quantile_transform`` fits its knots with the exact distributed
-quantile engine and applies a JVM binary search (``Bucketizer``) plus literal
-arrays; the normal output uses the AS241 probit as a Column expression.
+quantile engine and applies a binary search in literal arrays; the normal
+output uses the AS241 probit as a Column expression.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import numeric_columns, q
+from ..functions.columns import free_names, numeric_columns, q
+from ..functions.exprs import double_array
 from ..plans.fitted import Fitted, step
 from ..plans.guards import fused_agg
-from ..plans.quantiles import column_quantiles
+from ..plans.quantiles import column_quantiles, place_in
 
 MAX_ROUNDS = 30  # scans of a power fit; about six as a rule
 
@@ -277,61 +277,41 @@ def _knot_tables(knots: list[float], refs: list[float]):
 @step("quantile_transform")
 def fit_quantile_transform(df: DataFrame, cols, output_distribution: str = "normal", n_quantiles: int = 1000, **_):
     """Map through the empirical CDF (min(n_quantiles, n) exact knots, averaged forward/backward
-    interpolation, ties to the mid-point) to a uniform or a normal distribution."""
+    interpolation, ties to the mid-point) to a uniform or a normal distribution.
+
+    Columns with the same number of knots (all but short ones) are fitted in one pass."""
     num = numeric_columns(df, cols)
     fits = {}
     if num:
         counts = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(num)]).first()
-        for i, c in enumerate(num):
-            n = counts[f"n{i}"]
-            if not n:
-                continue
-            m = max(1, min(int(n_quantiles), n))
+        knots_of = {c: max(1, min(int(n_quantiles), counts[f"n{i}"])) for i, c in enumerate(num) if counts[f"n{i}"]}
+        for m in sorted(set(knots_of.values())):
             refs = [j / (m - 1) for j in range(m)] if m > 1 else [0.0]
-            knots = column_quantiles(df, [c], refs)[c]
-            fits[c] = (knots, refs)
+            for c, knots in column_quantiles(df, [c for c in num if knots_of.get(c) == m], refs).items():
+                fits[c] = _knot_tables(knots, refs)
 
     def apply(d):
         if not fits:
             return d
-        out = d
-        cols_in, cols_out, splits = [], [], []
-        for i, (c, (knots, refs)) in enumerate(fits.items()):
-            u, _, _ = _knot_tables(knots, refs)
-            cols_in.append(f"_qt_in{i}")
-            cols_out.append(f"_qt_b{i}")
-            splits.append([-math.inf] + u + [math.inf])
-            out = out.withColumn(f"_qt_in{i}", F.coalesce(_d(c), F.lit(float("nan"))))
-        out = Bucketizer(splitsArray=splits, inputCols=cols_in, outputCols=cols_out, handleInvalid="keep").transform(out)
+        at, share = (dict(zip(fits, free_names(d.columns, *[f"{kind}{i}" for i in range(len(fits))]))) for kind in ("at", "share"))
+        out = d.withColumns({at[c]: place_in(_d(c), double_array(u), len(u)) for c, (u, _, _) in fits.items()})
         res = {}
-        spark = d.sparkSession
-        for i, (c, (knots, refs)) in enumerate(fits.items()):
-            u, r_lo, r_hi = _knot_tables(knots, refs)
-            # segment table: bucket b covers [u[b-1], u[b]); at most n_quantiles + 1 rows, broadcast
-            seg = [(b, u[b - 1] if b >= 1 else None, r_lo[b - 1] if b >= 1 else None, r_hi[b - 1] if b >= 1 else None,
-                    u[b] if b < len(u) else None, r_lo[b] if b < len(u) else None) for b in range(len(u) + 1)]
-            seg_df = F.broadcast(spark.createDataFrame(
-                seg, f"_qs_b{i} int, _qs_lu{i} double, _qs_llo{i} double, _qs_lhi{i} double, _qs_ru{i} double, _qs_rlo{i} double"))
-            out = out.join(seg_df, F.col(f"_qt_b{i}").cast("int") == F.col(f"_qs_b{i}"), "left")
-            x = _d(c)
-            lu, llo, lhi = F.col(f"_qs_lu{i}"), F.col(f"_qs_llo{i}"), F.col(f"_qs_lhi{i}")
-            ru, rlo = F.col(f"_qs_ru{i}"), F.col(f"_qs_rlo{i}")
-            tie = (llo + lhi) / 2
-            lin = lhi + (x - lu) * (rlo - lhi) / (ru - lu)
-            y = F.when(x == lu, tie).otherwise(lin)
+        for c, (u, r_lo, r_hi) in fits.items():
+            # segments between knots: at[c] is the last knot at or below x
+            def table(values, offset, c=c):
+                return F.get(double_array(values), q(at[c]) + offset)
+
+            x, lu, lhi = _d(c), table(u, 0), table(r_hi, 0)
+            lin = lhi + (x - lu) * (table(r_lo, 1) - lhi) / (table(u, 1) - lu)
+            y = F.when(x == lu, (table(r_lo, 0) + lhi) / 2).otherwise(lin)
             y = F.when(x - BOUNDS_THRESHOLD < F.lit(float(u[0])), F.lit(0.0)).when(
                 x + BOUNDS_THRESHOLD > F.lit(float(u[-1])), F.lit(1.0)).otherwise(y)
             res[c] = F.when(x.isNotNull(), y)
-        seg_cols = [f"_qs_{k}{i}" for i in range(len(fits)) for k in ("b", "lu", "llo", "lhi", "ru", "rlo")]
-        out = out.withColumns({f"_qt_y{i}": res[c] for i, c in enumerate(fits)}).drop(*cols_in, *cols_out, *seg_cols)
-        if output_distribution == "normal":
-            # probit reads its input several times: keep it a column so the interpolation is computed once
-            eps = BOUNDS_THRESHOLD - 2.220446049250313e-16
-            out = out.withColumns({c: probit(F.greatest(F.least(F.col(f"_qt_y{i}"), F.lit(1 - eps)), F.lit(eps)))
-                                   for i, c in enumerate(fits)})
-        else:
-            out = out.withColumns({c: F.col(f"_qt_y{i}") for i, c in enumerate(fits)})
-        return out.drop(*[f"_qt_y{i}" for i in range(len(fits))])
+        # probit reads its input several times: keep it a column so the interpolation is computed once
+        out = out.withColumns({share[c]: y for c, y in res.items()})
+        eps = BOUNDS_THRESHOLD - 2.220446049250313e-16
+        done = {c: probit(F.greatest(F.least(q(share[c]), F.lit(1 - eps)), F.lit(eps))) if output_distribution == "normal" else q(share[c]) for c in fits}
+        return out.select(*[(done[c].alias(c) if c in done else q(c)) for c in d.columns])
 
     return Fitted("quantile_transform", num, apply, [c for c in cols if c not in num], values={c: len(f[0]) for c, f in fits.items()})
 

@@ -2,8 +2,9 @@
 
 Label / ordinal codes are the position of the value in the sorted distinct
 values.  The distinct values stay a DataFrame: they are numbered by the
-bucketed global row number (no single-task window) and joined back, broadcast
-only when their measured size is within the broadcast bound.  One-hot makes one
+bucketed global row number (no single-task window) and joined back by
+``plans.splitjoin``: broadcast within a measured bound, beyond it shuffled
+without the frequent values.  One-hot makes one
 column per category, so the categories are collected; a caller may bound their
 number (``max_categories``), which is then checked before anything is collected.
 """
@@ -13,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_float, q
+from ..functions.columns import free_name, is_float, q
 from ..plans.fitted import Fitted, step
-from ..plans.guards import BROADCAST_BYTES, measured_bytes, small
+from ..plans.guards import cut_lineage
 from ..plans.ordered import global_row_number
+from ..plans.splitjoin import Lookup, counted
 
 
 def _as_text(df: DataFrame, c: str, null_token: str | None = None):
@@ -26,61 +28,58 @@ def _as_text(df: DataFrame, c: str, null_token: str | None = None):
     return F.coalesce(q(c).cast("string"), F.lit(token))
 
 
-def _dictionary(df: DataFrame, c: str, order: list | None = None, null_token=None) -> DataFrame:
-    """(value, code) for the distinct text values of ``c`` (code-point order or ``order``)."""
-    vals = df.select(_as_text(df, c, null_token).alias("value")).distinct()
+def _dictionary(df: DataFrame, c: str, order: list | None = None, null_token=None) -> tuple[DataFrame, DataFrame]:
+    """``value, code`` of the distinct text values of ``c`` (code-point order or ``order``), and ``value, n``, their rows."""
+    counts = cut_lineage(counted(df, _as_text(df, c, null_token)))
+    vals = counts.select("value")
     if order is not None:
         spark = df.sparkSession
         explicit = spark.createDataFrame([(str(v), i) for i, v in enumerate(order)], "value string, code long")
-        rest = vals.join(explicit, "value", "left_anti")
+        rest = vals.join(F.broadcast(explicit), "value", "left_anti")
         ranked_rest = global_row_number(rest, ["value"], name="code").select(
             "value", (F.col("code") - 1 + len(order)).alias("code"))
-        return explicit.unionByName(ranked_rest)
-    return global_row_number(vals, ["value"], name="code").select("value", (F.col("code") - 1).alias("code"))
+        return explicit.unionByName(ranked_rest), counts
+    return global_row_number(vals, ["value"], name="code").select("value", (F.col("code") - 1).alias("code")), counts
 
 
-def _encode_apply(cols, dicts, out_type, null_tokens):
+def _encode_apply(cols, lookups, out_type, null_token):
     def apply(d: DataFrame) -> DataFrame:
         out = d
         for c in cols:
-            dic = dicts[c]
-            dic = dic.select(F.col("value").alias("_value"), F.col("code").cast(out_type).alias("_code"))
-            if dicts[c + "__bytes"] <= BROADCAST_BYTES:
-                dic = F.broadcast(dic)
-            out = out.join(dic, _as_text(out, c, null_tokens.get(c)) == dic["_value"], "left")
-            out = out.withColumn(c, F.col("_code")).drop("_value", "_code")
-        return out.select(*[q(c) for c in d.columns])
+            found = lookups[c].join(out, _as_text(out, c, null_token))
+            code = F.col("code").cast(out_type)
+            out = found.select(*[(code if n == c else F.col(f"c{i}")).alias(n) for i, n in enumerate(out.columns)])
+        return out
     return apply
 
 
-def _fit_codes(name, df, cols, out_type, order=None, null_token=None):
+def _fit_codes(name, df, cols, out_type, order=None, null_token=None, **bounds):
     cols = [c for c in cols if c in df.columns]
-    dicts, tokens = {}, {}
+    lookups, sizes = {}, {}
     for c in cols:
-        dic = small(_dictionary(df, c, order, null_token))
-        dicts[c] = dic
-        dicts[c + "__n"], dicts[c + "__bytes"] = dic.count(), measured_bytes(dic)
-        tokens[c] = null_token
-    return Fitted(name, cols, _encode_apply(cols, dicts, out_type, tokens),
-                  values={c: dicts[c + "__n"] for c in cols})
+        dic, counts = _dictionary(df, c, order, null_token)
+        dic = cut_lineage(dic)
+        lookups[c], sizes[c] = Lookup(dic, counts, **bounds), dic.count()
+    return Fitted(name, cols, _encode_apply(cols, lookups, out_type, null_token), values=sizes)
 
 
 @step("label_encoder")
-def fit_label_encoder(df: DataFrame, cols, null_token=None, **_):
+def fit_label_encoder(df: DataFrame, cols, null_token=None, **bounds):
     """Text form, sorted distinct values -> 0..k-1 (NULL is a category: 'nan' / 'None')."""
-    return _fit_codes("label_encoder", df, cols, "long", None, null_token)
+    return _fit_codes("label_encoder", df, cols, "long", None, null_token, **bounds)
 
 
 @step("ordinal_encoder")
-def fit_ordinal_encoder(df: DataFrame, cols, order=None, null_token=None, **_):
+def fit_ordinal_encoder(df: DataFrame, cols, order=None, null_token=None, **bounds):
     """As label encoding with double codes; optional explicit ``order`` first, the rest sorted after it."""
-    return _fit_codes("ordinal_encoder", df, cols, "double", order, null_token)
+    return _fit_codes("ordinal_encoder", df, cols, "double", order, null_token, **bounds)
 
 
 @step("onehot_encoder")
 def fit_onehot_encoder(df: DataFrame, cols, drop_first: bool = True, max_categories: int | None = None, **_):
     """Per column: sorted distinct non-NULL values, first dropped, boolean ``col_value`` columns
-    appended in order, source column dropped; NULL -> all false.  ``max_categories`` is the caller's own bound."""
+    appended in order, source column dropped; NULL -> all false.  A name that is taken gets underscores put before it
+    (all names stay different).  ``max_categories`` is the caller's own bound."""
     cols = [c for c in cols if c in df.columns]
     cats = {}
     for c in cols:
@@ -92,11 +91,12 @@ def fit_onehot_encoder(df: DataFrame, cols, drop_first: bool = True, max_categor
         cats[c] = srt[1:] if drop_first else srt
 
     def apply(d: DataFrame) -> DataFrame:
-        keep = [q(x) for x in d.columns if x not in cols]
-        dummies = []
+        names = [x for x in d.columns if x not in cols]
+        keep, dummies = [q(x) for x in names], []
         for c in cols:
             for v in cats[c]:
-                dummies.append(F.coalesce(q(c) == F.lit(v), F.lit(False)).alias(f"{c}_{v}"))
+                names.append(free_name(f"{c}_{v}", names))
+                dummies.append(F.coalesce(q(c) == F.lit(v), F.lit(False)).alias(names[-1]))
         return d.select(*keep, *dummies)
 
     return Fitted("onehot_encoder", cols, apply, values={c: len(v) for c, v in cats.items()})

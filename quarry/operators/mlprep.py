@@ -7,21 +7,28 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import numeric_columns, q
-from ..plans.guards import bounded_broadcast, small
+from ..functions.columns import free_names, numeric_columns, q
+from ..plans.guards import cut_lineage
 from ..plans.ordered import first_rows, global_row_number
+from ..plans.splitjoin import Lookup, counted
 
 EPS = 2.220446049250313e-16  # float64 machine epsilon, the MAPE divisor floor
 
 
+def _with_split(flagged: DataFrame, names: list[str], split) -> DataFrame:
+    """The columns ``names`` and ``split`` (which takes the place of a column of that name)."""
+    return flagged.select(*[q(c) for c in names if c.lower() != "split"], split.alias("split"))
+
+
 def split_time(df: DataFrame, time: str, ratio: float = 0.2, tiebreak: list[str] | None = None, **kw) -> DataFrame:
     """Sort by ``time`` (then ``tiebreak``), undated rows last; the first int(n (1 - ratio)) rows are train, the rest validation.
 
     Adds ``split`` ('train' / 'val').  Rows are compared with the key at the cut; they don't move."""
     n = df.count()
-    d = df.withColumn("_undated", q(time).isNull())
-    flagged = first_rows(d, ["_undated", time, *(tiebreak or [])], int(n * (1 - ratio)), "_first", n, **kw)
-    return flagged.withColumn("split", F.when(F.col("_first"), "train").otherwise("val")).drop("_undated", "_first")
+    undated, first = free_names(df.columns, "undated", "first")
+    d = df.withColumn(undated, q(time).isNull())
+    flagged = first_rows(d, [undated, time, *(tiebreak or [])], int(n * (1 - ratio)), first, n, **kw)
+    return _with_split(flagged, df.columns, F.when(q(first), "train").otherwise("val"))
 
 
 def split_random(df: DataFrame, key: str | list[str], ratio: float = 0.2, seed: int = 42, **kw) -> DataFrame:
@@ -30,8 +37,9 @@ def split_random(df: DataFrame, key: str | list[str], ratio: float = 0.2, seed:
     keys = [key] if isinstance(key, str) else list(key)
     n = df.count()
     h = F.md5(F.concat_ws("|", *[q(k).cast("string") for k in keys], F.lit(str(seed))))
-    flagged = first_rows(df.withColumn("_h", h), ["_h", *keys], math.ceil(n * ratio), "_first", n, **kw)
-    return flagged.withColumn("split", F.when(F.col("_first"), "val").otherwise("train")).drop("_h", "_first")
+    digest, first = free_names(df.columns, "digest", "first")
+    flagged = first_rows(df.withColumn(digest, h), [digest, *keys], math.ceil(n * ratio), first, n, **kw)
+    return _with_split(flagged, df.columns, F.when(q(first), "val").otherwise("train"))
 
 
 def split_shapes(split_df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -44,20 +52,20 @@ def split_shapes(split_df: DataFrame, features: list[str], target: str) -> DataF
     return split_df.sparkSession.createDataFrame(rows, "part string, rows long, cols long")
 
 
-def encode_target(train: DataFrame, val: DataFrame, col: str, out: str | None = None):
+def encode_target(train: DataFrame, val: DataFrame, col: str, out: str | None = None, **bounds):
     """Codes of a non-numeric target from the *training* dictionary (sorted), applied to both
     sides; unseen validation values get -1.  Returns (train, val, n_classes)."""
     out = out or col
-    vals = train.select(q(col).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
-    dic = small(global_row_number(vals, ["value"], name="code").select("value", (F.col("code") - 1).alias("code")))
-    k = dic.count()
-    dd = bounded_broadcast(dic.select(F.col("value").alias("_tv"), F.col("code").alias("_tc")))
+    counts = cut_lineage(counted(train, q(col).cast("string")))
+    dic = cut_lineage(global_row_number(counts.select("value"), ["value"], name="code").select("value", (F.col("code") - 1).alias("code")))
+    lookup = Lookup(dic, counts, **bounds)
 
     def enc(d):
-        j = d.join(dd, q(col).cast("string") == dd["_tv"], "left")
-        return j.withColumn(out, F.coalesce(F.col("_tc"), F.lit(-1)).cast("long")).drop("_tv", "_tc")
+        found = lookup.join(d, q(col).cast("string"))
+        back = found.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(d.columns)], F.coalesce("code", F.lit(-1)).cast("long").alias("\0code"))
+        return back.withColumn(out, q("\0code")).drop("\0code")
 
-    return enc(train), enc(val), k
+    return enc(train), enc(val), dic.count()
 
 
 def eval_classification(df: DataFrame, label: str, pred: str, threshold: float | None = None) -> DataFrame:

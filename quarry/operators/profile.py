@@ -26,8 +26,9 @@ from ..functions.columns import (
     q,
 )
 from ..functions.exprs import pct, rnd, safe_div
-from ..plans.guards import fused_agg, small
-from ..plans.quantiles import long_format, quantiles
+from ..plans.crossproducts import cross_products, pearson
+from ..plans.guards import fused_agg
+from ..plans.quantiles import column_quantiles, long_format
 from .values import value_counts
 
 PROFILE_PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -164,9 +165,10 @@ def _scalar_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _quantile_wide(df: DataFrame, cols: Sequence[str], probs, names, method: str) -> DataFrame:
-    qs = quantiles(long_format(df, cols, key="col_name"), probs, keys=["col_name"], method=method)
-    return qs.groupBy("col_name").agg(*[F.max(F.when(F.col("pi") == i, F.col("q"))).alias(nm)
-                                        for i, nm in enumerate(names)])
+    """``col_name`` and one column a quantile, for columns with values (the numbers are collected: columns x probs)."""
+    found = column_quantiles(df, cols, probs, method)
+    rows = [(c, *v) for c, v in found.items() if v[0] is not None]
+    return df.sparkSession.createDataFrame(rows, "col_name string, " + ", ".join(f"{n} double" for n in names))
 
 
 def numeric_summary(df: DataFrame, quantile_method: str = "exact") -> DataFrame:
@@ -191,7 +193,7 @@ def numeric_profile(df: DataFrame, quantile_method: str = "exact", k: float = 1.
     if not cols:
         return df.sparkSession.createDataFrame([], "col_name string")
     sc = _scalar_numeric(df, cols)
-    qs = small(_quantile_wide(df, cols, PROFILE_PROBS, PROBE_NAMES, quantile_method))  # one row per column
+    qs = _quantile_wide(df, cols, PROFILE_PROBS, PROBE_NAMES, quantile_method)
     base = sc.join(qs, "col_name", "left")
     outl = iqr_outlier_counts(df, k, quantile_method, quartiles=qs.select("col_name", "p25", "p75"))
     out = base.join(outl.select("col_name", "outliers_count"), "col_name", "left")
@@ -282,26 +284,21 @@ def table_bytes(df: DataFrame) -> DataFrame:
     return row.select(F.inline(F.array(*structs)))
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, chunk: int = 40) -> DataFrame:
+def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson r for every ordered pair (pairwise-complete), rounded to 3; diagonal 1.0 when defined.
 
-    ``corr`` skips rows with a NULL on either side, like pandas.  Pairs i<j are
-    computed in fused aggregates of at most ``chunk`` expressions and mirrored.
-    """
+    Rows with a NULL or NaN on either side are skipped, like pandas.  All pairs come from two scans (means,
+    then ``plans.crossproducts``); the result stays a table and is mirrored there."""
     cols = numeric_columns(df, cols)
-    spark = df.sparkSession
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    rows = []
-    for s in range(0, len(pairs), chunk):
-        part = pairs[s:s + chunk]
-        r = df.agg(*[F.corr(q(a).cast("double"), q(b).cast("double")).alias(f"c{j}") for j, (a, b) in enumerate(part)]).first()
-        for j, (a, b) in enumerate(part):
-            v = r[f"c{j}"]
-            v = None if v is None or v != v else round(float(v), 3)
-            rows.append((a, b, v))
-            if a != b:
-                rows.append((b, a, v))
-    return spark.createDataFrame(rows, "col1 string, col2 string, correlation double")
+    if not cols:
+        return df.sparkSession.createDataFrame([], "col1 string, col2 string, correlation double")
+    upper = pearson(cross_products(df, cols))
+    pairs = df.sparkSession.range(len(cols)).select(
+        F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.col("id").cast("int"), F.lit(len(cols) - 1))).alias("j"))
+    both = pairs.join(upper, ["i", "j"], "left").select(F.round("r", 3).alias("correlation"), F.explode(
+        F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))).alias("at"))
+    names = F.array(*[F.lit(c) for c in cols])
+    return both.select(F.get(names, F.col("at.i")).alias("col1"), F.get(names, F.col("at.j")).alias("col2"), "correlation")
 
 
 def high_corr_pairs(df: DataFrame, threshold: float = 0.8, top: int = 10, cols: Sequence[str] | None = None) -> DataFrame:

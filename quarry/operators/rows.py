@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import NUMERIC, classes, q
+from ..functions.columns import NUMERIC, classes, is_float, q
 from ..plans.fitted import Fitted, step
 
 
@@ -35,8 +35,9 @@ def drop_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def derive(df: DataFrame, name: str, expr: str) -> DataFrame:
-    """New or replaced column from a Spark SQL expression (never executed as code)."""
-    return df.withColumn(name, F.expr(expr))
+    """New or replaced column from a Spark SQL expression (never executed as code); NaN counts as missing."""
+    out = df.withColumn(name, F.expr(expr))
+    return out.withColumn(name, F.when(~F.isnan(q(name)), q(name))) if is_float(out.schema[name].dataType) else out
 
 
 def dropna_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
@@ -62,8 +63,8 @@ def drop_duplicates_subset(df: DataFrame, cols: Sequence[str], order_by: Sequenc
     order_by = [order_by] if isinstance(order_by, str) else list(order_by)
     row = F.struct(*[q(c) for c in df.columns])
     key = F.struct(*[q(c) for c in order_by])
-    first = df.groupBy(*[q(c) for c in cols]).agg(F.min_by(row, key).alias("_first"))
-    return first.select(*[F.col("_first")[c].alias(c) for c in df.columns])
+    first = df.groupBy(*[q(c).alias(f"k{i}") for i, c in enumerate(cols)]).agg(F.min_by(row, key).alias("first"))
+    return first.select(*[F.col("first")[c].alias(c) for c in df.columns])
 
 
 @step("dropna_rows")

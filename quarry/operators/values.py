@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import categorical_columns, is_float, numeric_columns, q
+from ..functions.columns import categorical_columns, free_name, is_float, numeric_columns, q
 from ..functions.exprs import pct, rnd
 from ..plans.guards import bounded_broadcast, cut_lineage
 
@@ -88,16 +88,18 @@ def histogram(df: DataFrame, cols: Sequence[str] | str | None = None, bins: int
     """Equal-width histogram over non-NULL values, per column (and per ``by`` group for charts).
 
     Edges follow numpy: [min, max]; min == max -> [min - 0.5, max + 0.5]; no
-    values -> [0, 1].  Every bin is reported, empty ones with count 0.
+    values -> [0, 1].  Every bin is reported, empty ones with count 0.  A ``by`` column named like one
+    of the results gets underscores put before its name.
     """
     if isinstance(cols, str):
         cols = [cols]
     cols = numeric_columns(df, cols)
-    keys = ["col_name"] + ([by] if by else [])
+    shown = {"col_name": "col_name", "by": free_name(by or "by", ("col_name", "bin", "bin_start", "bin_end", "count"))}
+    keys = ["col_name"] + (["by"] if by else [])
     structs = [F.struct(F.lit(c).alias("col_name"), q(c).cast("double").alias("x")) for c in cols]
     sel = [F.inline(F.array(*structs))]
     if by:
-        sel = [q(by).alias(by)] + sel
+        sel = [q(by).alias("by")] + sel
     long = df.select(*sel)
     rng = long.groupBy(*keys).agg(F.min("x").alias("mn"), F.max("x").alias("mx"))
     lo = F.when(F.col("mn").isNull(), F.lit(0.0)).when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn"))
@@ -122,6 +124,6 @@ def histogram(df: DataFrame, cols: Sequence[str] | str | None = None, bins: int
     )
     out = grid.join(counted, [grid[k].eqNullSafe(counted[f"_c_{k}"]) for k in keys] + [grid["bin"] == counted["_c_bin"]], "left")
     return out.select(
-        *keys, F.col("bin").cast("int").alias("bin"), rnd(F.col("bin_start")).alias("bin_start"),
+        *[F.col(k).alias(shown[k]) for k in keys], F.col("bin").cast("int").alias("bin"), rnd(F.col("bin_start")).alias("bin_start"),
         rnd(F.col("bin_end")).alias("bin_end"), F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
     )

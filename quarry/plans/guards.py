@@ -22,16 +22,6 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(width)).first()[0] or 0
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Cache a small, derived table (a fit result, a bracket table) and count it.
-
-    The cache is only a speed-up: on executor loss Spark recomputes it from lineage.
-    """
-    df = df.cache()
-    df.count()
-    return df
-
-
 def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast ``df`` only if it measures at most ``max_bytes``; else leave it to a shuffle join."""
     return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
@@ -45,6 +35,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan that has fewer splits than the session has cores, dealt over all cores.
+
+    For work of many expressions a row on a small table; a large table has more splits than cores and
+    stays as it is, and so does what has been shuffled before."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 # Whole-stage codegen of one aggregate falls back to slow interpreted evaluation when the
 # generated method grows too large; measured on 600k rows: 80 moment aggregates in one job
 # 16.9 s, the same as two jobs of 40 in 2.4 s.  Fused aggregates are therefore chunked.

@@ -19,28 +19,30 @@ number of ranks.  Interval tables are checkpointed between rounds.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import q
-from .guards import bounded_broadcast, cut_lineage
+from ..functions.columns import is_float, q
+from ..functions.exprs import double_array
+from .guards import bounded_broadcast, cut_lineage, spread
 
 LIMIT = 20_000  # rows of an interval whose distinct values are ranked
 PARTS = 4096  # slices of an interval
 
 
 def long_format(df: DataFrame, cols: Sequence[str], key: str = "key", value: str = "v") -> DataFrame:
-    """Unpivot numeric columns to ``(key, v)`` rows, dropping NULLs."""
+    """Unpivot numeric columns to ``(key, v)`` rows, dropping NULLs and NaN."""
     structs = [F.struct(F.lit(c).alias(key), q(c).cast("double").alias(value)) for c in cols]
-    return df.select(F.inline(F.array(*structs))).where(F.col(value).isNotNull())
+    return df.select(F.inline(F.array(*structs))).where(F.col(value).isNotNull() & ~F.isnan(value))
 
 
 def _lerp(v0: Column, v1: Column, frac: Column) -> Column:
-    """numpy's linear interpolation (lerp from the nearer end)."""
+    """numpy's linear interpolation (lerp from the nearer end); at a value and between equal ones that value, infinite ones too."""
     diff = v1 - v0
-    return F.when(frac >= 0.5, v1 - diff * (1 - frac)).otherwise(v0 + diff * frac)
+    return F.when((frac == 0) | (v0 == v1), v0).when(frac >= 0.5, v1 - diff * (1 - frac)).otherwise(v0 + diff * frac)
 
 
 def _prob_grid(probs: Sequence[float]) -> Column:
@@ -92,7 +94,7 @@ def _within(rows: DataFrame, intervals: DataFrame, part: list[str]) -> DataFrame
 def exact_quantiles(long: DataFrame, probs: Sequence[float], keys: Sequence[str] = ("key",), value: str = "v", limit: int = LIMIT) -> DataFrame:
     """``(keys..., pi, p, n, q)``: pandas-linear quantiles of ``value`` per key."""
     names = [f"_k{i}" for i in range(len(keys))]
-    rows = long.select(*[q(k).alias(n) for k, n in zip(keys, names)], q(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    rows = long.select(*[q(k).alias(n) for k, n in zip(keys, names)], q(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
     part, bucket, v = list(names), _exponent(F.col("_v")), F.col("_v")
     found: list[DataFrame] = []
     targets = ranks = None
@@ -154,12 +156,103 @@ def quantiles(long: DataFrame, probs: Sequence[float], keys=("key",), value="v",
     return exact_quantiles(long, probs, keys, value)
 
 
-def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "exact") -> dict:
-    """{column: [q(p) for p in probs]} — the collected result is bounded by columns x probs."""
-    if not cols:
-        return {}
-    res = quantiles(long_format(df, cols), probs, method=method).collect()
+FINE = 512  # slices of a binary exponent in the first count of whole columns
+
+
+def _fine(v: Column) -> Column:
+    """Interval by sign, binary exponent and ``FINE`` slices of it; never decreasing in v."""
+    exponent = F.floor(F.log2(F.abs(v)))
+    part = F.greatest(F.least(F.floor((F.abs(v) / F.pow(F.lit(2.0), exponent) - 1) * FINE), F.lit(FINE - 1)), F.lit(0))
+    size = ((exponent + 1100) * FINE + part + 1).cast("int")
+    return (F.when(v == 0, F.lit(0)).when(F.abs(v) == float("inf"), F.signum(v).cast("int") * (5000 * FINE))
+            .when(v > 0, size).otherwise(-size))
+
+
+def place_in(x: Column, starts: Column, n: int) -> Column:
+    """Place of the last of the ``n`` rising ``starts`` at or below ``x`` (0 where there is none), by binary search."""
+    step = 1 << (max(n, 1).bit_length() - 1)
+    widths = F.array(*[F.lit(step >> b) for b in range(step.bit_length())])
+
+    def further(at: Column, width: Column) -> Column:
+        return F.when((at + width < n) & (F.get(starts, at + width) <= x), at + width).otherwise(at)
+
+    return F.aggregate(widths, F.lit(0), further)
+
+
+def _column_value(df: DataFrame, c: str) -> Column:
+    v = q(c).cast("double")
+    return F.when(~F.isnan(v), v) if is_float(df.schema[c].dataType) else v
+
+
+def _open_rows(df: DataFrame, open_: dict[str, list[tuple]], order: dict[str, int]) -> DataFrame:
+    """``key, at, lo, hi, v``: values that lie in one of their column's open intervals (disjoint, rising)."""
+    cells = []
+    for c, intervals in open_.items():
+        v, starts = _column_value(df, c), double_array(lo for lo, _ in intervals)
+        at = place_in(v, starts, len(intervals))
+        lo, hi = F.get(starts, at), F.get(double_array(hi for _, hi in intervals), at)
+        cells.append(F.struct(F.lit(order[c]).alias("key"), at.alias("at"), lo.alias("lo"), hi.alias("hi"), v.alias("v")))
+    return df.select(F.inline(F.array(*cells))).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+
+
+def _values_at(df: DataFrame, ranks: dict[str, list[int]], runs: DataFrame, limit: int) -> dict[str, dict[int, float]]:
+    """{column: {rank: value}}; ``runs`` (key, b, c, lo, hi) are the first counts of the columns, in the order of ``ranks``."""
+    spark, order = df.sparkSession, {c: i for i, c in enumerate(ranks)}
+    found: dict[str, dict[int, float]] = {c: {} for c in ranks}
+    wanted = [(order[c], 0, r, r) for c, rs in ranks.items() for r in rs]
+    runs = runs.withColumn("at", F.lit(0))
+    while wanted:
+        asked = spark.createDataFrame(wanted, "key int, at int, rank long, rel long")
+        inside: dict[str, dict[tuple, list]] = {}
+        for r in _place(runs, asked, ["key", "at"], "b").collect():  # columns x ranks
+            c = list(ranks)[r["key"]]
+            if r["lo"] == r["hi"]:
+                found[c][r["rank"]] = r["lo"]
+            else:
+                inside.setdefault(c, {}).setdefault((r["lo"], r["hi"]), []).append(r)
+        open_ = {c: sorted(of) for c, of in inside.items()}
+        wanted = [(order[c], at, r["rank"], r["rel"]) for c, of in open_.items() for at, key in enumerate(of) for r in inside[c][key]]
+        if wanted:
+            rows, v = _open_rows(df, open_, order), F.col("v")
+            if max(r["c"] for of in inside.values() for rs in of.values() for r in rs) <= limit:
+                runs = rows.groupBy("key", "at", v.alias("b")).agg(F.count("*").alias("c")).withColumns({"lo": F.col("b"), "hi": F.col("b")})
+            else:
+                runs = rows.groupBy("key", "at", _slice(v, F.col("lo"), F.col("hi")).alias("b")).agg(
+                    F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return found
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "exact", limit: int = LIMIT) -> dict:
+    """{column: [q(p) for p in probs]}, NULL and NaN left out, None without values.
+
+    The keys are columns here, so what is asked (columns x probs) fits the driver, and open intervals go
+    into the scans as literals: one count of all columns by sign, exponent and slice, then one of the
+    values in open intervals (more only while an interval holds more than ``limit`` rows)."""
+    cols = list(dict.fromkeys(cols))
     out: dict[str, list] = {c: [None] * len(probs) for c in cols}
-    for r in res:
-        out[r["key"]][r["pi"]] = r["q"]
+    if not cols:
+        return out
+    if method == "approx":
+        for r in approx_quantiles(long_format(df, cols), probs).collect():
+            out[r["key"]][r["pi"]] = r["q"]
+        return out
+    df = spread(df.select(*[q(c) for c in cols]))
+    cells = [F.struct(F.lit(i).alias("key"), _column_value(df, c).alias("v")) for i, c in enumerate(cols)]
+    rows = df.select(F.inline(F.array(*cells))).where("v IS NOT NULL")
+    runs = cut_lineage(rows.groupBy("key", _fine(F.col("v")).alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    n = {cols[r["key"]]: r["n"] for r in runs.groupBy("key").agg(F.sum("c").alias("n")).collect()}
+    at = {c: [(math.floor((n[c] - 1) * p), (n[c] - 1) * p) for p in probs] for c in cols if c in n}
+    ranks = {c: sorted({x for r, _ in at.get(c, []) for x in (r, min(r + 1, n[c] - 1))}) for c in cols}
+    found = _values_at(df, ranks, runs, limit)
+    for c, places in at.items():
+        for k, (r, h) in enumerate(places):
+            out[c][k] = _lerp_value(found[c][r], found[c][min(r + 1, n[c] - 1)], h - r)
     return out
+
+
+def _lerp_value(v0: float, v1: float, frac: float) -> float:
+    """``_lerp`` of two numbers."""
+    if frac == 0 or v0 == v1:
+        return v0
+    diff = v1 - v0
+    return v1 - diff * (1 - frac) if frac >= 0.5 else v0 + diff * frac

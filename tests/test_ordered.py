@@ -90,3 +90,62 @@ def test_page_moves_only_its_rows(spark):
         want = df.toPandas().sort_values(["o_orderdate", "o_orderkey"]).o_orderkey[39 * 13:40 * 13]
         assert list(p.o_orderkey) == list(want) and list(p.row_number) == list(range(39 * 13 + 1, 40 * 13 + 1))
     assert O.page(df, 10**6, 10, ["o_orderkey"]).count() == 0
+
+
+def test_directory_of_many_levels(spark, monkeypatch):
+    """Nodes stay small, every cut is in one of them, and the buckets are ranges of the order."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(3000).select(((F.col("id") * 7919) % 3000).alias("c0"), (F.col("id") % 3).alias("c1"))
+    for fan, want in ((256, 3000), (4, 700), (256, 256), (256, 257)):
+        monkeypatch.setattr(O, "FAN", fan)
+        monkeypatch.setattr(O, "_BITS", fan.bit_length() - 1)
+        nodes = O._directory(df, ["c0"], 3000, want, 3)
+        assert nodes.agg(F.max(F.size("cuts")), F.sum(F.size("cuts"))).first()[:] == (min(fan, want) - 1, want - 1)
+        d, nb = O.with_buckets(df, ["c0"], rows_per_bucket=3000 / want)
+        assert nb == want
+        got = sorted(d.collect())
+        assert [r["_bk"] for r in got] == sorted(r["_bk"] for r in got) and len({r["_bk"] for r in got}) > want * 0.6
+        rn = O.global_row_number(df, ["c0"], rows_per_bucket=3000 / want).collect()
+        assert all(r.row_number == r.c0 + 1 for r in rn)
+
+
+def test_names_of_helpers_are_free(spark):
+    """Columns with every helper name pass through ordered steps, splits and encoders unchanged."""
+    from quarry.operators import charts, encode, mlprep, values
+    from quarry.operators.distribution import quantile_transform
+
+    names = ["id", "_bk", "_h", "_first", "first", "digest", "undated", "_undated", "_value", "_code", "_local", "_off", "_c", "_b0", "_l0", "_cuts",
+             "value", "code", "k0", "c0", "c3", "at0", "share0", "_qt_in0", "v", "min", "bin", "y", "count", "q1", "_number", "split", "tie", "pos", "g0"]
+    rows = [(i, *[(i * (k + 3)) % 11 if (i + k) % 5 else None for k in range(len(names) - 1)]) for i in range(60)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` long" for n in names))
+    whole = sorted(map(tuple, rows))
+
+    def same(out, *changed):
+        keep = [n for n in names if n not in changed]
+        assert [n for n in out.columns if n not in changed][: len(keep)] == keep
+        idx = [names.index(n) for n in keep]
+        assert sorted(tuple(r) for r in out.select(*keep).collect()) == sorted(tuple(r[i] for i in idx) for r in whole)
+
+    for rpb in (10**6, 7):
+        same(mlprep.split_random(df, "id", rows_per_bucket=rpb), "split")
+        same(mlprep.split_time(df, "_first", tiebreak=["id"], rows_per_bucket=rpb), "split")
+        same(O.forward_fill(df, ["_bk"], ["id"], rows_per_bucket=rpb), "_bk")
+        same(O.backward_fill(df, ["_cuts"], ["id"], ["_value"], rows_per_bucket=rpb), "_cuts")
+        same(O.page(df, 1, 60, ["id"], rows_per_bucket=rpb))
+    same(encode.label_encoder(df, ["_value"]), "_value")
+    same(encode.label_encoder(df, ["c0", "value"], max_bytes=0), "c0", "value")
+    same(encode.ordinal_encoder(df, ["code"], order=["3"]), "code")
+    same(mlprep.encode_target(df, df, "value", "code")[0], "code")
+    same(quantile_transform(df, ["_qt_in0", "share0"], "uniform"), "_qt_in0", "share0")
+    hot = encode.onehot_encoder(spark.createDataFrame([("b_c", "c", 1), ("x", "y", 2)], "a string, a_b string, a_x long"), ["a", "a_b"], drop_first=False)
+    assert len(set(hot.columns)) == len(hot.columns) == 5
+    for group in ("v", "min", "q1", "g0"):
+        box = charts.chart_box(df, "id", group)
+        assert len(set(box.columns)) == len(box.columns) and box.count() == len({r[names.index(group)] for r in rows})
+    hist = charts.chart_histogram(df, "id", "bin", bins=3)
+    assert hist.columns[1] == "_bin" and hist.count() == 3 * len({r[names.index("bin")] for r in rows})
+    bar = charts.chart_bar(df, "y", "id")
+    assert bar.columns == ["_y", "y"] and sum(r.y for r in bar.collect()) == sum(range(60))
+    assert charts.chart_pie(df, "value").columns == ["_value", "value"]
+    assert values.histogram(df, ["v"], bins=2).count() == 2

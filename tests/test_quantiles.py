@@ -76,3 +76,34 @@ def F_lit(x):
     from pyspark.sql import functions as F
 
     return F.lit(x)
+
+
+@pytest.mark.parametrize("limit", [1, 50, 10**6])
+def test_columns_with_nan_infinity_and_hard_values(spark, limit):
+    """Whole columns: every rank of awkward values, several rounds of slices, NaN and NULL left out."""
+    rng = np.random.default_rng(limit)
+    inf = float("inf")
+    cols = {
+        "nan": [float("nan"), 3.0, 1.0, None], "inf": [1.0, 2.0, inf], "both": [-inf, -inf, 0.0, 5.0, inf],
+        "powers": [s * 2.0**e for e in range(-40, 41) for s in (1, -1)] + [s * (2.0**e) * (1 - 2**-53) for e in range(-5, 9) for s in (1, -1)],
+        "tiny": [5e-324, 1e-310, -5e-324, 1e308, -1e308, 0.0, -0.0], "near": (1 + rng.integers(0, 400, 500) * 2.0**-52).tolist(),
+        "mixed": (rng.normal(size=700) * 10.0 ** rng.integers(-3, 4, 700)).tolist(), "none": [None],
+    }
+    longest = max(map(len, cols.values()))
+    rows = list(zip(*[v + [None] * (longest - len(v)) for v in cols.values()]))
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in cols)).repartition(3)
+    probs = [0.0, 0.1, 0.25, 1 / 3, 0.5, 0.77, 1.0]
+    got = Q.column_quantiles(df, list(cols), probs, limit=limit)
+    for c, values in cols.items():
+        v = sorted(x for x in values if x is not None and x == x)
+        for k, p in enumerate(probs):
+            if not v:
+                assert got[c][k] is None
+                continue
+            h = (len(v) - 1) * p
+            lo, hi = v[int(h)], v[min(int(h) + 1, len(v) - 1)]
+            want = lo if h == int(h) or lo == hi else hi - (hi - lo) * (1 - (h - int(h))) if h - int(h) >= 0.5 else lo + (hi - lo) * (h - int(h))
+            assert got[c][k] == want or (want != want and got[c][k] != got[c][k]), (c, p)
+    long = Q.long_format(df, ["nan", "inf"])
+    by_key = {(r["key"], r["pi"]): r["q"] for r in Q.exact_quantiles(long, [0.0, 0.5]).collect()}
+    assert by_key == {("nan", 0): 1.0, ("nan", 1): 2.0, ("inf", 0): 1.0, ("inf", 1): 2.0}
