@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import free_names, numeric_columns, q
 from ..functions.exprs import double_array
-from ..plans.fitted import Fitted, step
+from ..plans.fitted import Fitted, Request, planned, step
 from ..plans.guards import fused_agg
 from ..plans.quantiles import column_quantiles, place_in
 
@@ -29,43 +29,31 @@ def _d(c):
 
 # ---------------------------------------------------------------- simple shapes
 
-@step("log_transform")
-def fit_log_transform(df: DataFrame, cols, **_):
-    """Any x <= 0: log1p(x - min + 1), else log1p(x)."""
+def _shifted(name: str, df: DataFrame, cols, transformed) -> Request:
+    """A step that maps each numeric column by ``transformed(x, its minimum)``."""
     num = numeric_columns(df, cols)
-    mins = {}
-    if num:
-        r = df.agg(*[F.min(_d(c)).alias(f"m{i}") for i, c in enumerate(num)]).first()
-        mins = {c: r[f"m{i}"] for i, c in enumerate(num)}
 
-    def apply(d):
-        out = {}
-        for c, m in mins.items():
-            out[c] = F.log1p(_d(c) - F.lit(m) + 1) if m is not None and m <= 0 else F.log1p(_d(c))
-        return d.withColumns(out) if out else d
+    def build(values, _):
+        mins = {c: values[f"m{i}"] for i, c in enumerate(num)}
+        return Fitted(name, num, lambda d: d.withColumns({c: transformed(_d(c), m) for c, m in mins.items()}) if mins else d,
+                      [c for c in cols if c not in num], values=mins)
 
-    return Fitted("log_transform", num, apply, [c for c in cols if c not in num], values=mins)
+    return Request(num, build, {f"m{i}": F.min(_d(c)) for i, c in enumerate(num)})
 
 
-@step("sqrt_transform")
-def fit_sqrt_transform(df: DataFrame, cols, **_):
-    """Any x < 0: sqrt(x - min), else sqrt(x)."""
-    num = numeric_columns(df, cols)
-    mins = {}
-    if num:
-        r = df.agg(*[F.min(_d(c)).alias(f"m{i}") for i, c in enumerate(num)]).first()
-        mins = {c: r[f"m{i}"] for i, c in enumerate(num)}
+@planned("log_transform")
+def fit_log_transform(df: DataFrame, cols, **_):
+    """Any x <= 0: log1p(x - min + 1), else log1p(x)."""
+    return _shifted("log_transform", df, cols, lambda x, m: F.log1p(x - F.lit(m) + 1) if m is not None and m <= 0 else F.log1p(x))
 
-    def apply(d):
-        out = {}
-        for c, m in mins.items():
-            out[c] = F.sqrt(_d(c) - F.lit(m)) if m is not None and m < 0 else F.sqrt(_d(c))
-        return d.withColumns(out) if out else d
 
-    return Fitted("sqrt_transform", num, apply, [c for c in cols if c not in num], values=mins)
+@planned("sqrt_transform")
+def fit_sqrt_transform(df: DataFrame, cols, **_):
+    """Any x < 0: sqrt(x - min), else sqrt(x)."""
+    return _shifted("sqrt_transform", df, cols, lambda x, m: F.sqrt(x - F.lit(m)) if m is not None and m < 0 else F.sqrt(x))
 
 
-@step("reciprocal_transform")
+@planned("reciprocal_transform")
 def fit_reciprocal_transform(df: DataFrame, cols, **_):
     """1 / (x + 1e-6) (stateless; x = -1e-6 gives NULL instead of infinity under ANSI)."""
     num = numeric_columns(df, cols)
@@ -73,7 +61,7 @@ def fit_reciprocal_transform(df: DataFrame, cols, **_):
     def apply(d):
         return d.withColumns({c: F.try_divide(F.lit(1.0), _d(c) + F.lit(1e-6)) for c in num}) if num else d
 
-    return Fitted("reciprocal_transform", num, apply, [c for c in cols if c not in num])
+    return Request(num, lambda *_: Fitted("reciprocal_transform", num, apply, [c for c in cols if c not in num]))
 
 
 # ---------------------------------------------------------------- power transforms

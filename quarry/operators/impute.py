@@ -8,8 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import column_class, is_float, numeric_columns, q
 from ..plans import ordered
-from ..plans.fitted import Fitted, step
-from ..plans.quantiles import column_quantiles
+from ..plans.fitted import Fitted, Request, planned, step
 
 
 def _split(df: DataFrame, cols):
@@ -28,22 +27,26 @@ def _fill_literals(df: DataFrame, fills: dict) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-@step("fillna_mean")
+@planned("fillna_mean")
 def fit_fillna_mean(df: DataFrame, cols, **_):
     num, skipped = _split(df, cols)
-    means = {}
-    if num:
-        row = df.agg(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(num)]).first()
-        means = {c: row[f"m{i}"] for i, c in enumerate(num)}
-    return Fitted("fillna_mean", num, lambda d: _fill_literals(d, means), skipped, values=means)
 
+    def build(values, _):
+        means = {c: values[f"m{i}"] for i, c in enumerate(num)}
+        return Fitted("fillna_mean", num, lambda d: _fill_literals(d, means), skipped, values=means)
 
-@step("fillna_median")
+    return Request(num, build, {f"m{i}": F.avg(q(c)) for i, c in enumerate(num)})
+
+
+@planned("fillna_median")
 def fit_fillna_median(df: DataFrame, cols, quantile_method: str = "exact", **_):
     num, skipped = _split(df, cols)
-    qs = column_quantiles(df, num, [0.5], method=quantile_method)
-    medians = {c: qs[c][0] for c in num}
-    return Fitted("fillna_median", num, lambda d: _fill_literals(d, medians), skipped, values=medians)
+
+    def build(_, quantiles):
+        medians = {c: quantiles[c][0] for c in num}
+        return Fitted("fillna_median", num, lambda d: _fill_literals(d, medians), skipped, values=medians)
+
+    return Request(num, build, quantiles={c: [0.5] for c in num}, method=quantile_method)
 
 
 def _mode_values(df: DataFrame, cols) -> dict:

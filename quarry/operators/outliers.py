@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, q
 from ..functions.exprs import clip
-from ..plans.fitted import Fitted, step
+from ..plans.fitted import Fitted, Request, planned, step
+from ..plans.guards import cut_lineage, spread
 from ..plans.quantiles import column_quantiles
 
 
+def _key_columns(df: DataFrame, num: list[str]) -> DataFrame:
+    """The columns that the fits read; written once where there are several fits over ever fewer rows."""
+    keys = df.select(*[q(c) for c in num])
+    return cut_lineage(spread(keys)) if len(num) > 1 else keys
+
+
 def _keep(bounds: dict):
     """Filter by fitted (low, high, closed) bounds per column; NULL bounds keep nothing, NULL rows drop."""
 
@@ -29,8 +36,10 @@ def fit_remove_outliers_iqr(df: DataFrame, cols, multiplier: float = 1.5, quanti
     """Keep Q1 - m IQR <= x <= Q3 + m IQR; each column's quartiles are fitted on the rows that the
     previous columns keep (k columns = k fits)."""
     bounds: dict = {}
-    for c in numeric_columns(df, cols):
-        q1, q3 = column_quantiles(_keep(bounds)(df), [c], [0.25, 0.75], method=quantile_method)[c]
+    num = numeric_columns(df, cols)
+    keys = _key_columns(df, num)
+    for c in num:
+        q1, q3 = column_quantiles(_keep(bounds)(keys), [c], [0.25, 0.75], method=quantile_method)[c]
         spread = None if q1 is None else float(multiplier) * (q3 - q1)
         bounds[c] = (None, None, True) if q1 is None else (q1 - spread, q3 + spread, True)
     return Fitted("remove_outliers_iqr", list(bounds), _keep(bounds), [c for c in cols if c not in bounds], values=bounds)
@@ -40,8 +49,10 @@ def fit_remove_outliers_iqr(df: DataFrame, cols, multiplier: float = 1.5, quanti
 def fit_remove_outliers_zscore(df: DataFrame, cols, threshold: float = 3.0, **_):
     """Keep |x - mean| / std_pop < threshold, fitted like the above; zero spread keeps nothing."""
     bounds: dict = {}
-    for c in numeric_columns(df, cols):
-        r = _keep(bounds)(df).agg(F.avg(q(c)).alias("m"), F.stddev_pop(q(c)).alias("s")).first()
+    num = numeric_columns(df, cols)
+    keys = _key_columns(df, num)
+    for c in num:
+        r = _keep(bounds)(keys).agg(F.avg(q(c)).alias("m"), F.stddev_pop(q(c)).alias("s")).first()
         far = None if r["m"] is None or not r["s"] else float(threshold) * r["s"]
         bounds[c] = (None, None, False) if far is None else (r["m"] - far, r["m"] + far, False)
     return Fitted("remove_outliers_zscore", list(bounds), _keep(bounds), [c for c in cols if c not in bounds], values=bounds)
@@ -53,12 +64,15 @@ def _clip_apply(bounds: dict):
     return apply
 
 
-@step("clip_outliers")
+@planned("clip_outliers")
 def fit_clip_outliers(df: DataFrame, cols, lower: float = 0.01, upper: float = 0.99, quantile_method="exact", **_):
     num = numeric_columns(df, cols)
-    qs = column_quantiles(df, num, [float(lower), float(upper)], method=quantile_method)
-    bounds = {c: tuple(qs[c]) for c in num}
-    return Fitted("clip_outliers", num, _clip_apply(bounds), [c for c in cols if c not in num], values=bounds)
+
+    def build(_, quantiles):
+        bounds = {c: tuple(quantiles[c]) for c in num}
+        return Fitted("clip_outliers", num, _clip_apply(bounds), [c for c in cols if c not in num], values=bounds)
+
+    return Request(num, build, quantiles={c: [float(lower), float(upper)] for c in num}, method=quantile_method)
 
 
 @step("winsorize_outliers")

@@ -222,26 +222,30 @@ def _values_at(df: DataFrame, ranks: dict[str, list[int]], runs: DataFrame, limi
     return found
 
 
-def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "exact", limit: int = LIMIT) -> dict:
-    """{column: [q(p) for p in probs]}, NULL and NaN left out, None without values.
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] | dict[str, Sequence[float]], method: str = "exact", limit: int = LIMIT) -> dict:
+    """{column: [q(p) for p in probs]}, NULL and NaN left out, None without values; ``probs`` may differ by column.
 
     The keys are columns here, so what is asked (columns x probs) fits the driver, and open intervals go
     into the scans as literals: one count of all columns by sign, exponent and slice, then one of the
     values in open intervals (more only while an interval holds more than ``limit`` rows)."""
     cols = list(dict.fromkeys(cols))
-    out: dict[str, list] = {c: [None] * len(probs) for c in cols}
+    of = probs if isinstance(probs, dict) else dict.fromkeys(cols, probs)
+    out: dict[str, list] = {c: [None] * len(of[c]) for c in cols}
     if not cols:
         return out
     if method == "approx":
-        for r in approx_quantiles(long_format(df, cols), probs).collect():
-            out[r["key"]][r["pi"]] = r["q"]
+        every = sorted({p for c in cols for p in of[c]})
+        for r in approx_quantiles(long_format(df, cols), every).collect():
+            for k, p in enumerate(of[r["key"]]):
+                if p == every[r["pi"]]:
+                    out[r["key"]][k] = r["q"]
         return out
     df = spread(df.select(*[q(c) for c in cols]))
     cells = [F.struct(F.lit(i).alias("key"), _column_value(df, c).alias("v")) for i, c in enumerate(cols)]
     rows = df.select(F.inline(F.array(*cells))).where("v IS NOT NULL")
     runs = cut_lineage(rows.groupBy("key", _fine(F.col("v")).alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")))
     n = {cols[r["key"]]: r["n"] for r in runs.groupBy("key").agg(F.sum("c").alias("n")).collect()}
-    at = {c: [(math.floor((n[c] - 1) * p), (n[c] - 1) * p) for p in probs] for c in cols if c in n}
+    at = {c: [(math.floor((n[c] - 1) * p), (n[c] - 1) * p) for p in of[c]] for c in cols if c in n}
     ranks = {c: sorted({x for r, _ in at.get(c, []) for x in (r, min(r + 1, n[c] - 1))}) for c in cols}
     found = _values_at(df, ranks, runs, limit)
     for c, places in at.items():
