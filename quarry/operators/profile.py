@@ -27,6 +27,7 @@ from ..functions.columns import (
 )
 from ..functions.exprs import pct, rnd, safe_div
 from ..plans.crossproducts import cross_products, pearson
+from ..plans.fingerprints import fingerprint, parted, worth_it
 from ..plans.guards import fused_agg
 from ..plans.quantiles import column_quantiles, long_format
 from .values import value_counts
@@ -35,18 +36,15 @@ PROFILE_PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 PROBE_NAMES = ("p1", "p5", "p25", "p50", "p75", "p95", "p99")
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
+def duplicate_rows(df: DataFrame, mark=fingerprint) -> DataFrame:
     """Rows beyond the first of each identical group (NULLs compare equal), and %.
 
-    ``groupBy(all columns)`` with partial aggregation: a hot duplicate group is
-    combined map-side, never gathered in one task.
-    """
-    cols = [q(c) for c in df.columns]
-    groups = df.groupBy(*cols).count()
-    return groups.agg(
-        F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("duplicate_rows"),
-        F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("total_rows"),
-    ).select(
+    Grouped with partial aggregation, so a hot duplicate group is combined map-side.  Of wide rows only
+    those whose fingerprint repeats are grouped in full (``plans.fingerprints``)."""
+    several = parted(df, df.columns, mark)[1] if worth_it(df) else df
+    groups = several.groupBy(*[q(c) for c in df.columns]).count()
+    found = groups.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
+    return found.withColumn("total_rows", F.lit(df.count())).select(
         "duplicate_rows",
         F.coalesce(pct(F.col("duplicate_rows"), F.col("total_rows")), F.lit(0.0)).alias("duplicate_rows_pct"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import NUMERIC, classes, is_float, q
+from ..plans.fingerprints import fingerprint, parted, worth_it
 from ..plans.fitted import Fitted, step
 
 
@@ -45,26 +46,42 @@ def dropna_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame
     return df.dropna(how="any", subset=list(subset) if subset else None)
 
 
-def drop_duplicates_all(df: DataFrame) -> DataFrame:
-    """Drop exact duplicate rows (NULLs compare equal); partial aggregation per group."""
-    return df.dropDuplicates()
+def drop_duplicates_all(df: DataFrame, mark=fingerprint) -> DataFrame:
+    """Drop exact duplicate rows (NULLs compare equal).
 
+    Wide rows are found by counted fingerprints; only those that repeat are shuffled (``plans.fingerprints``)."""
+    if not worth_it(df):
+        return df.dropDuplicates()
+    once, several = parted(df, df.columns, mark)
+    return once.unionByName(several.dropDuplicates())
 
-def drop_duplicates_subset(df: DataFrame, cols: Sequence[str], order_by: Sequence[str] | None = None) -> DataFrame:
+
+def drop_duplicates_subset(df: DataFrame, cols: Sequence[str], order_by: Sequence[str] | None = None, mark=fingerprint) -> DataFrame:
     """Keep the first row (by ``order_by``) of each ``cols`` key; no-op without columns.
 
-    ``min_by(struct(row), struct(order))`` is a partial aggregate: a key holding a
-    third of all rows is reduced map-side, not windowed in one task."""
+    Only rows whose key repeats are shuffled (by counted fingerprints, where rows are wide).  Of those
+    ``min_by(struct(row), struct(order))`` is a partial aggregate: a key holding a third of all rows is
+    reduced map-side, not windowed in one task."""
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
     if not order_by:
-        return df.dropDuplicates(cols)
+        if not worth_it(df):
+            return df.dropDuplicates(cols)
+        once, several = parted(df, cols, mark)
+        return once.unionByName(several.dropDuplicates(cols))
     order_by = [order_by] if isinstance(order_by, str) else list(order_by)
-    row = F.struct(*[q(c) for c in df.columns])
-    key = F.struct(*[q(c) for c in order_by])
-    first = df.groupBy(*[q(c).alias(f"k{i}") for i, c in enumerate(cols)]).agg(F.min_by(row, key).alias("first"))
-    return first.select(*[F.col("first")[c].alias(c) for c in df.columns])
+
+    def first_of_each(rows: DataFrame) -> DataFrame:
+        row = F.struct(*[q(c) for c in df.columns])
+        key = F.struct(*[q(c) for c in order_by])
+        first = rows.groupBy(*[q(c).alias(f"k{i}") for i, c in enumerate(cols)]).agg(F.min_by(row, key).alias("first"))
+        return first.select(*[F.col("first")[c].alias(c) for c in df.columns])
+
+    if not worth_it(df):
+        return first_of_each(df)
+    once, several = parted(df, cols, mark)
+    return once.unionByName(first_of_each(several))
 
 
 @step("dropna_rows")
@@ -74,7 +91,7 @@ def fit_dropna_rows(df, cols, subset=None, **_):
 
 @step("drop_duplicates_all")
 def fit_drop_duplicates_all(df, cols, **_):
-    return Fitted("drop_duplicates_all", list(df.columns), drop_duplicates_all, stateless=False)
+    return Fitted("drop_duplicates_all", list(df.columns), lambda d: drop_duplicates_all(d), stateless=False)
 
 
 @step("drop_duplicates_subset")
