@@ -17,7 +17,7 @@ ssn       ddd-dd-dddd in the issued ranges                      within the issue
 phone     +country and 7 to 14 digits, or (ddd) ddd-dddd        the digits after the country
 ip        dotted quad, octets to 255                            the 32 bits
 date      yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy of the calendar    days of 1900 to 2099
-email     local@domain.tld                                      letters and digits before the tld
+email     local@domain.tld, letters of any script, any length   letters and digits before the tld
 key       AKIA and 16 capitals and digits, ghp_ and 36          what follows the prefix
 secret    password, token, secret or api key = value            the value; hexadecimal stays so
 ========  ====================================================  ==============================
@@ -38,10 +38,12 @@ result; repeated rows get equal ones.  Columns other than the text are not looke
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import math
 import re
 import string
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,6 +58,26 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 RESULT = "struct<text string, spans array<struct<start int, end int, kind string>>>"
 
 
+#: Characters permuted as one.
+BLOCK = 64
+
+
+def _text(x: int) -> str:
+    return str(x) if x.bit_length() <= 4096 else hex(x)
+
+
+@functools.lru_cache(maxsize=4096)
+def _alphabet(c: str) -> str:
+    """The characters that ``c`` may become: ASCII digits, small or capital letters, or the letters of its kind in its
+    block of 256 code points; empty for all others."""
+    if c.isascii():
+        return next((k for k in (DIGITS, LOWER, UPPER) if c in k), "")
+    kind, block = unicodedata.category(c), ord(c) & ~0xFF
+    if kind not in ("Ll", "Lu", "Lo"):
+        return ""
+    return "".join(x for x in map(chr, range(block, block + 256)) if not x.isascii() and unicodedata.category(x) == kind)
+
+
 class Pseudonyms:
     """Keyed permutations of numbers and of strings by character class."""
 
@@ -64,18 +86,23 @@ class Pseudonyms:
             raise ValueError("a secret key is needed")
         self.key, self.undo = hashlib.sha256(key).digest(), undo
 
-    def _round(self, what: str, i: int, half: int) -> int:
-        said = f"{what}|{i}|{half}".encode()
-        return int.from_bytes(hashlib.blake2b(said, key=self.key, digest_size=24).digest(), "big")
+    def _round(self, what: str, i: int, half: int, limit: int) -> int:
+        """A keyed number to be taken modulo ``limit``: at least 64 bits longer, so that all of a long half is mixed."""
+        said = f"{what}|{i}|{_text(half)}".encode()
+        if limit.bit_length() <= 128:
+            return int.from_bytes(hashlib.blake2b(said, key=self.key, digest_size=24).digest(), "big")
+        inner = hashlib.blake2b(said, key=self.key).digest()
+        parts = range(-(-(limit.bit_length() + 64) // 512))
+        return int.from_bytes(b"".join(hashlib.blake2b(inner + k.to_bytes(8, "big"), key=self.key).digest() for k in parts), "big")
 
     def _once(self, x: int, a: int, b: int, what: str) -> int:
         left, right = divmod(x, b)
         for i in reversed(range(ROUNDS)) if self.undo else range(ROUNDS):
             sign = -1 if self.undo else 1
             if i % 2:
-                right = (right + sign * self._round(what, i, left)) % b
+                right = (right + sign * self._round(what, i, left, b)) % b
             else:
-                left = (left + sign * self._round(what, i, right)) % a
+                left = (left + sign * self._round(what, i, right, a)) % a
         return left * b + right
 
     def number(self, x: int, n: int, what: str) -> int:
@@ -84,19 +111,30 @@ class Pseudonyms:
             return x
         a = math.isqrt(n - 1) + 1
         b = -(-n // a)
-        x = self._once(x, a, b, f"{what}|{n}")
+        what = f"{what}|{_text(n)}"
+        x = self._once(x, a, b, what)
         while x >= n:
-            x = self._once(x, a, b, f"{what}|{n}")
+            x = self._once(x, a, b, what)
         return x
 
     def chars(self, s: str, what: str) -> str:
-        """ASCII digits, small and capital letters are permuted within their class; others stay."""
-        kinds = [next((k for k in (DIGITS, LOWER, UPPER) if c in k), "") for c in s]
+        """Digits, small and capital letters are permuted within their class (``_alphabet``); others stay.
+
+        Longer strings are permuted in blocks of ``BLOCK``, each keyed by the pseudonyms before it too."""
+        if len(s) > BLOCK:
+            out, said = [], hashlib.blake2b(what.encode(), key=self.key, digest_size=16)
+            for at in range(0, len(s), BLOCK):
+                old = s[at : at + BLOCK]
+                new = self.chars(old, f"{what}|{said.hexdigest()}")
+                said.update((old if self.undo else new).encode("utf-8", "surrogatepass"))
+                out.append(new)
+            return "".join(out)
+        kinds = [_alphabet(c) for c in s]
         x, n = 0, 1
         for c, k in zip(s, kinds):
             if k:
                 x, n = x * len(k) + k.index(c), n * len(k)
-        shape = "".join({DIGITS: "d", LOWER: "a", UPPER: "A", "": "."}[k] for k in kinds)
+        shape = "".join({DIGITS: "d", LOWER: "a", UPPER: "A", "": "."}.get(k) or f"<{k[0]}>" for k in kinds)
         x, out = self.number(x, n, f"{what}|{shape}"), []
         for c, k in zip(reversed(s), reversed(kinds)):
             if k:
@@ -321,19 +359,22 @@ KINDS = [
     ("key", re.compile(r"(?<!\w)(?:AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36})(?!\w)", re.A).finditer, _key),
     ("secret", re.compile(r"(?<![^\W_])(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>,;]{6,})", re.A | re.I).finditer, _secret),
 ]
-EMAIL_HEAD, EMAIL_TAIL = re.compile(r"[A-Za-z0-9._%+-]+\Z", re.A), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", re.A)
+EMAIL_TAIL = re.compile(r"(?:[^\W_]|-)+(?:\.(?:[^\W_]|-)+)*\.[^\W\d_]{2,}")
 #: What a value of some kind must hold: texts without it aren't searched for that kind.
 HINT = re.compile(r"\d[\d .()/-]{4}|AKIA|ghp_|[A-Z]{2}\d\d|[dntyDNTY][\"']?\s{0,3}[=:]", re.A)
-#: Characters before an @ that an address may have.
-LOCAL = 64
 
 
 def _emails(text: str) -> Iterator[_Whole]:
+    """Addresses in letters of any script.  What stands before an @ is read back to the first character that no address has,
+    however far; such stretches hold no @, so all of them together are read once."""
     at = text.find("@")
     while at >= 0:
-        tail = EMAIL_TAIL.match(text, at + 1)
-        if tail and (head := EMAIL_HEAD.search(text[max(0, at - LOCAL) : at])):
-            yield _Whole(text, at - len(head.group()), tail.end())
+        if tail := EMAIL_TAIL.match(text, at + 1):
+            start = at
+            while start and ((c := text[start - 1]).isalnum() or c in "._%+-" or unicodedata.category(c) == "Mn"):
+                start -= 1
+            if start < at:
+                yield _Whole(text, start, tail.end())
         at = text.find("@", at + 1)
 
 

@@ -3,8 +3,9 @@
 A rule is a host and a path prefix; it fits its host and all subdomains, the longest rule wins.
 URLs that no rule fits get the verdict of a multinomial naive Bayes classifier over words:
 
-1. Words of all pages' texts are counted.  Only substrings of host labels can matter, so the
-   counts are joined to the substrings of the distinct labels; the dictionary has no size limit.
+1. Words (runs of letters of any script) of all pages' texts are counted.  Only substrings of host
+   labels can matter, so the counts are joined to the substrings of the distinct labels, frequent ones
+   apart; the dictionary has no size limit.
 2. Each distinct label is split by unigram Viterbi: a known word costs -log of its share, an
    unknown character more than any word, and what no word covers stays one piece.
 3. Tokens are the words of the host and the words and numbers of the path (a number counts as
@@ -27,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.splitjoin import Lookup, counted
 from .common import broadcast_if, col, written
 
 #: (verdict, rule): a rule is a host and what its paths begin with.
 Rule = tuple[str, str]
-#: Characters of a word of the dictionary at most.
-LONGEST = 24
+#: A label of a host name has at most 63 characters (fixed by the format), so no longer word can occur in one.
+LONGEST = 63
 BROADCAST_BYTES = 8 << 20
 
 
@@ -60,7 +62,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 def visible_words(html: Column) -> Column:
     text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}[\p{L}\p{M}]*"), F.lit(0))  # whole words of any script
 
 
 def segment(label: str, known: dict[tuple[int, int], int], total: int) -> list[str]:
@@ -93,7 +95,10 @@ def segmented(labels: DataFrame, words: DataFrame) -> DataFrame:
     sub = labels.withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.length("label"), F.lit(1)))))
     sub = sub.withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest(F.least(F.lit(LONGEST), F.length("label") - F.col("i") + 1), F.lit(1)))))
     sub = sub.select("label", "i", "k", F.col("label").substr(F.col("i"), F.col("k")).alias("word"))
-    found = sub.join(words, "word").groupBy("label").agg(F.collect_list(F.struct("i", "k", "n")).alias("found"))
+    # every label has an "e": a frequent substring must not meet in one task
+    known = Lookup(words.select(F.col("word").alias("value"), "n"), counted(sub, F.col("word")), BROADCAST_BYTES)
+    named = known.join(sub, F.col("word")).where("n IS NOT NULL").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(sub.columns)], "n")
+    found = named.groupBy("label").agg(F.collect_list(F.struct("i", "k", "n")).alias("found"))
     both = labels.join(found, "label", "left")
 
     @F.arrow_udf("array<string>")
@@ -137,8 +142,10 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     most = [(t["a"] or 0) + t["v"], (t["b"] or 0) + t["v"]]
     odds = counts.select("token", (F.log(F.col("a") + 1) - F.log(F.col("b") + 1) + math.log(max(most[1], 1)) - math.log(max(most[0], 1))).alias("o"))
     scored = tokens.join(broadcast_if(odds, t["bytes"] or 0, BROADCAST_BYTES), "token").groupBy("host", "path").agg(F.sum(F.col("o") * F.col("times")).alias("o"))
-    scored = scored.select(F.col("host").alias("_h"), F.col("path").alias("_p"), (F.col("o") + prior).alias("_odds"))
-    judged = base.join(scored, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
+    # rows without a URL, and those of a frequent one, stay where they are
+    at = F.concat("host", F.lit("/"), "path")
+    known = Lookup(scored.select(at.alias("value"), (F.col("o") + prior).alias("_odds")), urls.select(at.alias("value"), "n"), BROADCAST_BYTES)
+    judged = known.join(base, at).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(base.columns)], "_odds")
     odds_of = F.round(F.coalesce("_odds", F.lit(prior)), 6)
     return judged.select(
         F.col("_id").alias(id_col), "host", "path", "rule",

@@ -3,7 +3,9 @@
 An archive is a file of Zstandard frames.  The first is a skippable frame (magic 0x184D2A5D) that
 holds the dictionary of all the others; every other non-skippable frame is one WARC record.  The
 reader takes the dictionary from that frame, walks from frame to frame by the block headers,
-decodes one at a time, and checks version, header lines, lengths and payload digests.
+decodes one at a time, and checks version, header lines, lengths, and block and payload digests.
+It reads archives of other writers too: all record types, ids of any form, folded header lines,
+SHA-1 digests, responses without an HTTP length.
 
 Spark writes and reads the files itself, in any file system it knows: a record's frame is one row
 of the text writer, whose line separator is an empty skippable frame, so a lost task's archive is
@@ -20,7 +22,9 @@ table gives archives without records.  A damaged archive raises.  Other columns
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -28,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, col
+from ..plans.splitjoin import Lookup
+from .common import col, written
 
 MIN_REVISIT = 100
 #: Payload bytes of an archive, on average; an archive is read by one task.
@@ -40,7 +45,10 @@ DICT_MAGIC, SKIP_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 #: An empty skippable frame; its bytes are ASCII, so a text writer can put it between rows.
 EMPTY_FRAME = struct.pack("<II", SKIP_MAGIC, 0).decode("ascii")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-READ = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
+#: A header's name (fixed by the format).
+TOKEN = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
+READ = ("page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, "
+        "record_id string, refers_to_id string, date string, content_type string")
 
 
 class DamagedArchive(ValueError):
@@ -55,7 +63,9 @@ def _uri(page_id: int) -> str:
 
 
 def _id(uri: str | None) -> int | None:
-    return None if uri is None else int(uri.removeprefix("<urn:page:").removesuffix(">"))
+    """The page of one of our own record ids."""
+    own = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", uri or "")
+    return int(own[1]) if own else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -73,37 +83,77 @@ def record(page_id: int | None, url: str | None, payload: bytes, size: int, dige
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _headers(lines: list[bytes]) -> dict[str, str]:
-    out = {}
+def _headers(lines: list[bytes], strict: bool = True) -> dict[str, str]:
+    """Header lines by lower-case name; a line that begins with a space or tab continues the one before.
+
+    HTTP headers are as servers sent them: there (``strict`` false) lines that are none are passed over."""
+    whole: list[bytes] = []
     for line in lines:
+        if line[:1] in (b" ", b"\t") and whole:
+            whole[-1] += b" " + line.strip(b" \t")
+        else:
+            whole.append(line)
+    out: dict[str, str] = {}
+    for line in whole:
         name, colon, value = line.partition(b":")
-        if not colon or not name or name.strip() != name:
+        if colon and TOKEN.fullmatch(name):
+            try:
+                out.setdefault(name.decode().lower(), value.strip(b" \t").decode())
+                continue
+            except UnicodeDecodeError:
+                pass
+        if strict:
             raise DamagedArchive(f"not a header line: {line[:80]!r}")
-        out[name.decode().lower()] = value.strip(b" \t").decode()
     return out
 
 
+def _check_digest(said: str | None, data: bytes, what: str) -> None:
+    """Raise unless a sha256 or sha1 digest (hexadecimal or base 32) is that of ``data``; other kinds can't be checked."""
+    kind, _, value = (said or "").partition(":")
+    if kind.lower() not in ("sha256", "sha1"):
+        return
+    right = hashlib.new(kind.lower(), data)
+    if value.lower() != right.hexdigest() and value.upper().rstrip("=") != base64.b32encode(right.digest()).decode().rstrip("="):
+        raise DamagedArchive(f"{what} of {len(data)} bytes differs from its digest {said}")
+
+
 def parse(data: bytes) -> dict:
-    """A record's fields, after checking it."""
+    """A record's fields, after checking version, header lines, lengths, and digests where they are given.
+
+    ``page_id`` and ``refers_to`` are set for records of ``write_archives``; ids of any form are in
+    ``record_id`` and ``refers_to_id``.  The payload is an HTTP response's body, else the whole block;
+    a SHA-256 digest is given bare, others with their kind."""
     head, gap, rest = data.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
     if not gap or lines[0] not in (b"WARC/1.0", b"WARC/1.1"):
         raise DamagedArchive(f"not a WARC record: {data[:40]!r}")
     h = _headers(lines[1:])
     try:
-        kind, length, digest = h["warc-type"], int(h["content-length"]), h["warc-payload-digest"]
+        kind, length = h["warc-type"], int(h["content-length"])
     except (KeyError, ValueError) as e:
         raise DamagedArchive(f"missing or wrong header: {e}") from e
-    if rest[length:] != b"\r\n\r\n" or kind not in ("response", "revisit") or not digest.startswith("sha256:"):
+    if length < 0 or rest[length:] != b"\r\n\r\n":
         raise DamagedArchive(f"{kind} record: {len(rest)} bytes for a block of {length}")
-    http, gap, payload = rest[:length].partition(b"\r\n\r\n")
-    size = int(_headers(http.split(b"\r\n")[1:]).get("content-length", -1))
-    digest = digest[7:]
-    if kind == "response" and (size != len(payload) or hashlib.sha256(payload).hexdigest() != digest):
-        raise DamagedArchive(f"payload of {len(payload)} bytes differs from its headers ({size}, {digest})")
-    if kind == "revisit" and (payload or "warc-refers-to" not in h or size < 0):
-        raise DamagedArchive("a revisit must have no payload, and say what it refers to")
-    return {"page_id": _id(h.get("warc-record-id")), "url": h.get("warc-target-uri"), "record_type": kind, "refers_to": _id(h.get("warc-refers-to")), "payload_bytes": size, "payload_digest": digest, "payload": payload}
+    payload, size, said = rest[:length], None, h.get("warc-payload-digest")
+    _check_digest(h.get("warc-block-digest"), payload, "block")
+    if kind in ("response", "revisit") and h.get("content-type", "application/http").replace(" ", "").startswith("application/http"):
+        http, _, payload = payload.partition(b"\r\n\r\n")
+        http_headers = _headers(http.split(b"\r\n")[1:], strict=False)
+        told = http_headers.get("content-length", "")
+        size = int(told) if told.isascii() and told.isdigit() else None
+        whole = "warc-truncated" not in h and "transfer-encoding" not in http_headers
+        if kind == "response" and whole and size not in (None, len(payload)):
+            raise DamagedArchive(f"payload of {len(payload)} bytes differs from its headers ({size})")
+    if kind == "revisit":
+        if payload or not ("warc-refers-to" in h or "warc-refers-to-target-uri" in h or "warc-profile" in h):
+            raise DamagedArchive("a revisit must have no payload, and say what it refers to")
+    else:
+        size = len(payload)
+        _check_digest(said, payload, "payload")
+    return {
+        "page_id": _id(h.get("warc-record-id")), "url": h.get("warc-target-uri"), "record_type": kind, "refers_to": _id(h.get("warc-refers-to")), "payload_bytes": size,
+        "payload_digest": said[7:] if said and said.startswith("sha256:") else said, "record_id": h.get("warc-record-id"), "refers_to_id": h.get("warc-refers-to"),
+        "date": h.get("warc-date"), "content_type": h.get("content-type"), "payload": payload}
 
 
 # ---------------------------------------------------------------- frames
@@ -171,7 +221,8 @@ def trained_dictionary(payloads: DataFrame, rows: int) -> bytes:
 
     every = max(1, rows // SAMPLE)
     picked = payloads.where((F.octet_length("payload") > 0) & (F.pmod(F.xxhash64("digest", F.lit("dictionary")), F.lit(every)) == 0))
-    sample = [bytes(r[0]) for r in picked.select(F.substring("payload", 1, SAMPLE_BYTES)).limit(4 * SAMPLE).collect()]
+    # in the order of the digests, so that a job that runs again trains the same dictionary
+    sample = [bytes(r[0]) for r in picked.select(F.substring("payload", 1, SAMPLE_BYTES), "digest").orderBy("digest").limit(4 * SAMPLE).collect()]
     try:
         return zstandard.train_dictionary(DICT_BYTES, sample).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -184,10 +235,11 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         col(id_col).cast("long").alias("page_id"), col(url_col).cast("string").alias("url"),
         F.coalesce(col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
     base = base.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
-    first = base.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    first = first.where("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("_d"), "first")
-    known = first.count() * 100  # bytes of a row, with room
-    both = base.join(broadcast_if(first, known, BROADCAST_BYTES), F.col("digest") == F.col("_d"), "left")
+    groups = base.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    groups = written(groups.where("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("value"), "first", "n"), "warc-repeated")
+    # a million copies of one error page don't meet in a task
+    found = Lookup(groups.select("value", "first"), groups.select("value", "n"), BROADCAST_BYTES).join(base, F.col("digest"))
+    both = found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(base.columns)], "first")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return both.select("page_id", "url", "payload", "size", "digest", refers.alias("refers_to"))
 
@@ -219,12 +271,12 @@ def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The records of all archives under ``path``; ``payload`` adds the stored payloads (NULL for revisits)."""
+    """The records of all archives under ``path``, of all types; ``payload`` adds the stored payloads (NULL for revisits)."""
     schema = READ + (", payload binary" if payload else "")
-    names = [c.split()[0] for c in schema.split(", ")]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([(n, {"url": pa.string(), "record_type": pa.string(), "payload_digest": pa.string(), "payload": pa.binary()}.get(n, pa.int64())) for n in names])
+        types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        kinds = pa.schema([(n, types[t]) for n, t in (c.split() for c in schema.split(", "))])
         for batch in batches:
             for archive in batch.column(0):
                 found: list[dict] = []

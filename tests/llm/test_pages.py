@@ -8,6 +8,8 @@ import struct
 from collections import Counter
 
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
 from quarry.llm import html_main, url_filter, warc
 from quarry.llm.q_pages import URL_RULES
@@ -229,3 +231,85 @@ def test_classifier_learns_from_rules(spark):
     out = {r.page_id: r for r in url_filter.judge(data.pages(spark, rows), URL_RULES).collect()}
     assert out[40].rule is None and out[40].verdict == "allow" and out[40].log_odds > 0
     assert out[41].rule is None and out[41].verdict == "block" and out[41].log_odds < 0
+
+
+def foreign(kind, block, *lines, version="WARC/1.0"):
+    return "\r\n".join([version, f"WARC-Type: {kind}", *lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """A hand-built archive: all record types, uuids, SHA-1, folded lines, no HTTP length, no dictionary."""
+    import base64
+
+    body = "<p>Grüße</p>".encode()
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.0 200 OK\r\nServer: x\r\nno header line\r\nX-Folded: a\r\n b\r\n\r\n" + body
+    ids = [f"WARC-Record-ID: <urn:uuid:00000000-0000-0000-0000-00000000000{i}>" for i in range(8)]
+    made = [
+        foreign("warcinfo", b"software: x\r\n", ids[0], "Content-Type: application/warc-fields", "WARC-Date: 2001-01-01T00:00:00Z"),
+        foreign("request", b"GET / HTTP/1.0\r\n\r\n", ids[1], "Content-Type: application/http; msgtype=request", "WARC-Target-URI: http://a/"),
+        foreign("response", http, ids[2], "Content-Type: application/http;", "  msgtype=response", "WARC-Target-URI:", "\thttp://a/", f"WARC-Payload-Digest: {sha1}",
+                "WARC-Block-Digest: sha1:" + hashlib.sha1(http).hexdigest(), version="WARC/1.1"),
+        foreign("metadata", b"fetchTimeMs: 1", ids[3], "WARC-Payload-Digest: md5:unchecked"),
+        foreign("resource", b"", ids[4], "Content-Type: text/plain"),
+        foreign("revisit", b"HTTP/1.0 304 Not Modified\r\n\r\n", ids[5], "WARC-Refers-To-Target-URI: http://a/", "Content-Type: application/http"),
+        foreign("response", b"HTTP/1.0 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 9\r\n\r\n3\r\nabc\r\n0\r\n\r\n", ids[6]),
+        foreign("response", b"gopher text", ids[7], "Content-Type: text/plain"),
+    ]
+    packer = zstandard.ZstdCompressor()
+    (tmp_path / "a.warc.zst").write_bytes(b"".join(packer.compress(r) for r in made))
+    out = sorted(warc.read_archives(spark, str(tmp_path)).collect(), key=lambda r: r.record_id)
+    assert [r.record_type for r in out] == ["warcinfo", "request", "response", "metadata", "resource", "revisit", "response", "response"]
+    assert out[2].payload == body and out[2].payload_digest == sha1 and out[2].url == "http://a/" and out[2].payload_bytes == len(body)
+    assert out[2].content_type == "application/http; msgtype=response" and {r.page_id for r in out} == {None}
+    assert out[0].payload == b"software: x\r\n" and out[0].date == "2001-01-01T00:00:00Z" and out[4].payload == b"" and out[7].payload == b"gopher text"
+    assert out[5].payload is None and out[5].payload_bytes is None and out[6].payload_bytes == 13
+    good = made[2]
+    for bad in (good.replace(body, b"<p>Gruesse!</p"), good.replace(b"WARC/1.1", b"WARC/2.0"), good.replace(b"sha1:", b"sha1:A", 1), good[:-2], good.replace(b"WARC-Target-URI:", b"WARC Target"),
+                good.replace(b"Content-Length: ", b"Content-Length: -"), foreign("revisit", b"HTTP/1.0 200 OK\r\n\r\n"), foreign("response", b"HTTP/1.0 200 OK\r\nContent-Length: 5\r\n\r\nab")):
+        with pytest.raises(warc.DamagedArchive):
+            warc.parse(bad)
+
+
+def test_words_of_any_script_and_length(spark):
+    long = "b" * 40
+    html = f"<p>Größe {long} größe enßst</p><p>enßst</p>"
+    words = spark.createDataFrame([(html,)], "h string").select(F.explode(url_filter.visible_words(F.col("h"))).alias("w")).groupBy("w").count().collect()
+    assert {r.w: r["count"] for r in words} == {"größe": 2, long: 1, "enßst": 2}
+    assert url_filter.segment("a" + long + "c", {(1, 40): 1}, 1) == ["a", long, "c"]
+    rows = [(1, f"http://{long}größe.com/x", html), (2, "http://shop.org/", "<p>shop</p>")]
+    assert url_filter.judge(data.pages(spark, rows), URL_RULES).count() == 2
+
+
+def test_log_odds_by_hand(spark):
+    """The classifier's scores computed here from the segments and the counts, to 6 digits."""
+    html = "<p>" + "cat dog news spam shop " * 5 + "</p>"
+    rows = [(i, f"http://catnews{'' if i % 2 else 'dog'}.org/cat/{i}", html) for i in range(10)] + [(20 + i, f"http://spamshop.com/de/spam{i}", html) for i in range(7)]
+    rows += [(40, "http://newscat.net/cat", html), (41, "http://shopspam.net/spam/12/", html), (42, None, None)]
+    split = {"catnews": ["cat", "news"], "catnewsdog": ["cat", "news", "dog"], "spamshop": ["spam", "shop"], "newscat": ["news", "cat"], "shopspam": ["shop", "spam"]}
+
+    def tokens(url):
+        host, path, *_ = brute_rule(url)
+        labels = [w for part in host.split(".") if part for w in split.get(part, [part])]
+        found = re.findall("[a-z]+|[0-9]+", path)
+        return ["h:" + w for w in labels] + ["p:" + ("#" if w.isdigit() else w) for w in found]
+
+    seen = {"allow": [], "block": []}
+    docs = {"allow": 0, "block": 0}
+    for _, url, _ in rows:
+        if verdict := brute_rule(url)[3]:
+            seen[verdict] += tokens(url)
+            docs[verdict] += 1
+    vocabulary = set(seen["allow"]) | set(seen["block"])
+    prior = math.log((docs["allow"] + 1) / (docs["block"] + 1))
+
+    def odds(url):
+        out = prior
+        for t in tokens(url):
+            if t in vocabulary:
+                a, b = ((seen[k].count(t) + 1) / (len(seen[k]) + len(vocabulary)) for k in ("allow", "block"))
+                out += math.log(a / b)
+        return out
+
+    got = {r.page_id: r.log_odds for r in url_filter.judge(data.pages(spark, rows), URL_RULES).collect()}
+    assert got == {i: pytest.approx(odds(url), abs=2e-6) for i, url, _ in rows}

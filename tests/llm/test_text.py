@@ -232,3 +232,34 @@ def test_mask(spark):
     assert [s.kind for s in by[9].spans] == ["email", "card", "date"] and "4111" not in by[9].text
     assert by[7].text == data.LONG
     assert pii.mask(data.documents(spark, []), b"k").count() == 0
+
+
+def test_addresses_of_any_script_and_length():
+    p, back = pii.Pseudonyms(b"key"), pii.Pseudonyms(b"key", undo=True)
+    long = "x" * 5000
+    for address in ("müller@firma.de", "jürgen.groß@x.de", "иван@почта.рф", f"{long}@mail.com", "über@x.org", "名前@例え.jp"):
+        text = f"Schreib an {address}, bitte"
+        new, spans = pii.pseudonymise(text, p)
+        start = text.index(address)
+        assert spans == [(start, start + len(address), "email")]
+        assert new != text and len(new) == len(text) and new.endswith(address[address.rindex("."):] + ", bitte")
+        assert not set(address.split("@")[0][:30]) == set(new[start:].split("@")[0][:30]) or len(set(address.split("@")[0])) < 3
+        assert pii.pseudonymise(new, back)[0] == text
+    assert pii.pseudonymise("at @ or a@b or @x.de or a@-", p)[1] == []
+    dense = "a@" * 30_000 + "b.com"
+    assert len(pii.pseudonymise(dense, p)[1]) == 1
+
+
+def test_long_values_are_mixed_throughout():
+    """Nothing of a long secret or address stays in clear, and it can be undone."""
+    p, back = pii.Pseudonyms(b"key"), pii.Pseudonyms(b"key", undo=True)
+    for value in ("f3" * 1000, "Ab9" * 700, "0123456789abcdef" * 20):
+        text = f"token={value} end"
+        new, spans = pii.pseudonymise(text, p)
+        assert len(spans) == 1 and len(new) == len(text)
+        body = new[len("token="):-len(" end")]
+        for lo in range(0, len(value), 32):
+            assert sum(a == b for a, b in zip(body[lo : lo + 32], value[lo : lo + 32])) < 16
+        assert pii.pseudonymise(new, back)[0] == text
+    a, b = (pii.pseudonymise(f"token={v} x", p)[0] for v in ("9" * 64 + "a" * 70, "9" * 64 + "b" + "a" * 69))
+    assert a != b
