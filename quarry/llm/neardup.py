@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.splitjoin import Lookup, counted
 from .common import broadcast_if, col, written
 from .graph import components
 
@@ -405,8 +406,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: its id, n_shingles, component_id and kept (the component's smallest id)."""
     texts = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     own = profiles(texts)
-    label = classified(texts, own).select(F.col("digest").alias("_d"), "component_id")
-    out = own.select("id", "n_shingles", "digest").join(label, F.col("digest") == F.col("_d"), "left")
+    label = classified(texts, own).select(F.col("digest").alias("value"), "component_id")
+    # documents without a set, and those of a text with very many copies, stay where they are
+    out = Lookup(label, counted(own, F.col("digest")), BROADCAST_BYTES).join(own.select("id", "n_shingles", "digest"), F.col("digest"))
+    out = out.select(F.col("c0").alias("id"), F.col("c1").alias("n_shingles"), F.col("c2").alias("digest"), "component_id")
     component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(
         F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
@@ -422,12 +425,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     alone = own.groupBy("digest").agg(F.count("*").alias("rows"))
     told = label.join(alone.where("rows > 1").select("digest", "rows"), "digest", "left").where("rows > 1 OR component_id != id")
     again = counts.select("digest", "id", F.lit(True).alias("again"))
-    told = written(told.join(again, ["digest", "id"], "left").select(F.col("digest").alias("_dd"), "component_id", F.coalesce("again", F.lit(False)).alias("again")), "neardup-told")
-    size = told.count() * 40  # bytes of a row, with room
+    told = written(told.join(again, ["digest", "id"], "left").select(F.col("digest").alias("value"), "component_id", F.coalesce("again", F.lit(False)).alias("again")), "neardup-told")
     names = docs.columns
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text, id_ = f"c{names.index(text_col)}", f"c{names.index(id_col)}"
-    rows = rows.withColumn("_digest", set_digest(F.col(text))).join(broadcast_if(told, size, BROADCAST_BYTES), F.col("_digest") == F.col("_dd"), "left")
+    # copies of one text don't meet in a task: frequent digests' rows stay where they are, with their texts
+    rows = rows.withColumn("_digest", set_digest(F.col(text)))
+    rows = Lookup(told, counted(own, F.col("digest")), BROADCAST_BYTES).join(rows, F.col("_digest")).withColumnRenamed(f"c{len(names)}", "_digest")
     kept = rows.where(F.col("component_id").isNull() | F.col(id_).cast("long").eqNullSafe(F.col("component_id")))
     once = kept.where(F.coalesce("again", F.lit(False)))
     columns = [f"c{i}" for i in range(len(names))]

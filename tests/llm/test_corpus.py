@@ -205,3 +205,22 @@ def test_pipeline(spark, tmp_path):
     assert sorted((r.doc_id, tuple(r.ids)) for r in run) == sorted((r.doc_id, tuple(r.ids)) for r in seen["tokens"])
     data.put(data.documents(spark, []), folder, "documents")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_copies_beyond_the_broadcast_bound(spark, monkeypatch):
+    """Labels joined with frequent digests apart: the same rows as by a broadcast."""
+    from quarry.llm import url_filter, warc
+    from quarry.llm.q_pages import URL_RULES
+
+    docs = data.documents(spark, [*data.ROWS, *[(100 + i, data.BASE if i % 2 else None, "en", "a") for i in range(60)], *[(300 + i, f"{i} other words {i} that differ {i} in every row", "en", "b") for i in range(30)]])
+    whole = Counter(neardup.near_duplicates(docs).collect())
+    kept = Counter(neardup.one_of_each(docs).select("doc_id", "text").collect())
+    pages = data.pages(spark)
+    judged = Counter(url_filter.judge(pages, URL_RULES).collect())
+    revisits = Counter(r.page_id if r.refers_to is None else (r.page_id, r.refers_to) for r in warc.with_revisits(pages).collect())
+    for module in (neardup, url_filter, warc):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    assert Counter(neardup.near_duplicates(docs).collect()) == whole
+    assert Counter(neardup.one_of_each(docs).select("doc_id", "text").collect()) == kept
+    assert Counter(url_filter.judge(pages, URL_RULES).collect()) == judged
+    assert Counter(r.page_id if r.refers_to is None else (r.page_id, r.refers_to) for r in warc.with_revisits(pages).collect()) == revisits
