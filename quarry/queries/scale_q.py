@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import distribution as D
 from ..operators import mlprep as M
 from ..operators import profile as P
+from ..operators.encode import label_encoder
 from ..plans.fitted import transform
 from ..plans.ordered import backward_fill, forward_fill
 from ..plans.ordered import page as page_op
-from ..plans.quantiles import exact_quantiles, long_format
+from ..plans.quantiles import column_quantiles, exact_quantiles, long_format
 from ..plans.runner import Step, run_pipeline, run_previews, run_summary
 from .ml_q import _SPLIT_TIME
 from .registry import register
@@ -156,3 +157,37 @@ def column_profile_approx(spark, sf):
     a = P.column_profile(df, distinct="approx").select("col_name", F.col("unique_count").alias("a"))
     b = P.column_profile(df).select("col_name", F.col("unique_count").alias("b"))
     return a.join(b, "col_name").select("col_name", (F.abs(F.col("a") - F.col("b")) <= 0.15 * F.col("b")).alias("close"))
+
+
+@register("names_that_clash", with_fixture(
+    "SELECT o_orderkey AS digest, o_custkey AS \"_bk\", round(last_value(price_n IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS \"first\", "
+    "CAST(dense_rank() OVER (ORDER BY coalesce(priority_n, 'None')) - 1 AS BIGINT) AS \"value\", CAST(dense_rank() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS BIGINT) AS \"code\", "
+    "CASE WHEN row_number() OVER (ORDER BY md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), '42')), o_orderkey) <= CAST(ceil(count(*) OVER () * 0.2) AS BIGINT) THEN 'val' ELSE 'train' END AS split "
+    "FROM orders_gappy", "orders_gappy"))
+def names_that_clash(spark, sf):
+    """Columns named like the helpers inside ordered fills, dictionaries (beyond the broadcast bound too) and splits."""
+    df = table(spark, sf, "orders_gappy").selectExpr("o_orderkey AS digest", "o_custkey AS _bk", "price_n AS first", "priority_n AS value", "o_custkey AS code")
+    df = forward_fill(df, ["first"], ["digest"], rows_per_bucket=ROWS_PER_BUCKET)
+    df = label_encoder(label_encoder(df, ["value"]), ["code"], max_bytes=0)
+    out = M.split_random(df, "digest", 0.2, 42, rows_per_bucket=ROWS_PER_BUCKET)
+    return out.select("digest", "_bk", F.round("first", 6).alias("first"), "value", "code", "split")
+
+
+_ODD = ("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN CAST('NaN' AS DOUBLE) WHEN o_orderkey % 7 = 0 THEN CAST('Infinity' AS DOUBLE) "
+        "WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS x FROM orders")
+_ODD_PROBS = (0.0, 0.25, 0.5, 0.75, 1.0)
+
+
+@register("quantiles_nan_inf",
+          f"WITH odd AS ({_ODD}), v AS (SELECT list(x ORDER BY x) AS v, count(*) AS n FROM odd WHERE x IS NOT NULL AND NOT isnan(x)), "
+          f"p AS (SELECT unnest([{', '.join(map(str, _ODD_PROBS))}]) AS p), "
+          "s AS (SELECT p, (n - 1) * p - floor((n - 1) * p) AS f, v[CAST(floor((n - 1) * p) AS BIGINT) + 1] AS a, v[least(CAST(floor((n - 1) * p) AS BIGINT) + 2, n)] AS b FROM v, p), "
+          "q AS (SELECT p, CASE WHEN f = 0 OR a = b THEN a ELSE a + (b - a) * f END AS q FROM s) "
+          "SELECT CAST(p AS DOUBLE) AS p, isinf(q) AS infinite, CASE WHEN NOT isinf(q) THEN round(q, 6) END AS q FROM q")
+def quantiles_nan_inf(spark, sf):
+    """NaN counts as missing and infinite values keep their rank."""
+    table(spark, sf, "orders").createOrReplaceTempView("orders")
+    found = column_quantiles(spark.sql(_ODD), ["x"], _ODD_PROBS)["x"]
+    rows = spark.createDataFrame([(p, float(v)) for p, v in zip(_ODD_PROBS, found)], "p double, v double")
+    infinite = F.abs("v") == float("inf")
+    return rows.select("p", infinite.alias("infinite"), F.when(~infinite, F.round("v", 6)).alias("q"))
