@@ -1,7 +1,7 @@
 """Dataset- and column-level profiling.
 
 Every statistic is a fused aggregate over the whole table: one scalar pass for
-all columns, one exploded value-count pass for distinct counts, one pass for
+all columns, one pass of bitmap words for distinct counts (``plans.distinct``), one pass for
 quantiles (``plans.quantiles``) and one for bounds that depend on them.  Results
 are long tables (one row per column) rather than nested documents.
 """
@@ -27,10 +27,10 @@ from ..functions.columns import (
 )
 from ..functions.exprs import pct, rnd, safe_div
 from ..plans.crossproducts import cross_products, pearson
+from ..plans.distinct import distinct_counts
 from ..plans.fingerprints import fingerprint, parted, worth_it
 from ..plans.guards import fused_agg
 from ..plans.quantiles import column_quantiles, long_format
-from .values import value_counts
 
 PROFILE_PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 PROBE_NAMES = ("p1", "p5", "p25", "p50", "p75", "p95", "p99")
@@ -110,15 +110,15 @@ def dataset_overview(df: DataFrame, with_duplicates: bool = True, distinct: str
 
 
 def column_unique_counts(df: DataFrame, cols: Sequence[str] | None = None, distinct: str = "exact") -> DataFrame:
-    """(col_name, unique_count): distinct non-NULL values per column, all columns in one pass.
+    """(col_name, unique_count): distinct non-NULL values per column, by bitmaps and hashes (``plans.distinct``).
 
     ``distinct="approx"``: sketches (relative error about 5 %, small counts exact as a rule)."""
     if distinct == "approx":
         names = list(df.columns if cols is None else cols)
         r = fused_agg(df, [F.approx_count_distinct(q(c)).alias(f"u{i}") for i, c in enumerate(names)])
         return df.sparkSession.createDataFrame([(c, r[f"u{i}"]) for i, c in enumerate(names)], "col_name string, unique_count long")
-    vc = value_counts(df, cols)
-    return vc.groupBy("col_name").agg(F.count("value").cast("long").alias("unique_count"))
+    found = distinct_counts(df, list(df.columns if cols is None else cols))
+    return df.sparkSession.createDataFrame(list(found.items()), "col_name string, unique_count long")
 
 
 def column_profile(df: DataFrame, distinct: str = "exact") -> DataFrame:
