@@ -15,6 +15,7 @@ from ..operators import mlprep as M
 from ..plans.ordered import page as page_op
 from ..session import checkpoint_dir
 from ..sources import io as IO
+from ..sources.routed import route_csv
 from .ml_q import HISTORY_SQL, event_history
 from .registry import register
 from .tables import table
@@ -44,6 +45,35 @@ def read_csv(spark, sf):
     return back
 
 
+# A line an order; some have a key with a letter, a price that is no number, a cell too few or too many, or no status.
+_DAMAGED = (
+    "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR(30)) AS price, "
+    "CASE WHEN o_orderkey % 13 = 0 THEN 'key' WHEN o_orderkey % 7 = 0 THEN 'price' WHEN o_orderkey % 11 = 0 THEN 'short' "
+    "WHEN o_orderkey % 17 = 0 THEN 'long' WHEN o_orderkey % 5 = 0 THEN 'empty' ELSE 'none' END AS damage FROM orders")
+_DAMAGED_LINES = (
+    "SELECT *, concat(CASE WHEN damage = 'key' THEN 'x' ELSE '' END, CAST(o_orderkey AS VARCHAR(30)), ',', CAST(o_custkey AS VARCHAR(30)), "
+    "CASE WHEN damage = 'short' THEN '' ELSE concat(',', CASE WHEN damage = 'empty' THEN '' ELSE o_orderstatus END) END, ',', price, "
+    "CASE WHEN damage = 'price' THEN ' EUR' WHEN damage = 'long' THEN ',1' ELSE '' END) AS raw FROM d")
+
+
+@register("read_csv_routed",
+          f"WITH d AS ({_DAMAGED}), l AS ({_DAMAGED_LINES}) SELECT CASE WHEN damage IN ('none', 'empty') THEN 'good' ELSE 'bad' END AS side, "
+          "CASE WHEN damage IN ('none', 'empty') THEN o_orderkey END AS o_orderkey, CASE WHEN damage IN ('none', 'empty') THEN o_custkey END AS o_custkey, "
+          "CASE WHEN damage = 'none' THEN o_orderstatus END AS o_orderstatus, CASE WHEN damage IN ('none', 'empty') THEN CAST(price AS DOUBLE) END AS o_totalprice, "
+          "CASE WHEN damage NOT IN ('none', 'empty') THEN raw END AS raw, "
+          "CASE WHEN damage = 'key' THEN 'o_orderkey' WHEN damage = 'price' THEN 'o_totalprice' END AS fault FROM l")
+def read_csv_routed(spark, sf):
+    """Every order as a line, some of them damaged; typed rows and rejected lines together (line numbers: see the tests)."""
+    table(spark, sf, "orders").createOrReplaceTempView("orders")
+    lines = spark.sql(f"WITH d AS ({_DAMAGED}) {_DAMAGED_LINES}").select(F.col("raw").alias("value"))
+    path = _scratch(spark, "damaged")
+    lines.write.text(path)
+    found = route_csv(spark, path, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double", header=False)
+    good = found.good.select(F.lit("good").alias("side"), "*", F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("fault"))
+    bad = found.bad.select(F.lit("bad").alias("side"), "raw", F.col("column").alias("fault"))
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
 @register("sql_query", "SELECT o_orderkey, o_custkey AS k, o_totalprice AS \"k.1\", o_orderstatus AS \"k.2\" FROM orders")
 def sql_query(spark, sf):
     o = table(spark, sf, "orders")
