@@ -13,6 +13,10 @@ taken away, so the model does not lean on them alone.  About ``SAMPLE`` pages, p
 learned from.  Prior counts (``PRIOR``) say what the HTML standard says of its tags and what the
 usual class words mean; they decide where the sample has no such element.
 
+Class, id and role words are learned too, whatever their language: a word is one of boilerplate, like those of
+the list, if at least ``OFTEN`` block elements of labelled pages bear it that neither are nor hold content, and
+``AGAINST`` times as many as are content.  An element that is hidden (``hidden``, ``display:none``) counts as boilerplate.
+
 An element that by its tag or class is not the article passes that on to all within, as the kind of
 pair that rarely turns to content.  ``body`` doesn't, nor does an element marked as the article, nor a
 wrapper: an element so by its class words, or a form, that holds most of the text of the page (or of the
@@ -45,8 +49,11 @@ SAMPLE = 2000
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 RAW = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select")}
+HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])", re.I)
+QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+NAMES = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose start and end break the text into blocks.
 BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -56,10 +63,13 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 #: Class and id words, and what they usually say.
 BOILER_WORDS = set("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer footer form header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 CONTENT_WORDS = set("article articlebody body content entry main post story text".split())
+#: How many elements of no content bear a word that counts as one of boilerplate, and how often as many as of content.
+OFTEN, AGAINST = 10, 50
 MARKS = {"article", "main"}
 #: Elements that may hold the whole page whatever their class says.
 WRAPPER_TAGS = set("center div form section span table tbody td tr".split())
-BOILER_TAGS = set("aside button dialog fieldset footer form header legend menu nav option".split())
+#: "hidden" stands for any hidden element.
+BOILER_TAGS = set("hidden aside button dialog fieldset footer form header legend menu nav option".split())
 #: Prior counts (state 0, state 1) of what a node shows; all else starts at (1, 1).
 PRIOR = {("tag", t): (400.0, 0.5) for t in BOILER_TAGS} | {("tag", t): (1.0, 60.0) for t in MARKS} | {("tag", "p"): (1.0, 40.0)} | {("word", "boiler"): (400.0, 0.5), ("word", "content"): (2.0, 20.0), ("word", "both"): (40.0, 2.0)}
 #: Prior count of content within boilerplate, against 20; a single labelled element outweighs it.
@@ -78,10 +88,10 @@ class Node:
     is marked as the article.
     ``wraps`` says that it holds most of the text of its page (or of the article that it stands in)."""
 
-    __slots__ = ("tag", "parent", "words", "marked", "kind", "chars", "linked", "ends", "wraps")
+    __slots__ = ("tag", "parent", "words", "marked", "names", "kind", "chars", "linked", "ends", "wraps")
 
-    def __init__(self, tag: str, parent: int, words: str, marked: bool):
-        self.tag, self.parent, self.words, self.marked = tag, parent, words, marked
+    def __init__(self, tag: str, parent: int, words: str, marked: bool, names: frozenset[str] = frozenset()):
+        self.tag, self.parent, self.words, self.marked, self.names = tag, parent, words, marked, names
         self.kind, self.wraps = "plain", False
         self.chars = self.linked = self.ends = 0
 
@@ -113,22 +123,30 @@ def _set_kinds(nodes: list[Node]) -> None:
             n.words = "none"
 
 
-def _kind_of_words(attributes: str) -> tuple[str, bool]:
-    """What class and id words say, and whether the element is marked as the article."""
-    words, marked = set(), False
+def _read(attributes: str) -> tuple[frozenset[str], bool, bool]:
+    """Class, id and role words, whether the element is marked as the article, and whether it is hidden."""
+    names, marked = set(), False
+    hidden = bool(HIDDEN.search(QUOTED.sub("", attributes)))
     for name, a, b, c in ATTRIBUTE.findall(attributes):
-        value = a or b or c
-        if name.lower() in ("role", "itemprop"):
+        value, name = a or b or c, name.lower()
+        if name == "style":
+            hidden |= "display:none" in value.lower().replace(" ", "")
+        elif name in ("role", "itemprop"):
             marked |= value.lower() in ("main", "articlebody")
-            words |= {"nav"} if value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search") else set()
+            names |= {"nav"} if value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search") else {f"{name}:{value.lower()}"}
         else:
-            words.update(w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value))
-    boiler, content = bool(words & BOILER_WORDS), bool(words & CONTENT_WORDS)
-    return ("both" if boiler and content else "boiler" if boiler else "content" if content else "none"), marked
+            names.update(w.lower() for w in NAMES.findall(value))
+    return frozenset(names), marked, hidden
+
 
+def _kind_of_words(names: frozenset[str], learned: frozenset[str]) -> str:
+    """What class and id words say; ``learned``: words of boilerplate beside the list."""
+    boiler, content = not names.isdisjoint(BOILER_WORDS) or not names.isdisjoint(learned), not names.isdisjoint(CONTENT_WORDS)
+    return "both" if boiler and content else "boiler" if boiler else "content" if content else "none"
 
-def dom(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """The nodes (parents first) and the text blocks, each with its node, in page order."""
+
+def dom(page: str, learned: frozenset[str] = frozenset()) -> tuple[list[Node], list[tuple[int, str]]]:
+    """The nodes (parents first) and the text blocks, each with its node, in page order; ``learned``: see ``Model``."""
     nodes = [Node("html", -1, "none", False)]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements, and the node their text belongs to
     blocks: list[tuple[int, str]] = []
@@ -187,10 +205,12 @@ def dom(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if tag == "hr":
                 flush()
                 continue
-            words, marked = _kind_of_words(m.group(3)) if "=" in m.group(3) else ("none", False)
-            if tag in BLOCK or words == "boiler":
+            names, marked, hidden = _read(m.group(3)) if m.group(3) else (frozenset(), False, False)
+            words = _kind_of_words(names, learned)
+            hidden = hidden and tag != "body"  # a page that a script uncovers
+            if tag in BLOCK or words == "boiler" or hidden:
                 flush()
-                nodes.append(Node(tag, stack[-1][1], words, marked or tag in MARKS))
+                nodes.append(Node("hidden" if hidden else tag, stack[-1][1], words, (marked or tag in MARKS) and not hidden, names))
                 stack.append((tag, len(nodes) - 1))
             else:
                 stack.append((tag, stack[-1][1]))
@@ -210,7 +230,7 @@ def dom(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 def shown(node: Node, masked: bool = False) -> list[tuple[str, str]]:
     """What can be seen of a node."""
     tag = "div" if masked and node.marked else node.tag
-    out = [("tag", tag if tag in BLOCK else "inline"), ("word", "none" if masked and node.marked else node.words)]
+    out = [("tag", tag if tag in BLOCK or tag == "hidden" else "inline"), ("word", "none" if masked and node.marked else node.words)]
     out.append(("length", str(min(8, node.chars.bit_length() // 2 + (node.chars > 0)))))
     if node.chars:
         out.append(("links", str(min(4, 4 * node.linked // node.chars))))
@@ -232,10 +252,14 @@ def labels(nodes: list[Node]) -> list[int] | None:
 
 
 class Model:
-    """Potentials from counts {(name, value, state): n}; pairs are ("pair", kind and parent state, state)."""
+    """Potentials from counts {(name, value, state): n}; pairs are ("pair", kind and parent state, state).
+
+    Counts of ("name", word, state) give ``learned``, the words of boilerplate beside the list."""
 
     def __init__(self, counts: dict[tuple[str, str, int], float]):
-        seen = {(k[0], k[1]) for k in counts if k[0] != "pair"} | set(PRIOR)
+        names = {k[1]: n for k, n in counts.items() if k[0] == "name" and k[2] == 0}
+        self.learned = frozenset(w for w, n in names.items() if n >= OFTEN and n >= AGAINST * counts.get(("name", w, 1), 0) and w not in CONTENT_WORDS)
+        seen = {(k[0], k[1]) for k in counts if k[0] not in ("pair", "name")} | set(PRIOR)
         n = {f: [counts.get((*f, s), 0) + PRIOR.get(f, (1.0, 1.0))[s] for s in (0, 1)] for f in seen}
         total = Counter()
         for (name, _), both in n.items():
@@ -286,7 +310,7 @@ class Model:
     def text(self, page: str | None) -> str:
         if not page:
             return ""
-        nodes, blocks = dom(page)
+        nodes, blocks = dom(page, self.learned)
         p = self.marginals(nodes) if len(nodes) > 1 else [1.0]
         return " ".join(t for node, t in blocks if p[node] > 0.5)
 
@@ -296,7 +320,13 @@ def counts_of(page: str, masked: bool) -> Counter:
     nodes, _ = dom(page)
     states = labels(nodes)
     out: Counter = Counter()
-    for node, s in zip(nodes, states or []):
+    holds = list(states or [])  # whether a node is content or holds some
+    for i in range(len(holds) - 1, 0, -1):
+        holds[nodes[i].parent] |= holds[i]
+    for node, s, h in zip(nodes, states or [], holds):
+        if s == h:
+            for w in node.names:
+                out["name", w, s] += 1
         for name, value in shown(node, masked):
             out[name, value, s] += 1
         if node.parent >= 0:
@@ -319,7 +349,7 @@ def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Mod
 
     picked = pages.where(text.isNotNull() & (F.pmod(F.xxhash64(text), F.lit(every)) == 0))
     counted = picked.select(text.alias("html"), (F.pmod(F.hash(text), F.lit(2)) == 0).alias("masked")).mapInArrow(count, "name string, value string, state int, n long")
-    rows = counted.groupBy("name", "value", "state").agg(F.sum("n").alias("n")).collect()  # one row per tag and the like
+    rows = counted.groupBy("name", "value", "state").agg(F.sum("n").alias("n")).collect()  # one row per tag, class word and the like of the sample
     return Model({(r["name"], r["value"], r["state"]): r["n"] for r in rows})
 
 

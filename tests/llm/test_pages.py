@@ -161,6 +161,49 @@ def test_labelled_pages_can_outweigh_the_boiler_prior():
     assert READ in learned.text(page) and "Copyright" not in learned.text(page)
 
 
+def in_other_words(page):
+    """The page with all class and id words replaced by words of no list."""
+    return re.sub(r"(?<![\w-])(class|id)\s*=\s*(\"[^\"]*\"|'[^']*')", lambda m: f"{m[1]}=" + re.sub("[A-Za-z]+", lambda w: "zq" + w[0].lower()[::-1], m[2]), page)
+
+
+def word_f1(got, want):
+    a, b = Counter(got.split()), Counter(want.split())
+    return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values()))
+
+
+def test_class_words_are_learned(spark):
+    """Pages of foreign class words, half of them learned from and the other half without marks held out."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    learned = html_main.Model(sum((html_main.counts_of(in_other_words(p), i % 2 == 0) for i, p in enumerate(pages[::2])), Counter()))
+    untrained = html_main.Model({})
+    held_out = [(re.sub(r"<(/?)article", r"<\1div", in_other_words(p)), truth(p)) for p in pages[1::2]]
+    scores = [sum(word_f1(m.text(p), want) for p, want in held_out) / len(held_out) for m in (learned, untrained)]
+    assert scores[0] >= 0.99 > scores[1]
+    assert any(learned.text(p) != untrained.text(p) for p, _ in held_out)
+
+
+NOTICE = "<div class='aviso'><p>Usamos cookies en este sitio, como casi todos los sitios lo hacen.</p></div>"
+
+
+def test_notices_of_unknown_words_and_wrappers():
+    """A word beside articles is learned; one of a wrapper around them, or of parts of articles, is not."""
+    page = f"<body><div class='contenedor'>{SIDE}{NOTICE}<article><div class='columna'>{STORY}</div></article><div class='columna'>x</div>{FOOT}</div></body>"
+    counts = html_main.counts_of(page, False)
+    once, often = html_main.Model(counts), html_main.Model(sum((html_main.counts_of(page, k % 2 == 0) for k in range(html_main.OFTEN)), Counter()))
+    assert not once.learned and often.learned == {"aviso", "share", "bar"}
+    other = f"<body><div class='contenedor'>{SIDE}<div class='columna'>{NOTICE}{STORY}</div>{FOOT}</div></body>"
+    assert "cookies" in html_main.Model({}).text(other) and often.text(other) == READ
+
+
+@pytest.mark.parametrize("mark", ["hidden", "hidden=''", "class=x hidden", "style='display:none'", 'style="color:red; DISPLAY : none"'])
+def test_hidden_elements(mark):
+    model = html_main.Model({})
+    for tag in ("p", "div", "span", "article"):
+        assert model.text(f"<body>{SIDE}<article>{STORY}<{tag} {mark}>This text is not to be seen by anybody.</{tag}></article>{FOOT}</body>") == READ
+    assert model.text(f"<body {mark}>{SIDE}<article>{STORY}</article>{FOOT}</body>") == READ  # a page that a script uncovers
+    assert model.text(f"<body>{SIDE}<article data-hidden=1 title='hidden' data-style='display:none'>{STORY}</article>{FOOT}</body>") == READ
+
+
 def test_deep_pages_need_no_recursion(spark):
     model = html_main.Model({})
     assert model.text("<div>" * 20_000 + "deep text" ) in ("", "deep text")
