@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,10 +147,15 @@ def column_profile(df: DataFrame, distinct: str = "exact") -> DataFrame:
         F.coalesce(F.col("missing_count"), F.lit(0)).cast("long").alias("missing_count"),
         F.coalesce(pct(F.col("missing_count"), F.col("rows")), F.lit(0.0)).alias("missing_pct"),
         u.alias("unique_count"),
-        F.when(u < 10, "Low").when(u < 50, "Medium").otherwise("High").alias("cardinality"),
+        cardinality(u).alias("cardinality"),
     )
 
 
+def cardinality(unique: Column) -> Column:
+    """Level of a count of distinct values."""
+    return F.when(unique < 10, "Low").when(unique < 50, "Medium").otherwise("High")
+
+
 def _scalar_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Moments, zeros and negatives, one row per numeric column: one grouped pass over (column, value)."""
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "col_name string")
@@ -194,9 +199,13 @@ def numeric_profile(df: DataFrame, quantile_method: str = "exact", k: float = 1.
     qs = _quantile_wide(df, cols, PROFILE_PROBS, PROBE_NAMES, quantile_method)
     base = sc.join(qs, "col_name", "left")
     outl = iqr_outlier_counts(df, k, quantile_method, quartiles=qs.select("col_name", "p25", "p75"))
-    out = base.join(outl.select("col_name", "outliers_count"), "col_name", "left")
+    return numeric_block(base.join(outl.select("col_name", "outliers_count"), "col_name", "left"))
+
+
+def numeric_block(stats: DataFrame) -> DataFrame:
+    """The columns of ``numeric_profile`` from counts, moments, quantiles and outlier counts per column."""
     n = F.col("n")
-    return out.select(
+    return stats.select(
         "col_name",
         n.cast("long").alias("count"),
         *[rnd(F.col(c)).alias(c) for c in ("min", "max", "mean")],

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import categorical_columns, free_name, is_float, numeric_columns, q
@@ -100,7 +100,12 @@ def histogram(df: DataFrame, cols: Sequence[str] | str | None = None, bins: int
     sel = [F.inline(F.array(*structs))]
     if by:
         sel = [q(by).alias("by")] + sel
-    long = df.select(*sel)
+    return binned(df.select(*sel), keys, bins, shown, F.count("*"))
+
+
+def binned(long: DataFrame, keys: Sequence[str], bins: int, shown: dict[str, str], size: Column) -> DataFrame:
+    """The histogram of ``x`` per ``keys`` (``col_name`` and perhaps ``by``); ``size`` counts the rows of a bin."""
+    by = "by" in keys
     rng = long.groupBy(*keys).agg(F.min("x").alias("mn"), F.max("x").alias("mx"))
     lo = F.when(F.col("mn").isNull(), F.lit(0.0)).when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn"))
     hi = F.when(F.col("mx").isNull(), F.lit(1.0)).when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx"))
@@ -111,8 +116,8 @@ def histogram(df: DataFrame, cols: Sequence[str] | str | None = None, bins: int
     counted = (
         long.where(F.col("x").isNotNull())
         .join(rng_b, [long[k].eqNullSafe(rng_b[f"_r_{k}"]) for k in keys])
-        .select(*[long[k] for k in keys], _bin_index(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin"))
-        .groupBy(*keys, "bin").count()
+        .select(*[long[c] for c in long.columns], _bin_index(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin"))
+        .groupBy(*keys, "bin").agg(size.alias("count"))
     )
     counted = counted.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("bin").alias("_c_bin"), "count")
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))

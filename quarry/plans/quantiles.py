@@ -20,7 +20,7 @@ number of ranks.  Interval tables are checkpointed between rounds.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -195,9 +195,13 @@ def _open_rows(df: DataFrame, open_: dict[str, list[tuple]], order: dict[str, in
     return df.select(F.inline(F.array(*cells))).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
 
 
-def _values_at(df: DataFrame, ranks: dict[str, list[int]], runs: DataFrame, limit: int) -> dict[str, dict[int, float]]:
-    """{column: {rank: value}}; ``runs`` (key, b, c, lo, hi) are the first counts of the columns, in the order of ``ranks``."""
-    spark, order = df.sparkSession, {c: i for i, c in enumerate(ranks)}
+def _values_at(inside_of: Callable[[dict[str, list[tuple]]], DataFrame], ranks: dict[str, list[int]], runs: DataFrame, limit: int,
+               size: Column | None = None) -> dict[str, dict[int, float]]:
+    """{column: {rank: value}}; ``runs`` (key, b, c, lo, hi) are the first counts of the columns, in the order of ``ranks``.
+
+    ``inside_of`` gives the rows (key, at, lo, hi, v) of open intervals; ``size`` counts rows, where one may stand for several."""
+    spark, order = runs.sparkSession, {c: i for i, c in enumerate(ranks)}
+    size = F.count("*") if size is None else size
     found: dict[str, dict[int, float]] = {c: {} for c in ranks}
     wanted = [(order[c], 0, r, r) for c, rs in ranks.items() for r in rs]
     runs = runs.withColumn("at", F.lit(0))
@@ -213,12 +217,12 @@ def _values_at(df: DataFrame, ranks: dict[str, list[int]], runs: DataFrame, limi
         open_ = {c: sorted(of) for c, of in inside.items()}
         wanted = [(order[c], at, r["rank"], r["rel"]) for c, of in open_.items() for at, key in enumerate(of) for r in inside[c][key]]
         if wanted:
-            rows, v = _open_rows(df, open_, order), F.col("v")
+            rows, v = inside_of(open_), F.col("v")
             if max(r["c"] for of in inside.values() for rs in of.values() for r in rs) <= limit:
-                runs = rows.groupBy("key", "at", v.alias("b")).agg(F.count("*").alias("c")).withColumns({"lo": F.col("b"), "hi": F.col("b")})
+                runs = rows.groupBy("key", "at", v.alias("b")).agg(size.alias("c")).withColumns({"lo": F.col("b"), "hi": F.col("b")})
             else:
                 runs = rows.groupBy("key", "at", _slice(v, F.col("lo"), F.col("hi")).alias("b")).agg(
-                    F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+                    size.alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     return found
 
 
@@ -247,7 +251,8 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
     n = {cols[r["key"]]: r["n"] for r in runs.groupBy("key").agg(F.sum("c").alias("n")).collect()}
     at = {c: [(math.floor((n[c] - 1) * p), (n[c] - 1) * p) for p in of[c]] for c in cols if c in n}
     ranks = {c: sorted({x for r, _ in at.get(c, []) for x in (r, min(r + 1, n[c] - 1))}) for c in cols}
-    found = _values_at(df, ranks, runs, limit)
+    order = {c: i for i, c in enumerate(ranks)}
+    found = _values_at(lambda open_: _open_rows(df, open_, order), ranks, runs, limit)
     for c, places in at.items():
         for k, (r, h) in enumerate(places):
             out[c][k] = _lerp_value(found[c][r], found[c][min(r + 1, n[c] - 1)], h - r)

@@ -23,4 +23,4 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import charts_q, io_q, ml_q, profile_q, rules_q, scale_q, steps_q  # noqa: F401
+    from . import charts_q, grown_q, io_q, ml_q, profile_q, rules_q, scale_q, steps_q  # noqa: F401
