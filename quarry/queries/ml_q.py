@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import mlprep as M
@@ -94,6 +95,67 @@ def model_sweep_regression(spark, sf):
     return SW.model_sweep(tr, va, ["p_partkey", "p_size"], "p_retailprice", depths=(1, 2), units=(5, 10), patience=2, min_candidates=2, task="regression")
 
 
+_HALVING_SQL = (
+    "WITH d AS (SELECT len(any_value(embedding)) AS n_in, max(label) + 1 AS n_out FROM embeddings), u(u) AS (VALUES (16), (32)), "
+    "c AS (SELECT 1 AS depth, u AS a, 0 AS b, n_in || '-' || u || '-' || n_out AS layers FROM u, d "
+    "UNION ALL SELECT 2, x.u, y.u, n_in || '-' || x.u || '-' || y.u || '-' || n_out FROM u x, u y, d), "
+    "l AS (SELECT string_agg(layers, ' ' ORDER BY depth, a + b, greatest(a, b) - least(a, b), a, b) AS layers, count(*) AS n FROM c), "
+    "r AS (SELECT r, CAST(ceil(n / power(2, r)) AS BIGINT) AS n, layers FROM l, range(0, 4) t(r)) "
+    "SELECT CAST(r AS INTEGER) AS round, n AS candidates, CAST(CASE WHEN n > 1 THEN ceil(n / 2.0) ELSE 0 END AS BIGINT) AS kept, "
+    "CAST(8 * (power(2, r + 1) - 1) AS INTEGER) AS iterations, CASE WHEN r = 0 THEN layers END AS layers, "
+    "true AS from_kept, true AS by_reward FROM r")
+
+
+@register("model_sweep_halving", _HALVING_SQL)
+def model_sweep_halving(spark, sf):
+    """A row a round: who was tried (round 0), how many went on and after how many iterations; whether the round's
+    candidates are those the round before kept (``from_kept``), and whether no dropped one had the better reward (``by_reward``)."""
+    sp = M.split_random(table(spark, sf, "embeddings"), "vec_id", 0.2, 42)
+    tr, va = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "val")
+    found = SW.halving_sweep(tr, va, "embedding", "label", depths=(1, 2), units=(16, 32), first_iter=8)
+    inputs = F.sort_array(F.collect_set("candidate"))  # six candidates
+    went_on = F.sort_array(F.collect_set(F.when(F.col("kept"), F.col("candidate"))))
+    worst_kept, best_dropped = F.min(F.when(F.col("kept"), F.col("reward"))), F.max(F.when(~F.col("kept"), F.col("reward")))
+    rounds = found.groupBy("round").agg(
+        F.count("*").alias("candidates"), F.count_if("kept").alias("kept"), F.max("iterations").alias("iterations"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("candidate", "layers"))), lambda s: s["layers"]), " ").alias("layers"),
+        F.coalesce(worst_kept >= best_dropped, F.lit(True)).alias("by_reward"), inputs.alias("inputs"), went_on.alias("went_on"))
+    before = rounds.select((F.col("round") + 1).alias("round"), F.col("went_on").alias("allowed"))
+    return rounds.join(before, "round", "left").select(
+        "round", "candidates", "kept", "iterations", F.when(F.col("round") == 0, F.col("layers")).alias("layers"),
+        F.coalesce(F.col("inputs") == F.col("allowed"), F.col("round") == 0).alias("from_kept"), "by_reward")
+
+
+def _halving_decisions_sql(rounds: int, target: float) -> str:
+    """Round r + 1 has what round r kept: the better half, rounded up, unless a reward reached the target."""
+    ctes = ["e AS (SELECT user_id AS candidate, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS round, "
+            "value AS reward FROM events)", "l0 AS (SELECT DISTINCT candidate FROM e)"]
+    for r in range(rounds):
+        ctes.append(f"h{r} AS (SELECT {r} AS round, l.candidate, e.reward FROM l{r} l LEFT JOIN e ON e.candidate = l.candidate AND e.round = {r})")
+        ctes.append(f"k{r} AS (SELECT *, count(*) OVER () > 1 AND row_number() OVER (ORDER BY reward DESC NULLS LAST, candidate) <= ceil(count(*) OVER () / 2.0) "
+                    f"AND NOT coalesce(max(reward) OVER () >= {target}, false) AS kept FROM h{r})")
+        ctes.append(f"l{r + 1} AS (SELECT candidate FROM k{r} WHERE kept)")
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(f"SELECT round, candidate, reward, kept FROM k{r}" for r in range(rounds))
+
+
+def _halving_of_events(spark, sf, target):
+    first = Window.partitionBy("user_id").orderBy("event_id")
+    rewards = table(spark, sf, "events").select(
+        F.col("user_id").alias("candidate"), (F.row_number().over(first) - 1).alias("round"), F.col("value").alias("reward"))
+    return SW.halving_rounds(rewards, 5, target)
+
+
+@register("halving_rounds", _halving_decisions_sql(5, 1e9))
+def halving_rounds(spark, sf):
+    """Users as candidates, their events' values as the rewards of the rounds; no reward reaches the target."""
+    return _halving_of_events(spark, sf, 1e9)
+
+
+@register("halving_rounds_stopped", _halving_decisions_sql(5, 100.0))
+def halving_rounds_stopped(spark, sf):
+    return _halving_of_events(spark, sf, 100.0)
+
+
 HISTORY_SQL = "SELECT event_id AS candidate, user_id % 5 AS depth, value AS reward FROM events"
 
 
