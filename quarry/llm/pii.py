@@ -13,16 +13,23 @@ kind      found and validated as                                permuted
 ========  ====================================================  ==============================
 card      13 to 19 digits, Luhn check digit                     all but the check digit, renewed
 iban      country, check digits, 11 to 30 letters and digits    the account part; check renewed
-ssn       ddd-dd-dddd in the issued ranges                      within the issued ranges
-phone     +country and 7 to 14 digits, or (ddd) ddd-dddd        the digits after the country
-ip        dotted quad, octets to 255                            the 32 bits
-date      yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy of the calendar    days of 1900 to 2099
+ssn       ddd-dd-dddd in the issued ranges; other spelling      within the issued ranges
+          after ``ssn`` or ``social security number``
+phone     +country and 7 to 14 digits, or (ddd) ddd-dddd;       the digits after the country
+          0 and 8 to 11 digits in the usual groups              or the 0
+ip        dotted quad, octets to 255, not after ``version``     the 32 bits
+ipv6      all eight groups, or ``::`` and three at least        digits and letters a to f
+date      yyyy-mm-dd, and d.m.yyyy, d/m/yyyy, d-m-yyyy or,      days of 1900 to 2099 that have
+          where that is no day, m/d/yyyy, m-d-yyyy              the same number of digits
 email     local@domain.tld, letters of any script, any length   letters and digits before the tld
-key       AKIA and 16 capitals and digits, ghp_ and 36          what follows the prefix
-secret    password, token, secret or api key = value            the value; hexadecimal stays so
+key       AKIA, ASIA and 16 capitals and digits, ghp_ and 36,   what follows the prefix
+          AIza and 35, sk- and 20 or more, xoxb- and the like
+secret    password, token, secret or api key = value, bearer    the value; hexadecimal stays so
+          and a token, a PEM private key
 ========  ====================================================  ==============================
 
-Numbers that fail their check stay as they are.  Of overlapping values the earlier wins, then
+Numbers that fail their check stay as they are.  With ``bare_dates`` off, dates are only taken within 40
+characters after a word for birth (``BIRTH``).  Of overlapping values the earlier wins, then
 the kind named first above.  Values that are left of the format's range (a date of 1850) stay.
 
 A card may stand among other numbers (an amount, its expiry, its CVV): in a run of digit groups every
@@ -37,14 +44,16 @@ result; repeated rows get equal ones.  Columns other than the text are not looke
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import functools
 import hashlib
+import ipaddress
 import math
 import re
 import string
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -78,6 +87,10 @@ def _alphabet(c: str) -> str:
     return "".join(x for x in map(chr, range(block, block + 256)) if not x.isascii() and unicodedata.category(x) == kind)
 
 
+def _hex_alphabet(c: str) -> str:
+    return next((k for k in (DIGITS, "abcdef", "ABCDEF") if c in k), "")
+
+
 class Pseudonyms:
     """Keyed permutations of numbers and of strings by character class."""
 
@@ -117,19 +130,19 @@ class Pseudonyms:
             x = self._once(x, a, b, what)
         return x
 
-    def chars(self, s: str, what: str) -> str:
-        """Digits, small and capital letters are permuted within their class (``_alphabet``); others stay.
+    def chars(self, s: str, what: str, alphabet: Callable[[str], str] = _alphabet) -> str:
+        """Digits, small and capital letters are permuted within their class (``alphabet``); others stay.
 
         Longer strings are permuted in blocks of ``BLOCK``, each keyed by the pseudonyms before it too."""
         if len(s) > BLOCK:
             out, said = [], hashlib.blake2b(what.encode(), key=self.key, digest_size=16)
             for at in range(0, len(s), BLOCK):
                 old = s[at : at + BLOCK]
-                new = self.chars(old, f"{what}|{said.hexdigest()}")
+                new = self.chars(old, f"{what}|{said.hexdigest()}", alphabet)
                 said.update((old if self.undo else new).encode("utf-8", "surrogatepass"))
                 out.append(new)
             return "".join(out)
-        kinds = [_alphabet(c) for c in s]
+        kinds = [alphabet(c) for c in s]
         x, n = 0, 1
         for c, k in zip(s, kinds):
             if k:
@@ -190,13 +203,15 @@ def _iban(p: Pseudonyms, m: re.Match) -> str | None:
 
 
 def _ssn(p: Pseudonyms, m: re.Match) -> str | None:
-    a, g, n = (int(x) for x in m.group().split("-"))
+    digits = re.sub(r"\D", "", m.group())
+    a, g, n = int(digits[:3]), int(digits[3:5]), int(digits[5:])
     if a in (0, 666) or a >= 900 or not g or not n:
         return None
     x = p.number(((a - 1 - (a > 666)) * 99 + g - 1) * 9999 + n - 1, 898 * 99 * 9999, "ssn")
     x, n = divmod(x, 9999)
     a, g = divmod(x, 99)
-    return f"{a + 1 + (a >= 665):03d}-{g + 1:02d}-{n + 1:04d}"
+    new = iter(f"{a + 1 + (a >= 665):03d}{g + 1:02d}{n + 1:04d}")
+    return re.sub(r"\d", lambda _: next(new), m.group())
 
 
 def _phone_head(s: str) -> str:
@@ -223,19 +238,53 @@ def _ip(p: Pseudonyms, m: re.Match) -> str | None:
     return ".".join(str(b) for b in x.to_bytes(4, "big"))
 
 
-def _date(p: Pseudonyms, m: re.Match) -> str | None:
+def _ipv6(p: Pseudonyms, m: re.Match) -> str | None:
     s = m.group()
-    parts = re.split(r"[-./]", s)
-    y, mo, d = parts if len(parts[0]) == 4 else parts[::-1]
+    if sum(map(bool, s.split(":"))) < 3:  # a::b is as likely a name in code
+        return None
     try:
-        day = datetime.date(int(y), int(mo), int(d)).toordinal()
+        ipaddress.IPv6Address(s)
     except ValueError:
         return None
-    if not FIRST_DAY <= day <= LAST_DAY:
+    return p.chars(s, "ipv6", _hex_alphabet)
+
+
+@functools.lru_cache(maxsize=64)
+def _days(order: str, first: int, second: int) -> list[int]:
+    """The days of 1900 to 2099 whose day and month (``dm``) or month and day (``md``) have that many digits; two may begin with 0.
+
+    A day that reads as ``dm`` too is none of ``md``."""
+    days = map(datetime.date.fromordinal, range(FIRST_DAY, LAST_DAY + 1))
+    sides = ((d, *((d.day, d.month) if order == "dm" else (d.month, d.day))) for d in days)
+    return [d.toordinal() for d, a, b in sides if (first == 2 or a < 10) and (second == 2 or b < 10) and (order == "dm" or b > 12)]
+
+
+def _day(y: str, m: str, d: str) -> int | None:
+    try:
+        day = datetime.date(int(y), int(m), int(d)).toordinal()
+    except ValueError:
         return None
-    new = datetime.date.fromordinal(FIRST_DAY + p.number(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
-    mark = re.search(r"[-./]", s).group()
-    return mark.join([f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"][:: 1 if len(parts[0]) == 4 else -1])
+    return day if FIRST_DAY <= day <= LAST_DAY else None
+
+
+def _date(p: Pseudonyms, m: re.Match) -> str | None:
+    mark = re.search(r"[-./]", m.group()).group()
+    a, b, c = m.group().split(mark)
+    if len(a) == 4:
+        if (day := _day(a, b, c)) is None:
+            return None
+        new = datetime.date.fromordinal(FIRST_DAY + p.number(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
+        return f"{new.year:04d}{mark}{new.month:02d}{mark}{new.day:02d}"
+    order, day = "dm", _day(c, b, a)
+    if day is None and mark != "." and int(b) > 12:
+        order, day = "md", _day(c, a, b)
+    if day is None:
+        return None
+    days = _days(order, len(a), len(b))
+    whole = len(days) == LAST_DAY - FIRST_DAY + 1
+    new = datetime.date.fromordinal(days[p.number(bisect.bisect_left(days, day), len(days), "date" if whole else f"date|{order}{len(a)}{len(b)}")])
+    x, y = (new.day, new.month) if order == "dm" else (new.month, new.day)
+    return f"{x:0{len(a)}d}{mark}{y:0{len(b)}d}{mark}{new.year:04d}"
 
 
 def _email(p: Pseudonyms, m: re.Match) -> str | None:
@@ -244,7 +293,16 @@ def _email(p: Pseudonyms, m: re.Match) -> str | None:
 
 
 def _key(p: Pseudonyms, m: re.Match) -> str | None:
-    return m.group()[:4] + p.chars(m.group()[4:], "key|" + m.group()[:4])
+    head = m.group(m.lastindex)
+    return head + p.chars(m.group()[len(head):], "key|" + head)
+
+
+def _national(p: Pseudonyms, m: re.Match) -> str | None:
+    s = m.group()
+    if not 9 <= sum(c.isdigit() for c in s) <= 12:
+        return None
+    at = s.index("0") + 1
+    return s[:at] + p.digits(s[at:], "phone|0")
 
 
 def _secret(p: Pseudonyms, m: re.Match) -> str | None:
@@ -348,20 +406,50 @@ def _phones(text: str) -> Iterator[re.Match | _Whole]:
             yield m
 
 
+#: Words for a birth, before a date.
+BIRTH = re.compile(r"(?<![^\W\d_])(?:born|birth|birthday|birthdate|dob|d\.o\.b|geboren|geburtsdatum|geburtstag|naissance|nacimiento|nascita)(?![^\W\d_])", re.I)
+VERSION = re.compile(r"(?<![^\W_])(?:version|release|build|firmware|v)[ .:=]{0,2}$", re.A | re.I)
+QUAD = re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", re.A)
+DATE = re.compile(r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}(?P<mark>[./-])\d{1,2}(?P=mark)\d{4})(?:(?![\w/-]|\.\d)|(?=[Tt]\d{2}(?!\d{3})))", re.A)
+SSN_SAID = re.compile(r"(?<![^\W_])(?:ssn|social security(?: (?:number|no\.?))?)(?: is)?[ :#=]{0,3}(\d{3} ?\d{2} ?\d{4})(?![\w-])", re.A | re.I)
+
+
+def _ips(text: str) -> Iterator[re.Match]:
+    """Dotted quads, but for version numbers."""
+    return (m for m in QUAD.finditer(text) if not VERSION.search(text, max(0, m.start() - 12), m.start()))
+
+
+def _said(text: str) -> Iterator[_Whole]:
+    """Social security numbers without dashes, where the text says that they are."""
+    return (_Whole(text, *m.span(1)) for m in SSN_SAID.finditer(text))
+
+
+def _births(text: str) -> Iterator[re.Match]:
+    """Dates near a word for birth."""
+    return (m for m in DATE.finditer(text) if BIRTH.search(text, max(0, m.start() - 40), m.start()))
+
+
 #: In the order in which they win ties: kind, what finds it in a text, pseudonym (None: not valid).
 KINDS = [
     ("card", _cards, _card),
     ("iban", _ibans, _iban),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A).finditer, _ssn),
+    ("ssn", _said, _ssn),
     ("phone", _phones, _phone),
-    ("ip", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", re.A).finditer, _ip),
-    ("date", re.compile(r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?:(?![\w/-]|\.\d)|(?=[Tt]\d{2}(?!\d{3})))", re.A).finditer, _date),
-    ("key", re.compile(r"(?<!\w)(?:AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36})(?!\w)", re.A).finditer, _key),
-    ("secret", re.compile(r"(?<![^\W_])(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>,;]{6,})", re.A | re.I).finditer, _secret),
+    ("phone", re.compile(r"(?<![\w.,/+-])(?<!\d )(?:(?:\(0[1-9]\d{1,4}\) ?|0[1-9]\d{1,4}[ /-])(?:\d{5,8}|\d{3,4}[ -]\d{3,5})|0[1-9](?:[ .]\d{2}){4})(?!\w|[.,/-]\d| \d{3})", re.A).finditer, _national),
+    ("ip", _ips, _ip),
+    ("ipv6", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}|:):[0-9A-Fa-f:]{1,34}(?<!:)(?!\w|:[0-9A-Fa-f:]|\.\d)", re.A).finditer, _ipv6),
+    ("date", DATE.finditer, _date),
+    ("key", re.compile(r"(?<!\w)(?:(AKIA|ASIA)[A-Z0-9]{16}|(ghp_)[A-Za-z0-9]{36})(?!\w)", re.A).finditer, _key),
+    ("key", re.compile(r"(?<![\w-])(?:(AIza)[\w-]{35}|(sk-)(?=[A-Za-z_-]*\d)[\w-]{20,}|(xox[abeoprs]-)(?=[A-Za-z-]*\d)[A-Za-z0-9-]{10,})(?![\w-])", re.A).finditer, _key),
+    ("secret", re.compile(r"(?<![^\W_])bearer\s{1,3}((?=[A-Za-z._~+/-]*\d)[A-Za-z0-9._~+/-]{16,}=*)", re.A | re.I).finditer, _secret),
+    ("secret", re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----(?:\s++[A-Za-z0-9-]+:[^\n]*)*\s*+([A-Za-z0-9+/=\s]{16,}+)(?=-----END)", re.A).finditer, _secret),
+    ("secret", re.compile(r"(?<![^\W_])(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?!bearer\s)([^\s\"'<>,;]{6,})", re.A | re.I).finditer, _secret),
 ]
 EMAIL_TAIL = re.compile(r"(?:[^\W_]|-)+(?:\.(?:[^\W_]|-)+)*\.[^\W\d_]{2,}")
 #: What a value of some kind must hold: texts without it aren't searched for that kind.
-HINT = re.compile(r"\d[\d .()/-]{4}|AKIA|ghp_|[A-Z]{2}\d\d|[dntyDNTY][\"']?\s{0,3}[=:]", re.A)
+HINT = re.compile(
+    r"\d[\d .()/-]{4}|A[KS]IA|ghp_|AIza|sk-|xox|[A-Z]{2}\d\d|[dntyDNTY][\"']?\s{0,3}[=:]|::|:[0-9A-Fa-f]{1,4}:|PRIVATE KEY|[eE][aA][rR][eE][rR]\s", re.A)
 
 
 def _emails(text: str) -> Iterator[_Whole]:
@@ -378,14 +466,14 @@ def _emails(text: str) -> Iterator[_Whole]:
         at = text.find("@", at + 1)
 
 
-def pseudonymise(text: str | None, p: Pseudonyms) -> tuple[str | None, list[tuple[int, int, str]]]:
+def pseudonymise(text: str | None, p: Pseudonyms, bare_dates: bool = True) -> tuple[str | None, list[tuple[int, int, str]]]:
     """The text with pseudonyms, and where in the old text (characters) which kind was."""
     if not text:
         return text, []
     found: list[tuple[int, int, int, str, str]] = []
     if HINT.search(text):
         for rank, (kind, find, make) in enumerate(KINDS):
-            for m in find(text):
+            for m in (_births if kind == "date" and not bare_dates else find)(text):
                 if (new := make(p, m)) is not None:
                     found.append((m.span()[0], rank, m.span()[1], kind, new))
     found += [(m.span()[0], len(KINDS), m.span()[1], "email", _email(p, m)) for m in _emails(text)]
@@ -400,7 +488,7 @@ def pseudonymise(text: str | None, p: Pseudonyms) -> tuple[str | None, list[tupl
     return "".join(out) + text[at:], spans
 
 
-def pseudonyms(text: Column, key: bytes, undo: bool = False) -> Column:
+def pseudonyms(text: Column, key: bytes, undo: bool = False, bare_dates: bool = True) -> Column:
     """Column struct(text, spans) of a text column."""
 
     @F.arrow_udf(RESULT)
@@ -410,7 +498,7 @@ def pseudonyms(text: Column, key: bytes, undo: bool = False) -> Column:
         for texts in batches:
             new, spans = [], []
             for t in texts:
-                a, b = pseudonymise(t.as_py(), p)
+                a, b = pseudonymise(t.as_py(), p, bare_dates)
                 new.append(a)
                 spans.append([{"start": s, "end": e, "kind": k} for s, e, k in b])
             yield pa.StructArray.from_arrays([pa.array(new, pa.string()), pa.array(spans, pa.list_(kind))], ["text", "spans"])
@@ -418,7 +506,7 @@ def pseudonyms(text: Column, key: bytes, undo: bool = False) -> Column:
     return apply(text)
 
 
-def mask(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mask(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", bare_dates: bool = True) -> DataFrame:
     """Per document its id, the new ``text`` and ``spans`` of what was replaced."""
-    both = docs.select(col(id_col), pseudonyms(col(text_col), key).alias("_p"))
+    both = docs.select(col(id_col), pseudonyms(col(text_col), key, bare_dates=bare_dates).alias("_p"))
     return both.select(col(id_col), F.col("_p.text").alias("text"), F.col("_p.spans").alias("spans"))
