@@ -11,7 +11,7 @@ Differences of a SentencePiece model to a plain BPE vocabulary:
 * The text gets a leading space, and spaces become U+2581.  No piece joins a character with a
   *following* U+2581, so each run of U+2581 with the word behind it encodes on its own,
   and so does what starts at a mark that no piece joins to a letter before it.  Those units are
-  what the (bounded) cache holds.
+  what the (bounded) cache holds: the recent ones, and those before them until they are pushed out.
 * Pieces of several U+2581 share one score, the lowest of all, so ties go to the left.  The
   pair test does not hold under such ties; a run is merged after its word, by plain merging.
 * Characters without a piece become their UTF-8 bytes.
@@ -36,9 +36,12 @@ from pyspark.sql import types as T
 from .common import col
 
 SPACE = "▁"
-#: Entries of a worker's caches; a full cache is emptied.
-CACHE = 400_000
-PAIRS = 2_000_000
+#: Units in each of the two generations of a worker's cache: a full one takes the older one's place.
+CACHE = 100_000
+#: Pairs that a worker keeps; a full table is emptied.
+PAIRS = 300_000
+#: Texts whose results a worker holds before it sends them.
+AT_ONCE = 128
 RESULT = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])
 
 
@@ -102,6 +105,7 @@ class PrefixTableBPE:
         self.unit = re.compile(f" *(?:{letter}++(?![^ {line}{marks}])|[^ {line}]+)| +" + (f"|{line}+" if line else ""))
         self.pair: dict[int, bool] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _marks(self) -> set[str]:
         """ASCII marks that no piece has behind a letter: before them a word of letters ends."""
@@ -208,10 +212,12 @@ class PrefixTableBPE:
             for unit in self.unit.findall(" " + text.replace(SPACE, " ")):
                 ids = cache.get(unit)
                 if ids is None:
-                    ids = self._unit(unit)
+                    if (ids := self.older.get(unit)) is None:
+                        ids = self._unit(unit)
                     if len(unit) < 64:
                         if len(cache) >= CACHE:
-                            cache.clear()
+                            self.older, self.cache = cache, {}
+                            cache = self.cache
                         cache[unit] = ids
                 out.extend(ids)
         out.append(self.eos)
@@ -239,24 +245,29 @@ def loaded(model_file: str) -> PrefixTableBPE:
     return _LOADED[model_file]
 
 
-def encode_decode(text: Column, model_file: str) -> Column:
-    """Column struct(ids array<int>, decoded string) of a text column.
-
-    ``model_file`` is read on the executors, where the tokenizer package is installed."""
-
-    @F.arrow_udf(RESULT)
-    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = loaded(model_file)
-        for texts in batches:
+def results(bpe: PrefixTableBPE, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """One result a text, ``AT_ONCE`` at a time: a batch's ids and decoded texts are several times its size."""
+    for batch in batches:
+        for start in range(0, len(batch), AT_ONCE):
             flat: list[int] = []
             ends, decoded = [0], []
-            for text in texts:
+            for text in batch.slice(start, AT_ONCE):
                 flat += (ids := bpe.encode(text.as_py()))
                 ends.append(len(flat))
                 decoded.append(bpe.decode(ids))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
             yield pa.StructArray.from_arrays([ids, pa.array(decoded, pa.string())], ["ids", "decoded"])
 
+
+def encode_decode(text: Column, model_file: str) -> Column:
+    """Column struct(ids array<int>, decoded string) of a text column.
+
+    ``model_file`` is read on the executors, where the tokenizer package is installed."""
+
+    @F.arrow_udf(RESULT)
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from results(loaded(model_file), batches)
+
     return apply(text)
 
 

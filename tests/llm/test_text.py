@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,21 @@ def test_a_full_cache_changes_nothing(library, monkeypatch):
     assert small.encode(data.BASE * 3) == library.encode(data.BASE * 3, add_eos=True)
 
 
+def test_caches_and_results_stay_small(bpe, library, monkeypatch):
+    """Results leave a few texts at a time, and the caches hold two generations and no more."""
+    monkeypatch.setattr(tokenize_bpe, "CACHE", 50)
+    monkeypatch.setattr(tokenize_bpe, "AT_ONCE", 7)
+    texts = [f"w{i} common v{i * i} words" if i % 5 else None for i in range(100)]
+    small, sizes, rows = tokenize_bpe.PrefixTableBPE(tokenizer_file()), [], []
+    for out in tokenize_bpe.results(small, iter([pa.array(texts[:60]), pa.array(texts[60:], pa.string())])):
+        sizes.append(len(out))
+        rows += out.to_pylist()
+        assert len(small.cache) <= 50 and len(small.older) <= 50
+    assert max(sizes) <= 7 and sum(sizes) == 100
+    assert [r["ids"] for r in rows] == [library.encode(t or "", add_eos=True) for t in texts]
+    assert [r["decoded"] for r in rows] == [t or "" for t in texts]
+
+
 def test_encode_documents(spark, library):
     rows = tokenize_bpe.encode_documents(data.documents(spark), tokenizer_file()).collect()
     assert len(rows) == len(data.ROWS)
