@@ -208,6 +208,7 @@ def keys_at(df: DataFrame, order_cols: Sequence[str], ranks: Sequence[int], n: i
     d, nb = with_buckets(keys, names, n=n, **kw)
     runs, asked = d, [(0, 0, r) for r in ranks]
     if nb > 1:
+        d = cut_lineage(d)  # the search for the buckets costs most, and two jobs read its result
         counts = cut_lineage(d.groupBy(BUCKET).agg(F.count("*").alias("_c")))
         before = _before(counts, nb, [], ["_c"], "sum").withColumnRenamed(BUCKET, "_ob")
         placed = counts.join(before, F.col(BUCKET) == F.col("_ob"))

@@ -9,6 +9,7 @@ from ..operators import mlprep as M
 from ..operators import profile as P
 from ..operators.encode import label_encoder
 from ..plans.fitted import transform
+from ..plans.guards import written
 from ..plans.ordered import backward_fill, forward_fill
 from ..plans.ordered import page as page_op
 from ..plans.quantiles import column_quantiles, exact_quantiles, long_format
@@ -167,8 +168,9 @@ def column_profile_approx(spark, sf):
 def names_that_clash(spark, sf):
     """Columns named like the helpers inside ordered fills, dictionaries (beyond the broadcast bound too) and splits."""
     df = table(spark, sf, "orders_gappy").selectExpr("o_orderkey AS digest", "o_custkey AS _bk", "price_n AS first", "priority_n AS value", "o_custkey AS code")
-    df = forward_fill(df, ["first"], ["digest"], rows_per_bucket=ROWS_PER_BUCKET)
-    df = label_encoder(label_encoder(df, ["value"]), ["code"], max_bytes=0)
+    # the fits that follow read their rows several times: what was shuffled for them is written once
+    df = written(forward_fill(df, ["first"], ["digest"], rows_per_bucket=ROWS_PER_BUCKET))
+    df = written(label_encoder(label_encoder(df, ["value"]), ["code"], max_bytes=0))
     out = M.split_random(df, "digest", 0.2, 42, rows_per_bucket=ROWS_PER_BUCKET)
     return out.select("digest", "_bk", F.round("first", 6).alias("first"), "value", "code", "split")
 

@@ -1,4 +1,7 @@
+import datetime
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from quarry.plans import ordered as O
 from quarry.queries.tables import table
@@ -149,3 +152,32 @@ def test_names_of_helpers_are_free(spark):
     assert bar.columns == ["_y", "y"] and sum(r.y for r in bar.collect()) == sum(range(60))
     assert charts.chart_pie(df, "value").columns == ["_value", "value"]
     assert values.histogram(df, ["v"], bins=2).count() == 2
+
+
+def test_the_search_for_buckets_runs_once_a_row(spark):
+    """Keys at ranks: rows are read for the sample and for the search, not again for each count."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(x):
+        read.add(1)
+        return x
+
+    df = spark.range(0, 4000, 1, 4).select(seen.asNondeterministic()("id").alias("k"))
+    assert O.keys_at(df, ["k"], [10, 3900], 4000, rows_per_bucket=100) == [((9,), 9, 1), ((3899,), 3899, 1)]
+    assert read.value <= 12000  # the sample is sorted, which reads twice
+
+
+def test_names_that_clash_fills_and_encodes_once(spark, tmp_path):
+    """What the ordered fill and the dictionaries shuffle is written, so the split and its readers don't do it again."""
+    from quarry.queries.scale_q import names_that_clash
+
+    rows = [(i, i % 7, datetime.datetime(2020, 1, 1), float(i), "5-LOW" if i % 2 else "1-URGENT") for i in range(1, 2001)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_totalprice double, o_orderpriority string").write.parquet(
+        str(tmp_path / "orders.parquet"))
+    out = names_that_clash(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    got = {r.digest: r for r in out.collect()}
+    assert len(got) == 2000 and sum(r.split == "val" for r in got.values()) == 400
+    assert all(got[i].first == (i if i % 7 else (i - 1 or None)) and got[i]._bk == got[i].code == i % 7 for i in got)
